@@ -98,26 +98,47 @@ def fold_slices(events: DataFrame, key: str, order: list[str], steps: dict[str,
         F.count("*").alias("n"),
     )
     for name, (col, lo, hi) in steps.items():
-        runs = runs.withColumn(
-            name,
-            F.aggregate("_run", _identity(), lambda a, e, c=col, lo=lo, hi=hi: _then(a, e[c], F.lit(float(lo)), F.lit(float(hi)))),
-        )
+        runs = runs.withColumn(name, F.aggregate("_run", _identity(), _clamped_step(col, lo, hi)))
     return runs.drop("_run")
 
 
+def _clamped_step(col: str, lo: float, hi: float):
+    return lambda a, e: _then(a, e[col], F.lit(float(lo)), F.lit(float(hi)))
+
+
+def _composed(name: str):
+    return lambda a, p: _then(a, p[name]["d"], p[name]["l"], p[name]["h"])
+
+
 def compose_slices(slices: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Compose the slice triples of each key in slice order (few rows per key)."""
     out = slices.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_slice", *names))).alias("_parts"), F.sum("n").alias("n")
     )
     for name in names:
-        out = out.withColumn(
-            name,
-            F.aggregate("_parts", _identity(), lambda a, p, c=name: _then(a, p[c]["d"], p[c]["l"], p[c]["h"])),
-        )
+        out = out.withColumn(name, F.aggregate("_parts", _identity(), _composed(name)))
     return out.drop("_parts")
 
 
+def prefix_slices(slices: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """For every (key, _slice) the composition of all earlier slices of the key."""
+
+    def entry(slice_no: Column, state: dict[str, Column]) -> Column:
+        return F.struct(slice_no.cast("int").alias("_slice"), *[state[n].alias(n) for n in names])
+
+    def advance(acc: Column, p: Column) -> Column:
+        prev = F.element_at(acc, -1)
+        # the entry stored for a slice holds the state after it
+        return F.concat(acc, F.array(entry(p["_slice"], {n: _composed(n)(prev[n], p) for n in names})))
+
+    seed = F.array(entry(F.lit(-1), {n: _identity() for n in names}))
+    runs = slices.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_slice", *names))).alias("_parts"))
+    states = runs.withColumn("_after", F.aggregate("_parts", seed, advance))
+    pairs = F.arrays_zip(F.col("_parts").alias("part"), F.slice("_after", 1, F.size("_parts")).alias("state"))
+    return states.select(key, F.explode(pairs).alias("z")).select(
+        key, F.col("z.part._slice").alias("_slice"), *[F.col(f"z.state.{n}").alias(f"in_{n}") for n in names])
+
+
 def apply_triple(x: Column, t: Column) -> Column:
     return clip(x + t["d"], t["l"], t["h"])
 
