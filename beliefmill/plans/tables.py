@@ -87,7 +87,7 @@ SELECT source_id, target_id, relation_type, max(strength) AS strength, min(creat
 FROM (SELECT l_orderkey % (SELECT count(*) FROM {embeddings}) AS source_id, l_partkey % (SELECT count(*) FROM {embeddings}) AS target_id,
   CASE l_orderkey % 8 WHEN 0 THEN 'entity_link' WHEN 1 THEN 'causal' WHEN 2 THEN 'temporal' WHEN 3 THEN 'thematic' WHEN 4 THEN 'contradicts'
     WHEN 5 THEN 'supports' WHEN 6 THEN 'derived_from' ELSE 'supersedes' END AS relation_type,
-  CAST(l_quantity / 50.0 AS FLOAT) AS strength, CAST(l_shipdate AS TIMESTAMP) AS created_at FROM {lineitem}) x
+  CAST(l_quantity / 50.0 AS FLOAT) AS strength, TIMESTAMP '2023-10-01 00:00:00' + INTERVAL '1' DAY * (l_orderkey % 120) AS created_at FROM {lineitem}) x
 WHERE source_id <> target_id GROUP BY source_id, target_id, relation_type"""
 
 VIEWS["ep"] = """
@@ -172,6 +172,16 @@ VIEWS["assoc"] = """
 SELECT 'semantic' AS source_type, id AS source_id, 'semantic' AS target_type, (id * 7 + 3) % (SELECT count(*) FROM {embeddings}) AS target_id, CAST(0.8 AS FLOAT) AS strength FROM {mem}
 UNION ALL SELECT 'episodic' AS source_type, id AS source_id, 'semantic' AS target_type, vec_id AS target_id, CAST(0.9 AS FLOAT) AS strength FROM {ep}"""
 
+# One start node per label.
+VIEWS["starts"] = "SELECT CAST(label AS BIGINT) AS query_id, min(vec_id) AS id FROM {embeddings} GROUP BY label"
+
+# Detector output: names found in beliefs (known names, aliases, near names, new names).
+VIEWS["extracted"] = """
+SELECT m.id AS memory_id, m.agent_id, m.tenant_id,
+  CASE m.id % 4 WHEN 0 THEN 'TOPIC ' || CAST(m.label AS STRING) WHEN 1 THEN 'Alias ' || CAST(100 + m.id % 7 AS STRING) WHEN 2 THEN 'Almost ' || CAST(m.label AS STRING) ELSE 'New ' || CAST(m.id % 25 AS STRING) END AS name,
+  CASE m.id % 4 WHEN 1 THEN 'person' ELSE 'concept' END AS entity_type, 'subject' AS role, m.id AS vec_id
+FROM {mem} m"""
+
 VIEWS["tenants"] = """
 SELECT DISTINCT tenant_id, CASE tenant_id WHEN 0 THEN 'free' WHEN 1 THEN 'developer' ELSE 'unknown-plan' END AS plan FROM {mem}"""
 
