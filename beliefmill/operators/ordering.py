@@ -90,9 +90,9 @@ def _then(a: Column, d: Column, lo: Column, hi: Column) -> Column:
     )
 
 
-def fold_slices(events: DataFrame, key: str, order: list[str], steps: dict[str, tuple[str, float, float]]) -> DataFrame:
+def fold_slices(events: DataFrame, key: str, order: list[str], steps: dict[str, tuple]) -> DataFrame:
     """One row per (key, _slice): for every named step the composed triple."""
-    cols = list(dict.fromkeys(c for c, _, _ in steps.values()))
+    cols = list(dict.fromkeys(x for step in steps.values() for x in step if isinstance(x, str)))
     runs = events.groupBy(key, "_slice").agg(
         F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).cast("double").alias(c) for c in cols]))).alias("_run"),
         F.count("*").alias("n"),
@@ -102,8 +102,13 @@ def fold_slices(events: DataFrame, key: str, order: list[str], steps: dict[str,
     return runs.drop("_run")
 
 
-def _clamped_step(col: str, lo: float, hi: float):
-    return lambda a, e: _then(a, e[col], F.lit(float(lo)), F.lit(float(hi)))
+def _clamped_step(col: str, lo, hi):
+    """Bounds are numbers, or names of columns holding the bounds of each step."""
+
+    def bound(e, x):
+        return e[x] if isinstance(x, str) else F.lit(float(x))
+
+    return lambda a, e: _then(a, e[col], bound(e, lo), bound(e, hi))
 
 
 def _composed(name: str):

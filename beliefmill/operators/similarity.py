@@ -161,18 +161,21 @@ def _route(df: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray, reach:
 
 def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: float, *, k: int | None = None,
                  order: str = "sim", cosine: bool = True, bonus: str | None = None, drop_self: bool = False,
-                 one_way: bool = False, block_rows: int = BLOCK_ROWS, n_pivots: int = PIVOTS) -> DataFrame:
+                 one_way: bool = False, band: bool = False, block_rows: int = BLOCK_ROWS,
+                 n_pivots: int = PIVOTS) -> DataFrame:
     """Pairs (lid, rid, sim) with similarity >= theta and equal keys.
 
     left: lid, lvec, *keys; right: rid, rvec, *keys and ``rord`` when ``order``
     is "rord" (smallest first). With k, only the k best per left row. ``one_way``
-    keeps pairs with lid < rid.
+    keeps pairs with lid < rid; ``band`` limits each left row to its own
+    similarity range [lfloor, lcap).
     """
     if not keys:
         left, right, keys = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), ["_all"]
     by_ord = order == "rord"
     right_cols = ["rid", "rvec", *keys] + (["rord"] if by_ord else []) + ([bonus] if bonus else [])
-    left = left.select(*[F.col(c).alias(c) for c in ["lid", "lvec", *keys]])
+    limits = ["lfloor", "lcap"] if band else []
+    left = left.select(*[F.col(c).alias(c) for c in ["lid", "lvec", *keys, *limits]])
     right = right.select(*[F.col(c).alias(c) for c in right_cols])
 
     # counted before the vectors are touched, so only the keys are read
@@ -190,7 +193,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         # and one representative is enough on the left
         tie = [F.asc("rord"), F.asc("rid")] if by_ord else ([F.desc(bonus)] if bonus else []) + [F.asc("rid")]
         right = top_by(right, [*keys, "rvec"], tie, want, "_copy").drop("_copy")
-        rows = left.groupBy(*keys, "lvec").agg(F.min("lid").alias("lid"))
+        rows = left.groupBy(*keys, *limits, "lvec").agg(F.min("lid").alias("lid"))
     if big:
         prune = cosine and theta > -1.0 and sizes > block_rows
         if prune:
@@ -227,12 +230,14 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
     if by_ord:
         fields.append(T.StructField("rord", right.schema["rord"].dataType))
     schema = T.StructType(fields)
-    arrow_types = [rows.schema["lid"].dataType, right.schema["rid"].dataType]
 
     def match(lt: pa.Table, rt: pa.Table) -> pa.Table:
         names = [f.name for f in fields]
+        kinds = [lt.schema.field("lid").type, rt.schema.field("rid").type, pa.float64()]
+        if by_ord:
+            kinds.append(rt.schema.field("rord").type)
         if lt.num_rows == 0 or rt.num_rows == 0:
-            return pa.table({n: [] for n in names})
+            return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
         lm, rm = matrix(lt.column("lvec")), matrix(rt.column("rvec"))
         if cosine:
             lm, rm = unit_rows(lm), unit_rows(rm)
@@ -240,10 +245,14 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         rid = rt.column("rid").to_numpy(zero_copy_only=False)
         rord = rt.column("rord").to_numpy(zero_copy_only=False) if by_ord else None
         extra = rt.column(bonus).to_numpy(zero_copy_only=False) if bonus else None
+        if band:
+            low, high = (lt.column(c).to_numpy(zero_copy_only=False) for c in limits)
         outs = []
         for a in range(0, len(lid), 1024):
             s = lm[a:a + 1024] @ rm.T
             ok = s >= theta
+            if band:
+                ok &= (s >= low[a:a + 1024][:, None]) & (s < high[a:a + 1024][:, None])
             if drop_self and not collapse:
                 ok &= lid[a:a + 1024][:, None] != rid[None, :]
             if one_way:
@@ -259,15 +268,14 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
                 np.concatenate([o[2] for o in outs])]
         if by_ord:
             cols.append(np.concatenate([o[3] for o in outs]))
-        return pa.table({n: pa.array(c) for n, c in zip(names, cols)})
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
 
     pairs = rows.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(match, schema)
     if collapse:
-        reps = rows.select("lid", *keys, "lvec").distinct() if big else rows
+        same = [*keys, *limits, "lvec"]
+        reps = rows.select("lid", *same).distinct()
         pairs = pairs.withColumnRenamed("lid", "_rep")
-        owners = left.select("lid", *keys, "lvec").join(
-            reps.select(F.col("lid").alias("_rep"), *keys, "lvec"), [*keys, "lvec"]
-        ).select("lid", "_rep")
+        owners = left.select("lid", *same).join(reps.select(F.col("lid").alias("_rep"), *same), same).select("lid", "_rep")
         pairs = pairs.join(owners, "_rep").drop("_rep").select("lid", *[f.name for f in fields[1:]])
         if drop_self:
             pairs = pairs.where(F.col("lid") != F.col("rid"))
