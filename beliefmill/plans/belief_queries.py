@@ -441,10 +441,10 @@ def upsert_keep(t):
     return tb.upsert(base, more, ["belief_id", "contradicted_by_id"], "keep")
 
 
-@query("upsert_overwrite", "policies", "SELECT agent_id, memory_type, CASE WHEN agent_id < 3 THEN max_memories + 100 ELSE max_memories END AS max_memories FROM policies")
+@query("upsert_overwrite", "policies", "SELECT agent_id, memory_type, max_memories + agent_id AS max_memories FROM policies")
 def upsert_overwrite(t):
     base = t.policies.select("agent_id", "memory_type", "max_memories")
-    return tb.upsert(base, base.where("agent_id < 3").withColumn("max_memories", F.col("max_memories") + 100), ["agent_id", "memory_type"], "overwrite")
+    return tb.upsert(base, base.withColumn("max_memories", (F.col("max_memories") + F.col("agent_id")).cast("int")), ["agent_id", "memory_type"], "overwrite")
 
 
 @query("upsert_greatest", "edges", "SELECT source_id, target_id, relation_type, round(greatest(strength::DOUBLE, 0.5), 6) AS strength FROM edges")

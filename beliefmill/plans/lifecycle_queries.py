@@ -113,13 +113,13 @@ def redact_log(t):
     return lc.redact(t.mem, t.mem.where("needs_review"), "request", NOW)[1].select("memory_id", "reason", "content_hash", "content_snapshot")
 
 
-SUBJ = """own AS (SELECT tenant_id, id FROM mem WHERE anchor_id = 2 AND NOT is_archived),
+SUBJ = """own AS (SELECT tenant_id, id FROM mem WHERE anchor_id IS NOT NULL AND NOT is_archived),
 clo AS (SELECT * FROM own UNION SELECT c.tenant_id, e.source_id FROM clo c JOIN edges e ON e.target_id = c.id AND e.relation_type = 'derived_from' JOIN mem m ON m.id = e.source_id AND m.tenant_id = c.tenant_id WHERE NOT m.is_archived),
-gone AS (SELECT id, true AS direct FROM mem WHERE anchor_id = 2 UNION SELECT id, false FROM clo WHERE id NOT IN (SELECT id FROM mem WHERE anchor_id = 2))"""
+gone AS (SELECT id, true AS direct FROM mem WHERE anchor_id IS NOT NULL UNION SELECT id, false FROM clo WHERE id NOT IN (SELECT id FROM mem WHERE anchor_id IS NOT NULL))"""
 
 
 def _subjects(t):
-    return t.mem.where("anchor_id = 2").select("tenant_id", "anchor_id").distinct()
+    return t.mem.where("anchor_id IS NOT NULL").select("tenant_id", "anchor_id").distinct()
 
 
 @query("purge_subject_log", "mem edges", f"""WITH RECURSIVE {SUBJ} SELECT g.id AS memory_id, CASE WHEN direct THEN 'deletion: anchor purge (erasure)' ELSE 'deletion: derived from purged subject (erasure)' END AS reason, sha256(content) AS content_hash, NULL::VARCHAR AS content_snapshot FROM gone g JOIN mem ON mem.id = g.id""")
@@ -143,7 +143,7 @@ def shred_subject(t):
     return rows.select("id", lc.is_shredded(F.col("content")).alias("shredded"))
 
 
-@query("shred_log", "mem edges", f"""WITH RECURSIVE {SUBJ} SELECT id AS memory_id, 'erasure' AS reason, sha256(content) AS content_hash FROM mem WHERE id IN (SELECT id FROM clo) UNION ALL SELECT DISTINCT anchor_id, 'subject erasure (GDPR): erasure', NULL FROM (SELECT DISTINCT tenant_id, anchor_id FROM mem WHERE anchor_id = 2) a""".replace("UNION ALL SELECT DISTINCT anchor_id", "UNION ALL SELECT anchor_id"))
+@query("shred_log", "mem edges", f"""WITH RECURSIVE {SUBJ} SELECT id AS memory_id, 'erasure' AS reason, sha256(content) AS content_hash FROM mem WHERE id IN (SELECT id FROM clo) UNION ALL SELECT DISTINCT anchor_id, 'subject erasure (GDPR): erasure', NULL FROM (SELECT DISTINCT tenant_id, anchor_id FROM mem WHERE anchor_id IS NOT NULL) a""".replace("UNION ALL SELECT DISTINCT anchor_id", "UNION ALL SELECT anchor_id"))
 def shred_log(t):
     ent = t.ent.withColumn("aliases", F.array("alias"))
     return lc.shred_subject(_subjects(t), t.mem, ent, t.mentions, t.edges, t.assoc, NOW)[1].select("memory_id", "reason", "content_hash")
