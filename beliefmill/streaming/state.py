@@ -1,0 +1,47 @@
+"""Versioned tables for micro-batch jobs: one folder per batch, so a replayed
+batch overwrites its own version and nothing else."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from beliefmill.session import prepare_checkpoints
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    prepare_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+class VersionedTable:
+    """Versions are numbered by batch id; readers ask for the newest below theirs."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _versions(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        found = []
+        for s in fs.listStatus(root):
+            name = s.getPath().getName()
+            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+                found.append(int(name[2:]))
+        return sorted(found)
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        vs = [v for v in self._versions() if before is None or v < before]
+        return self.spark.read.parquet(f"{self.path}/v={vs[-1]}") if vs else None
+
+    def read_all(self, before: int | None = None) -> DataFrame | None:
+        vs = [v for v in self._versions() if before is None or v < before]
+        return self.spark.read.parquet(*[f"{self.path}/v={v}" for v in vs]) if vs else None
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
