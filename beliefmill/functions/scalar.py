@@ -174,11 +174,14 @@ def reinforcement_factor(count: Column) -> Column:
 
 # -- text -------------------------------------------------------------------
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
+def words(items: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in items])
+
+
+def contains_any(text: Column, items: list[str]) -> Column:
+    """One lambda over a literal array keeps the expression small where it is
+    used several times; long OR chains dominate planning otherwise."""
+    return F.exists(words(items), lambda w: text.contains(w))
 
 
 def classify_type(content: Column) -> Column:
@@ -192,9 +195,7 @@ def classify_type(content: Column) -> Column:
 
 
 def marker_score(text: Column, markers: list[str]) -> Column:
-    hits = F.lit(0)
-    for m in markers:
-        hits = hits + text.contains(m).cast("int")
+    hits = F.size(F.filter(words(markers), lambda m: text.contains(m)))
     return F.least(F.lit(1.0), hits * 0.35)
 
 

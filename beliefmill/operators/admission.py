@@ -90,7 +90,8 @@ def decide(incoming: DataFrame, mem: DataFrame, settings: DataFrame, verdicts: D
     asked = scoped(inc.where("_logic"))
     rows = scoped(mem)
     stored = rows.where(live()).select(F.col("id").alias("rid"), F.col("emb").alias("rvec"), *SCOPE)
-    hits = match_blocks(_bands(asked), stored, SCOPE, 0.5, k=1, band=True)
+    both = scoped(incoming).withColumn("_two", F.explode(F.array(F.lit(0), F.lit(1))))
+    hits = match_blocks(_bands(asked), stored, SCOPE, 0.5, k=1, band=True, count_on=(both, rows))
     id_type = incoming.schema["id"].dataType
     best = hits.select(F.split("lid", ":")[0].cast(id_type).alias("id"), (F.split("lid", ":")[1] == "0").alias("act"), F.col("rid").alias("existing_id"), "sim",
                        F.lit(FAR).alias("late"))

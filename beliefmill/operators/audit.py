@@ -65,14 +65,16 @@ def seal_chain(rows: DataFrame, heads: DataFrame | None = None, segment_rows: in
     the next, so no task ever holds more than one segment.
     """
     rows = rows.withColumn("_tenant", F.coalesce(F.col("tenant_id").cast("string"), F.lit(NO_TENANT)))
-    numbered = number_rows(rows, ["_tenant"], [F.asc("created_at"), F.asc("id")], "_n")
+    # only ids and times are numbered; the bodies are hashed where they are and
+    # travel as digests
+    numbered = number_rows(rows.select("_tenant", "id", "created_at"), ["_tenant"], [F.asc("created_at"), F.asc("id")], "_n")
+    numbered = numbered.select("_tenant", "id", "_n").join(rows.select("_tenant", "id", body_digest(rows).alias("_digest")), ["_tenant", "id"])
     if heads is None:
         heads = rows.sparkSession.createDataFrame([], "tenant_id string, last_seq long, last_hash string")
     start = heads.select(F.col("tenant_id").cast("string").alias("_tenant"), F.col("last_seq").alias("_s"), F.col("last_hash").alias("_h"))
-    links = numbered.join(start, "_tenant", "left").select(
+    links = pin(numbered.join(start, "_tenant", "left").select(
         "_tenant", "id", (F.col("_n") + F.coalesce("_s", F.lit(0))).alias("seq"), F.floor((F.col("_n") - 1) / segment_rows).cast("int").alias("_seg"),
-        body_digest(numbered).alias("_digest"), F.coalesce("_h", F.lit("")).alias("_h"))
-    links = pin(links)
+        "_digest", F.coalesce("_h", F.lit("")).alias("_h")))
     last = links.agg(F.max("_seg")).first()[0]
     schema = T.StructType([T.StructField("_tenant", T.StringType()), T.StructField("id", links.schema["id"].dataType),
                            T.StructField("seq", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
@@ -99,9 +101,7 @@ def seal_chain(rows: DataFrame, heads: DataFrame | None = None, segment_rows: in
             head_rows = part.sparkSession.createDataFrame([], "_tenant string, _head string")
         else:
             head_rows = head
-        linked = head_rows.groupBy("_tenant").cogroup(part.groupBy("_tenant")).applyInArrow(link, schema)
-        if last > 0:
-            linked = pin(linked)
+        linked = pin(head_rows.groupBy("_tenant").cogroup(part.groupBy("_tenant")).applyInArrow(link, schema))
         head = linked.groupBy("_tenant").agg(F.max_by("row_hash", "seq").alias("_head"))
         done = linked if done is None else done.unionByName(linked)
     if done is None:

@@ -10,7 +10,7 @@ from beliefmill.functions import scalar as sc
 from beliefmill.operators.beliefs import active
 from beliefmill.operators.recall import find_similar, recall_similarity
 from beliefmill.operators.similarity import match_blocks, top_by
-from beliefmill.session import instant, pin
+from beliefmill.session import instant, pin, small_side
 
 EDGE = ["source_id", "target_id", "relation_type"]
 MIN_ACTIVATION, SEED_SCORE = 0.1, 0.5
@@ -137,15 +137,17 @@ def activate_graph(seeds: DataFrame, edges: DataFrame, hops: int = 2, *, relatio
             backward = (F.col("relation_type") == "causal") & (F.col("other_at") < F.col("node_at"))
             hop = hop.where(~F.coalesce(backward, F.lit(False)))
     gain = F.col("strength").cast("double") * sc.relation_multiplier(F.col("relation_type"))
-    hop = hop.select("node", "other", gain.alias("gain")).groupBy("node", "other").agg(F.max("gain").alias("gain"))
-    frontier = seeds.where(F.col("score") > SEED_SCORE).select("query_id", F.col("id").alias("node"), F.col("score").cast("double").alias("a"), F.array("id").alias("path"))
+    hop = hop.select("node", "other", gain.alias("gain"))
+    frontier = pin(seeds.where(F.col("score") > SEED_SCORE).select("query_id", F.col("id").alias("node"), F.col("score").cast("double").alias("a"), F.array("id").alias("path")))
     seen = frontier.select("query_id", F.col("node").alias("other"))
     found = None
     for h in range(1, hops + 1):
-        step = frontier.join(hop, "node").select("query_id", "other", (F.col("a") * F.col("gain")).alias("a"), F.array_append("path", F.col("other")).alias("path"))
-        step = step.where(F.col("a") > MIN_ACTIVATION).join(seen, ["query_id", "other"], "left_anti")
-        best = step.groupBy("query_id", "other").agg(F.min(F.struct((-F.col("a")).alias("na"), "path")).alias("b")).select(
-            "query_id", F.col("other").alias("node"), (-F.col("b.na")).alias("a"), F.col("b.path").alias("path"))
+        # a small frontier goes to the edges, which then need no shuffle
+        step = hop.join(small_side(frontier), "node").select("query_id", "other", (F.col("a") * F.col("gain")).alias("a"), "path")
+        step = step.where(F.col("a") > MIN_ACTIVATION).join(small_side(seen), ["query_id", "other"], "left_anti")
+        # compared at nine digits, so that equal products in another order tie
+        best = step.groupBy("query_id", "other").agg(F.min(F.struct((-F.round("a", 9)).alias("na"), "path", "a")).alias("b")).select(
+            "query_id", F.col("other").alias("node"), F.col("b.a").alias("a"), F.array_append("b.path", F.col("other")).alias("path"))
         if h < hops:
             # later hops read this frontier twice; keep it instead of recomputing it
             best = pin(best)
@@ -202,17 +204,17 @@ def traverse_paths(starts: DataFrame, edges: DataFrame, depth: int = 2, relation
     if relations:
         hop = hop.where(F.col("relation_type").isin(*relations))
     hop = hop.select("node", "other", F.col("strength").cast("double").alias("s"))
-    frontier = starts.select("query_id", F.col("id").alias("node"), F.lit(1.0).alias("strength"), F.array("id").alias("path"))
+    frontier = pin(starts.select("query_id", F.col("id").alias("node"), F.lit(1.0).alias("strength"), F.array("id").alias("path")))
     seen, out = frontier.select("query_id", F.col("node").alias("other")), None
     for d in range(1, depth + 1):
-        step = frontier.join(hop, "node").join(seen, ["query_id", "other"], "left_anti").select(
+        step = hop.join(small_side(frontier), "node").join(small_side(seen), ["query_id", "other"], "left_anti").select(
             "query_id", F.col("other").alias("node"), (F.col("strength") * F.col("s")).alias("strength"), F.array_append("path", F.col("other")).alias("path"))
         part = step.select("query_id", "path", F.size("path").alias("path_length"), "strength")
         out = part if out is None else out.unionByName(part)
         if d == depth:
             break
-        best = step.groupBy("query_id", "node").agg(F.min(F.struct((-F.col("strength")).alias("ns"), "path")).alias("b"))
-        frontier = pin(best.select("query_id", "node", (-F.col("b.ns")).alias("strength"), F.col("b.path").alias("path")))
+        best = step.groupBy("query_id", "node").agg(F.min(F.struct((-F.round("strength", 9)).alias("ns"), "path", "strength")).alias("b"))
+        frontier = pin(best.select("query_id", "node", F.col("b.strength").alias("strength"), F.col("b.path").alias("path")))
         seen = seen.unionByName(frontier.select("query_id", F.col("node").alias("other")))
     return out
 
@@ -222,11 +224,12 @@ def relationships(starts: DataFrame, edges: DataFrame, depth: int = 1) -> DataFr
     depth = min(max(depth, 1), 3)
     keep = ["relation_type", "strength", "traversal_count"]
     ends = edges.select("source_id", "target_id", *keep)
-    seen = starts.select("query_id", F.col("id").alias("node"))
+    seen = pin(starts.select("query_id", F.col("id").alias("node")))
     fresh, out = seen, None
     for d in range(1, depth + 1):
-        touch = fresh.join(ends.withColumn("node", F.col("source_id")), "node").unionByName(
-            fresh.join(ends.withColumn("node", F.col("target_id")), "node")).drop("node").distinct()
+        near = small_side(fresh)
+        touch = ends.withColumn("node", F.col("source_id")).join(near, "node").unionByName(
+            ends.withColumn("node", F.col("target_id")).join(near, "node")).drop("node").distinct()
         nodes = touch.select("query_id", F.explode(F.array("source_id", "target_id")).alias("node")).distinct()
         part = touch.withColumn("depth", F.lit(d))
         out = part if out is None else out.unionByName(part)

@@ -62,7 +62,7 @@ def lexical_scores(mem: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score): rows holding every query word, scored by BM25 over
     the given rows as corpus; scope is tenant and agent of the query."""
     words = mem.select("id", "tenant_id", "agent_id", sc.tokens(F.col("content")).alias("_w"))
-    corpus = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("_w")).alias("avg_len"))
+    n_docs, avg_len = words.agg(F.count("*"), F.avg(F.size("_w"))).first()
     terms = queries.select("query_id", F.col("tenant_id").alias("q_tenant"), F.col("agent_id").alias("q_agent"),
                            F.array_distinct(sc.tokens(F.col("text"))).alias("_t"))
     terms = terms.select("query_id", "q_tenant", "q_agent", F.size("_t").alias("n_terms"), F.explode("_t").alias("token"))
@@ -73,14 +73,11 @@ def lexical_scores(mem: DataFrame, queries: DataFrame) -> DataFrame:
         .groupBy("token", "id", "tenant_id", "agent_id", "len").agg(F.count("*").alias("tf"))
     )
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.join(corpus).select(
-        "token", "avg_len",
-        F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-    )
+    idf = df.select("token", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     scope = (F.col("tenant_id") == F.col("q_tenant")) & (F.col("q_agent").isNull() | (F.col("agent_id") == F.col("q_agent")))
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (BM25_K1 + 1) / (
-        tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
+        tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.lit(float(avg_len or 1.0)))
     )
     return (
         hits.join(terms.join(idf, "token"), "token").where(scope)

@@ -28,6 +28,8 @@ from beliefmill.functions.vectors import matrix, unit_rows
 MAX_SHIPPED_QUERIES = 4096
 BLOCK_ROWS = 4096
 PIVOTS = 64
+# equal vectors must tie exactly, wherever they stand in a matrix product
+SIM_DIGITS = 12
 
 
 def top_by(df: DataFrame, keys: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
@@ -82,7 +84,7 @@ def score_queries(rows: DataFrame, queries: DataFrame, *, k: int | None = None,
             m = matrix(b.column(vec))
             if cosine:
                 m = unit_rows(m)
-            s = m @ qm.T
+            s = np.round(m @ qm.T, SIM_DIGITS)
             ok = np.ones(s.shape, dtype=bool)
             for i, name in enumerate(scope):
                 col = np.array(b.column(name).to_pylist(), dtype=object)
@@ -159,16 +161,25 @@ def _route(df: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray, reach:
     return df.mapInArrow(run, schema)
 
 
+def _largest_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group on the right and on the left, in one job."""
+    side = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    n = side.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).agg(F.max("_r"), F.max("_l")).first()
+    return n[0] or 0, n[1] or 0
+
+
 def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: float, *, k: int | None = None,
                  order: str = "sim", cosine: bool = True, bonus: str | None = None, drop_self: bool = False,
-                 one_way: bool = False, band: bool = False, block_rows: int = BLOCK_ROWS,
+                 one_way: bool = False, band: bool = False,
+                 count_on: tuple[DataFrame, DataFrame] | None = None, block_rows: int = BLOCK_ROWS,
                  n_pivots: int = PIVOTS) -> DataFrame:
     """Pairs (lid, rid, sim) with similarity >= theta and equal keys.
 
     left: lid, lvec, *keys; right: rid, rvec, *keys and ``rord`` when ``order``
     is "rord" (smallest first). With k, only the k best per left row. ``one_way``
     keeps pairs with lid < rid; ``band`` limits each left row to its own
-    similarity range [lfloor, lcap).
+    similarity range [lfloor, lcap). ``count_on`` names cheaper tables, with at
+    least as many rows per key, to take the group sizes from.
     """
     if not keys:
         left, right, keys = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), ["_all"]
@@ -179,8 +190,8 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
     right = right.select(*[F.col(c).alias(c) for c in right_cols])
 
     # counted before the vectors are touched, so only the keys are read
-    sizes = right.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    lsizes = left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    count_left, count_right = count_on or (left, right)
+    sizes, lsizes = _largest_groups(count_left, count_right, keys)
     big = max(sizes, lsizes) > block_rows
     left = left.where(F.col("lvec").isNotNull())
     right = right.where(F.col("rvec").isNotNull())
@@ -249,7 +260,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
             low, high = (lt.column(c).to_numpy(zero_copy_only=False) for c in limits)
         outs = []
         for a in range(0, len(lid), 1024):
-            s = lm[a:a + 1024] @ rm.T
+            s = np.round(lm[a:a + 1024] @ rm.T, SIM_DIGITS)
             ok = s >= theta
             if band:
                 ok &= (s >= low[a:a + 1024][:, None]) & (s < high[a:a + 1024][:, None])

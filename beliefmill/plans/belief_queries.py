@@ -434,7 +434,7 @@ def reembed_query(t):
     return reembed(t.mem, 64).select("id", F.size("emb").alias("width"))
 
 
-@query("upsert_keep", "contra", "SELECT belief_id, contradicted_by_id, min(sec) AS sec FROM (SELECT belief_id, contradicted_by_id, epoch(detected_at)::BIGINT AS sec FROM contra UNION ALL SELECT belief_id, contradicted_by_id + belief_id % 2, epoch(detected_at)::BIGINT + 99999999 FROM contra) x GROUP BY 1, 2")
+@query("upsert_keep", "contra", "SELECT belief_id, contradicted_by_id, min(sec) AS sec FROM (SELECT belief_id, contradicted_by_id, floor(epoch(detected_at))::BIGINT AS sec FROM contra UNION ALL SELECT belief_id, contradicted_by_id + belief_id % 2, floor(epoch(detected_at))::BIGINT + 99999999 FROM contra) x GROUP BY 1, 2")
 def upsert_keep(t):
     base = t.contra.select("belief_id", "contradicted_by_id", F.unix_timestamp("detected_at").alias("sec"))
     more = base.select("belief_id", (F.col("contradicted_by_id") + F.col("belief_id") % 2).alias("contradicted_by_id"), (F.col("sec") + 99999999).alias("sec"))

@@ -111,10 +111,10 @@ def activate_sql(where="true", join=""):
     return f"""hop AS (SELECT node, other, max(strength::DOUBLE * {MULT}) AS gain FROM {BW} b {join} WHERE {where} GROUP BY ALL),
 f0 AS (SELECT query_id, id AS node, score AS a, [id] AS path FROM seeds WHERE score > 0.5),
 s1 AS (SELECT f.query_id, h.other, f.a * h.gain AS a, list_append(f.path, h.other) AS path FROM f0 f JOIN hop h ON h.node = f.node WHERE f.a * h.gain > 0.1 AND NOT EXISTS (SELECT 1 FROM f0 z WHERE z.query_id = f.query_id AND z.node = h.other)),
-f1 AS (SELECT query_id, other AS node, a, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, other ORDER BY a DESC, path) AS rk FROM s1) x WHERE rk = 1),
+f1 AS (SELECT query_id, other AS node, a, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, other ORDER BY round(a, 9) DESC, path) AS rk FROM s1) x WHERE rk = 1),
 s2 AS (SELECT f.query_id, h.other, f.a * h.gain AS a, list_append(f.path, h.other) AS path FROM f1 f JOIN hop h ON h.node = f.node WHERE f.a * h.gain > 0.1
   AND NOT EXISTS (SELECT 1 FROM f0 z WHERE z.query_id = f.query_id AND z.node = h.other) AND NOT EXISTS (SELECT 1 FROM f1 z WHERE z.query_id = f.query_id AND z.node = h.other)),
-f2 AS (SELECT query_id, other AS node, a, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, other ORDER BY a DESC, path) AS rk FROM s2) x WHERE rk = 1),
+f2 AS (SELECT query_id, other AS node, a, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, other ORDER BY round(a, 9) DESC, path) AS rk FROM s2) x WHERE rk = 1),
 act AS (SELECT *, 1 AS hops FROM f1 UNION ALL SELECT *, 2 AS hops FROM f2)"""
 
 
@@ -182,7 +182,7 @@ def entities_for_memory(t):
 @query("traverse_paths", "starts edges", f"""
 WITH b AS (SELECT node, other, strength::DOUBLE AS s FROM {BW} x WHERE relation_type IN ('supports', 'causal', 'derived_from')), f0 AS (SELECT query_id, id AS node, 1.0::DOUBLE AS strength, [id] AS path FROM starts),
 s1 AS (SELECT f.query_id, b.other AS node, f.strength * b.s AS strength, list_append(path, b.other) AS path FROM f0 f JOIN b ON b.node = f.node WHERE b.other <> f.node),
-f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY strength DESC, path) AS rk FROM s1) x WHERE rk = 1),
+f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY round(strength, 9) DESC, path) AS rk FROM s1) x WHERE rk = 1),
 s2 AS (SELECT f.query_id, b.other AS node, f.strength * b.s AS strength, list_append(path, b.other) AS path FROM f1 f JOIN b ON b.node = f.node WHERE NOT EXISTS (SELECT 1 FROM f0 z WHERE z.query_id = f.query_id AND z.node = b.other) AND NOT EXISTS (SELECT 1 FROM f1 z WHERE z.query_id = f.query_id AND z.node = b.other)),
 p AS (SELECT query_id, path, strength FROM s1 UNION ALL SELECT query_id, path, strength FROM s2)
 SELECT query_id, len(path) AS path_length, path[len(path)] AS node, count(*) AS n, round(sum(strength), 6) AS total, round(max(strength), 6) AS best FROM p GROUP BY ALL""")

@@ -69,5 +69,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small_side(pinned: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a pinned table whose counted size is within the bound;
+    beyond it Spark's own join choice stands. Counting reads only the pinned rows."""
+    return F.broadcast(pinned) if pinned.count() <= rows else pinned
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
