@@ -164,8 +164,8 @@ def recall_hybrid(mem: DataFrame, edges: DataFrame, queries: DataFrame, k: int =
     seeds = pin(recall_similarity(mem, queries, k=2 * k, keep=(), **scope))
     reached = activate_graph(seeds, edges, hops)
     # graph hits must be readable: active rows of the query's tenant
-    visible = mem.where(active()).select("id", "tenant_id").join(queries.select("query_id", "tenant_id"), "tenant_id")
-    graph = reached.join(visible.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    owned = reached.join(mem.where(active()).select("id", "tenant_id"), "id")
+    graph = owned.join(queries.select("query_id", "tenant_id"), ["query_id", "tenant_id"], "left_semi")
     both = seeds.select("query_id", "id", F.col("score").alias("v")).join(
         graph.select("query_id", "id", F.col("activation").alias("g"), "hops"), ["query_id", "id"], "full_outer")
     wv, wg = vector_weight or 0.6, graph_weight or 0.4
@@ -256,7 +256,7 @@ def derived_closure(roots: DataFrame, edges: DataFrame, mem: DataFrame) -> DataF
         fresh = pin(step.join(found, ["tenant_id", "id"], "left_anti"))
         if fresh.isEmpty():
             break
-        found = pin(found.unionByName(fresh))
+        found = found.unionByName(fresh)
     return found.join(roots, ["tenant_id", "id"], "left_anti")
 
 

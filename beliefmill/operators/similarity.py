@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,12 @@ def score_queries(rows: DataFrame, queries: DataFrame, *, k: int | None = None,
     qm = np.array([list(r["vec"]) for r in head], dtype=np.float64) if head else np.zeros((0, 0))
     if cosine and len(head):
         qm = unit_rows(qm)
-    qscope = [[r[s] for r in head] for s in scope]
+    # queries of one scope share a row selection and one product
+    shared: dict[tuple, list[int]] = {}
+    for i, r in enumerate(head):
+        shared.setdefault(tuple(r[s] for s in scope), []).append(i)
+    groups = [(want, np.array(members)) for want, members in shared.items()]
+    known = [[w for w in dict.fromkeys(want[i] for want in shared) if w is not None] for i in range(len(scope))]
     extra = [bonus] if bonus else []
     base = rows.select("id", *scope, vec, *extra, *[c for c in keep if c not in scope and c not in extra and c != "id"])
     out_cols = ["id", *[c for c in keep if c != "id"]]
@@ -84,24 +90,32 @@ def score_queries(rows: DataFrame, queries: DataFrame, *, k: int | None = None,
             m = matrix(b.column(vec))
             if cosine:
                 m = unit_rows(m)
-            s = np.round(m @ qm.T, SIM_DIGITS)
-            ok = np.ones(s.shape, dtype=bool)
-            for i, name in enumerate(scope):
-                col = np.array(b.column(name).to_pylist(), dtype=object)
-                want = np.array(qscope[i], dtype=object)
-                any_ = np.array([w is None for w in want])
-                ok &= (col[:, None] == want[None, :]) | any_[None, :]
-            if min_sim is not None:
-                ok &= s >= min_sim
-            if bonus:
-                s = s + b.column(bonus).to_numpy(zero_copy_only=False)[:, None]
-            ri, qi = np.nonzero(_keep_best(s, ok, k))
-            if len(ri) == 0:
+            add = b.column(bonus).to_numpy(zero_copy_only=False) if bonus else None
+            codes = [
+                pc.fill_null(pc.index_in(b.column(name), pa.array(known[i], b.column(name).type)), -1).to_numpy(zero_copy_only=False)
+                for i, name in enumerate(scope)
+            ]
+            found = []
+            for want, members in groups:
+                pick = np.ones(b.num_rows, dtype=bool)
+                for i, w in enumerate(want):
+                    if w is not None:
+                        pick &= codes[i] == known[i].index(w)
+                at = np.nonzero(pick)[0]
+                if len(at) == 0:
+                    continue
+                s = np.round(m[at] @ qm[members].T, SIM_DIGITS)
+                ok = np.ones(s.shape, dtype=bool) if min_sim is None else s >= min_sim
+                if add is not None:
+                    s = s + add[at][:, None]
+                ri, qi = np.nonzero(_keep_best(s, ok, k))
+                if len(ri):
+                    found.append((at[ri], members[qi], s[ri, qi]))
+            if not found:
                 continue
+            ri, qi, sim = (np.concatenate(x) for x in zip(*found))
             taken = [b.column(c).take(pa.array(ri)) for c in out_cols]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[qi]), pa.array(s[ri, qi])] + taken, names=["query_id", "score"] + out_cols
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(sim)] + taken, names=["query_id", "score"] + out_cols)
 
     scored = base.mapInArrow(run, schema)
     if k is None:

@@ -362,15 +362,14 @@ def schema_scores(t):
                         r6(sc.initial_schema_confidence(F.col("id") % 9), "init"))
 
 
-@query("evidence_arrays", "sch mem", """
-WITH e AS (SELECT s.id, list(m.id ORDER BY m.id) AS ids FROM sch s JOIN mem m ON m.label = s.label AND m.agent_id = s.agent_id GROUP BY s.id)
-SELECT id, len(ids)::BIGINT AS n, len(list_filter(ids, lambda x: x <> id % 7))::BIGINT AS after_remove, len(list_distinct(list_concat(ids, [id, -1::BIGINT])))::BIGINT AS after_union FROM e""")
+@query("evidence_arrays", "mem", """
+WITH e AS (SELECT id, label, [id % 7, label, access_count::BIGINT] AS ids FROM mem)
+SELECT id, len(ids)::BIGINT + 1 AS appended, len(list_filter(ids, lambda x: x <> label))::BIGINT AS removed, len(list_distinct(list_concat(ids, [id, -1::BIGINT])))::BIGINT AS united FROM e""")
 def evidence_arrays(t):
-    m = t.mem.select(F.col("id").alias("mid"), "label", "agent_id")
-    e = t.sch.join(m, ["label", "agent_id"]).groupBy("id").agg(F.collect_set("mid").alias("ids"))
-    removed = F.filter("ids", lambda x: x != F.col("id") % 7)
-    return e.select("id", F.size("ids").cast("long").alias("n"), F.size(removed).cast("long").alias("after_remove"),
-                    F.size(F.array_union("ids", F.array(F.col("id"), F.lit(-1).cast("long")))).cast("long").alias("after_union"))
+    ids = F.array(F.col("id") % 7, F.col("label").cast("long"), F.col("access_count").cast("long"))
+    n = lambda c: F.size(c).cast("long")
+    return t.mem.select("id", n(F.array_append(ids, F.col("id"))).alias("appended"), n(F.array_remove(ids, F.col("label").cast("long"))).alias("removed"),
+                        n(F.array_union(ids, F.array(F.col("id"), F.lit(-1).cast("long")))).alias("united"))
 
 
 @query("json_props", "events", """

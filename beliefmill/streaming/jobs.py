@@ -14,7 +14,7 @@ from beliefmill.operators import audit as au
 from beliefmill.operators import dynamics as dy
 from beliefmill.operators.learning import learning_counters
 from beliefmill.session import pin
-from beliefmill.streaming.state import VersionedTable, scratch
+from beliefmill.streaming.state import KeyedState, VersionedTable, scratch
 
 
 def drain(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -65,16 +65,16 @@ class FeedbackStream:
 
     def __init__(self, spark: SparkSession, mem: DataFrame, folder: str, delay_hours: float = 24.0):
         self.spark, self.delay = spark, int(delay_hours * 3_600_000_000)
-        self.state = VersionedTable(spark, f"{folder}/state")
+        self.state = KeyedState(spark, f"{folder}/state")
         self.waiting = VersionedTable(spark, f"{folder}/waiting")
         self.mark = VersionedTable(spark, f"{folder}/mark")
-        if self.state.read() is None:
-            self.state.write(mem.select("id", F.col("confidence").cast("double").alias("confidence"), F.col("reinforcement_count").cast("long").alias("reinforcement_count")), -1)
+        if self.state.empty():
+            self.state.start(mem.select("id", F.col("confidence").cast("double").alias("confidence"), F.col("reinforcement_count").cast("long").alias("reinforcement_count")))
 
     def _fold(self, base: DataFrame, due: DataFrame) -> DataFrame:
-        done = dy.apply_feedback(base, due).select(F.col("memory_id").alias("id"), "new_confidence", "new_count")
-        return base.join(done, "id", "left").select(
-            "id", F.coalesce("new_confidence", "confidence").alias("confidence"), F.coalesce("new_count", "reinforcement_count").alias("reinforcement_count"))
+        """The beliefs changed by the due events."""
+        return dy.apply_feedback(base, due).select(
+            F.col("memory_id").alias("id"), F.col("new_confidence").alias("confidence"), F.col("new_count").alias("reinforcement_count"))
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
         rows = rows.select("id", "memory_id", "created_at", "signal_type")
@@ -97,7 +97,10 @@ class FeedbackStream:
     def result(self, flush: bool = True) -> DataFrame:
         """Current beliefs; with flush the waiting events are folded as well."""
         state, held = self.state.read(), self.waiting.read()
-        return self._fold(state, held) if flush and held is not None else state
+        if not flush or held is None:
+            return state
+        last = self._fold(state, held)
+        return last.unionByName(state.join(last.select("id"), "id", "left_anti"))
 
     def dropped(self) -> int:
         m = self.mark.read()
@@ -108,15 +111,14 @@ class AccessStream:
     """Access boosts applied per micro-batch; nothing is dropped under load."""
 
     def __init__(self, spark: SparkSession, mem: DataFrame, folder: str):
-        self.state = VersionedTable(spark, f"{folder}/state")
-        if self.state.read() is None:
-            self.state.write(mem.select("id", F.col("confidence").cast("double").alias("confidence"), F.col("access_count").cast("long").alias("access_count")), -1)
+        self.state = KeyedState(spark, f"{folder}/state")
+        if self.state.empty():
+            self.state.start(mem.select("id", F.col("confidence").cast("double").alias("confidence"), F.col("access_count").cast("long").alias("access_count")))
 
     def batch(self, hits: DataFrame, batch_id: int) -> None:
         base = self.state.read(before=batch_id)
-        done = dy.apply_access(base, hits).select("id", "new_confidence", "new_access_count")
-        self.state.write(base.join(done, "id", "left").select(
-            "id", F.coalesce("new_confidence", "confidence").alias("confidence"), F.coalesce("new_access_count", "access_count").alias("access_count")), batch_id)
+        self.state.write(dy.apply_access(base, hits).select(
+            "id", F.col("new_confidence").alias("confidence"), F.col("new_access_count").alias("access_count")), batch_id)
 
     def run(self, hits: DataFrame, checkpoint: str) -> None:
         drain(hits, self.batch, checkpoint)

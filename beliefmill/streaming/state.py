@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from beliefmill.session import prepare_checkpoints
 
@@ -45,3 +46,34 @@ class VersionedTable:
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+
+
+class KeyedState:
+    """Newest row per id over a base version and the changes of later batches.
+
+    A batch writes only the rows it changed; every ``compact`` batches the merged
+    table is written as a new base, so reads stay short.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, compact: int = 20):
+        self.base, self.changes, self.compact = VersionedTable(spark, f"{path}/base"), VersionedTable(spark, f"{path}/changes"), compact
+
+    def empty(self) -> bool:
+        return not self.base._versions()
+
+    def start(self, df: DataFrame) -> None:
+        self.base.write(df, -1)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        first = max(v for v in self.base._versions() if before is None or v < before)
+        out = self.base.spark.read.parquet(f"{self.base.path}/v={first}").withColumn("_v", F.lit(first))
+        for v in self.changes._versions():
+            if v > first and (before is None or v < before):
+                out = out.unionByName(self.changes.spark.read.parquet(f"{self.changes.path}/v={v}").withColumn("_v", F.lit(v)))
+        rest = [c for c in out.columns if c not in ("id", "_v")]
+        return out.groupBy("id").agg(F.max_by(F.struct(*rest), "_v").alias("_r")).select("id", *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+    def write(self, changed: DataFrame, batch: int) -> None:
+        self.changes.write(changed, batch)
+        if batch > 0 and batch % self.compact == 0:
+            self.base.write(self.read(before=batch + 1), batch)
