@@ -46,7 +46,7 @@ def extractable_episodes(t):
 
 
 def _extracted(t):
-    x = t.ep.select(F.col("id").alias("belief_key"), F.col("id").alias("episode_id"), F.substring("raw_content", 1, 80).alias("content"), F.lit("fact").alias("type"),
+    x = t.ep.select(F.col("id").alias("belief_key"), F.col("id").alias("episode_id"), F.col("raw_content").alias("content"), F.lit("fact").alias("type"),
                     F.when(F.col("id") % 2 == 0, "implicit_inference").otherwise("").alias("evidence"), F.lit(0.7).alias("confidence"), "vec_id")
     return t.with_vec(x)
 

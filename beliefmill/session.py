@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +64,16 @@ def prepare_checkpoints(spark: SparkSession) -> None:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write the rows once to the checkpoint folder and read them from there, so
-    that later branches and retried tasks all see the same rows."""
-    prepare_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once as a table in the shared folder and read them from there.
+
+    Later branches and retried tasks then all see the same rows, lost executors
+    cost no lineage, and the plan above knows the real size and can prune columns.
+    """
+    spark = df.sparkSession
+    prepare_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pin-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_ROWS = 200_000
