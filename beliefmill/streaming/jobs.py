@@ -77,7 +77,7 @@ class FeedbackStream:
             F.col("memory_id").alias("id"), F.col("new_confidence").alias("confidence"), F.col("new_count").alias("reinforcement_count"))
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
-        rows = rows.select("id", "memory_id", "created_at", "signal_type")
+        rows = pin(rows.select("id", "memory_id", "created_at", "signal_type"))  # read several times below
         old = self.mark.read(before=batch_id)
         before, dropped = (old.first()[0], old.first()[1]) if old is not None else (-(2 ** 62), 0)
         at = F.unix_micros("created_at")
@@ -86,7 +86,7 @@ class FeedbackStream:
         late = rows.where(at <= before).count()
         kept = rows.where(at > before)
         held = self.waiting.read(before=batch_id)
-        pool = pin(kept if held is None else kept.unionByName(held))
+        pool = kept if held is None else kept.unionByName(held)
         self.state.write(self._fold(self.state.read(before=batch_id), pool.where(at <= now)), batch_id)
         self.waiting.write(pool.where(at > now), batch_id)
         self.mark.write(self.spark.createDataFrame([(now, dropped + late)], "mark long, dropped long"), batch_id)
