@@ -11,9 +11,10 @@ Labelled shingles are unique in a text, so the best alignment is the longest inc
 run of matched positions. Linked texts form groups by transitive closure.
 
 Equal texts are combined first. No key ever has all its pairs emitted: its texts are compared
-with one leader, the text that shares keys with most others; after the groups are joined,
-only texts of one key that are still in different groups are compared (all of them, so no
-link between groups is lost).
+with one leader, the text that shares keys with most others. Texts of one key that are still
+in different groups can only be linked if they share a shingle that their leader lacks, or
+if their sizes and differences from it leave room (see ``candidates``); those pairs, found by
+equality joins, are compared too, so no link between texts that share a key is lost.
 
 Defined results: null texts and texts without a word are empty and form one group of equal
 texts only if they are equal; repeated rows fall into one group; the class id is the smallest
@@ -193,6 +194,59 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _differences(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[bytes, np.ndarray] = {}
+            out: list[tuple] = []
+            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+                if b not in known:
+                    known = {b: shingles([tb])[0]}
+                x, led = shingles([ta])[0], known[b]
+                added = np.setdiff1d(x, led, assume_unique=True)
+                few = np.sort(added)[: int((1 - similarity) * len(x) + 1e-9) + 1]
+                apart = len(led) - len(x) + 2 * len(added)
+                out.append((a, b, len(x), len(led), apart, aligned(x, led, similarity), few.astype(np.int64)))
+            if out:
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["tid", "leader", "n", "n_leader", "apart", "linked", "added"])
+
+    return run
+
+
+def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """For pairs (a, b) of a text and a leader: sizes, the size of the symmetric difference of
+    their labelled shingles, whether they are linked, and of the shingles that only the text
+    has, the smallest ones: one more than a linked text may lack."""
+    t = texts.select("tid", "text")
+    both = pairs.join(t.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.sortWithinPartitions("b", "a").mapInArrow(_differences(similarity), "tid binary, leader binary, n long, n_leader long, apart long, linked boolean, added array<bigint>")
+
+
+def candidates(member: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one leader's texts in different groups that may still be linked.
+
+    Linked texts lack at most (1 - similarity) of each other's shingles. If they share one that
+    their leader lacks, the smallest such is among the kept ones of both. If they share none,
+    they differ in all that either adds and in at least the difference of what either drops,
+    so with u = (1 - similarity) / (1 + similarity) their difference is at least
+    apart(x) + n(y) - n_leader, and must not exceed u (n(x) + n(y)); and the same the other way.
+    """
+    u = (1 - similarity) / (1 + similarity)
+    most = (u * F.col("n") + F.col("n_leader") - F.col("apart")) / (1 - u) + 1e-6
+    member = member.withColumn("most", most)
+    # groups differ, and neither the sizes nor the distances from the leader rule a link out
+    apart = (F.col("x.root") < F.col("y.root")) & (F.col("x.n") >= F.col("y.n") * similarity - 1e-6) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-6)
+    apart &= F.abs(F.col("x.apart") - F.col("y.apart")) <= u * (F.col("x.n") + F.col("y.n")) + 1e-6
+    token = member.select("leader", "tid", "root", "n", "apart", F.explode("added").alias("token"))
+    shared = token.alias("x").join(token.alias("y"), (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & apart)
+    near = member.where(F.col("most") >= F.col("n") * similarity - 1e-6)
+    x, y = near.alias("x"), near.alias("y")
+    close = x.join(y, (F.col("x.leader") == F.col("y.leader")) & apart & (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most")))
+    pick = [F.col("x.tid").alias("a"), F.col("y.tid").alias("b")]
+    return shared.select(*pick).union(close.select(*pick)).distinct()
+
+
 def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(tid, root) of every text that has a near-duplicate among the distinct ``texts``."""
     keys = texts.select("tid", "text").mapInArrow(_sketch, "tid binary, keys array<bigint>").select("tid", F.explode("keys").alias("key"))
@@ -203,26 +257,22 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     leaders = shared.join(degree, "tid").groupBy("key").agg(F.max(F.struct("degree", "tid")).alias("top"))
     led = pin(shared.join(leaders, "key").select("key", "tid", "top"))
     best = led.groupBy("tid").agg(F.max("top").alias("top")).select(F.col("tid").alias("a"), F.col("top.tid").alias("b")).where("a <> b")
-    pairs = pin(best)
-    edges = pin(linked(pairs, own, similarity))
-    for every_pair in (False, True):
-        root = components(edges)
-        member = shared.select("key", "tid").join(root, "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
-        if every_pair:
-            open_keys = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-            left = pin(member.join(open_keys, "key"))
-            other = left.select("key", F.col("tid").alias("b"), F.col("root").alias("root_b"))
-            more = left.join(other, "key").where("root < root_b").select(F.col("tid").alias("a"), "b")
-        else:
-            top = led.select("key", "tid", F.col("top.tid").alias("b")).join(root.select(F.col("tid").alias("b"), F.col("root").alias("root_b")), "b", "left")
-            top = top.join(root, "tid", "left").where(F.coalesce("root", "tid") != F.coalesce("root_b", "b"))
-            more = top.select(F.col("tid").alias("a"), "b")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = pin(more.join(tried, ["a", "b"], "left_anti"))
-        pairs = pairs.unionByName(more)
-        edges = edges.unionByName(pin(linked(more, own, similarity)))
-    return components(edges)
+    edges = pin(linked(best, own, similarity))
+
+    def open_keys(root: DataFrame) -> DataFrame:
+        """Rows (key, tid, leader) of the keys whose texts are in more than one group."""
+        member = led.select("key", "tid", F.col("top.tid").alias("leader")).join(root, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        several = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        return member.join(several, "key")
+
+    pairs = open_keys(components(edges)).where("tid <> leader").select(F.col("tid").alias("a"), F.col("leader").alias("b")).distinct()
+    compared = pin(differences(pairs, own, similarity))
+    edges = edges.union(compared.where("linked").select("tid", "leader"))
+    root = components(edges)
+    left = open_keys(root).select("leader").distinct()
+    member = compared.drop("linked").join(left, "leader", "left_semi").join(root, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    last = pin(linked(candidates(pin(member), similarity), own, similarity))
+    return components(edges.union(last))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
