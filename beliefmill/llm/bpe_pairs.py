@@ -15,21 +15,27 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmill.llm.common import blanks, slices, strings, text_of
+from beliefmill.llm.common import ODD_SPACES, slices, strings, text_of
 
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 1_000_000
+# The same for texts whose characters beyond ASCII are all Latin letters, for the faster library.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+BEYOND_LATIN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+CACHE_WORDS = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,7 +59,7 @@ def no_collector():
 
 
 class Vocabulary:
-    """A byte-level vocabulary with a bounded cache of the ids of pieces."""
+    """A byte-level vocabulary with a bounded cache of the ids of words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -69,11 +75,14 @@ class Vocabulary:
         self.by_pair = np.argsort(pairs)
         self.pairs = pairs[self.by_pair]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(back[c] for c in s.removesuffix(end)) for s, i in vocab.items() if s not in self.special} | {i: s.encode() for s, i in self.special.items()}
+        bytes_of = {i: bytes(back[c] for c in s.removesuffix(end)) for s, i in vocab.items() if s not in self.special} | {i: s.encode() for s, i in self.special.items()}
+        parts = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)] + [b""]  # the last stands for unknown ids
+        self.sizes = np.array([len(x) for x in parts], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
         self.split = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}  # pieces as they are
-        self.after_blank: dict[str, bytes] = {}  # pieces without the blank before them
+        self.known: dict[str, bytes] = {}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where they don't merge."""
@@ -141,57 +150,46 @@ class Vocabulary:
         bounds = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])] if len(words) else np.zeros(1, np.int64)
         return symbol[alive], bounds
 
-    def hold(self, pieces: set[str], after_blank: set[str]) -> None:
-        """Learn what is new, after emptying a cache that has grown beyond its bound."""
-        if len(self.known) + len(self.after_blank) > CACHE_PIECES:
-            self.known, self.after_blank = {}, {}
-        self.learn(pieces - self.special.keys(), after_blank)
-
     def ids_of(self, words: list[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word."""
         ids, bounds = self.merge([w.encode("utf-8") for w in words])
         data, cut = ids.astype("<i4").tobytes(), (4 * bounds).tolist()
         return {w: data[lo:hi] for w, lo, hi in zip(words, cut, cut[1:], strict=False)}
 
-    def learn(self, pieces: set[str], after_blank: set[str]) -> None:
-        """Encode new pieces; a piece begins where the split pattern must begin a word."""
-        new, rest = list(pieces - self.known.keys()), list(after_blank - self.after_blank.keys())
-        if not new and not rest:
-            return
-        split = [self.split.findall(p) for p in new] + [self.split.findall(" " + p) for p in rest]
-        of = self.ids_of(list({w: None for s in split for w in s}))
-        join, get = b"".join, of.__getitem__
-        self.known |= {p: join(map(get, s)) for p, s in zip(new, split, strict=False)}
-        self.after_blank |= {p: of[s[0]] if len(s) == 1 else join(map(get, s)) for p, s in zip(rest, split[len(new) :], strict=True)}
-
-    def parts(self, text: str) -> list[tuple[list[str], list[str]]]:
-        """The text as (pieces, pieces that follow a blank), more than one such pair if it
-        holds special strings, which stand alone."""
-        if self.specials is None or not self.specials.search(text):
-            return [blanks(text)]
-        return [([t], []) if t in self.special else blanks(t) for t in self.specials.split(text) if t]
-
-    def prepare(self, texts: list[str]) -> list[list[tuple[list[str], list[str]]]]:
-        """The parts of the texts, all of whose pieces are known from here on."""
-        parts = [self.parts(t) for t in texts]
-        one, two = set(), set()
-        for x in parts:
-            for a, b in x:
-                one.update(a)
-                two.update(b)
-        self.hold(one, two)
+    def words(self, text: str, special: bool = True) -> list[str]:
+        """What a text is split into before merging; special strings, if asked for, stand alone."""
+        if special and self.specials is not None and self.specials.search(text):
+            return [w for t in self.specials.split(text) if t for w in ([t] if t in self.special else self.words(t, False))]
+        if BEYOND_LATIN.search(text) is None and ODD_SPACES.search(text) is None:
+            return LATIN.findall(text)
+        return self.split.findall(text)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Merge the words that are not known yet, after emptying a cache beyond its bound."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
         self.known |= {s: np.array([i], "<i4").tobytes() for s, i in self.special.items()}
-        return parts
+        new: set[str] = set()
+        for words in texts:
+            new.update(words)
+        if new := new - self.known.keys():
+            self.known |= self.ids_of(list(new))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         with no_collector():
-            parts = self.prepare(texts)
-            one, two, join = self.known.__getitem__, self.after_blank.__getitem__, b"".join
-            return [join([join(map(one, a)) + join(map(two, b)) for a, b in x]) for x in parts]
+            words = [self.words(t) for t in texts]
+            self.learn(words)
+            join, get = b"".join, self.known.__getitem__
+            return [join(map(get, w)) for w in words]
 
-    def decode(self, ids) -> str:
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+    def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ids."""
+        ids = np.where((ids >= 0) & (ids < len(self.sizes) - 1), ids, len(self.sizes) - 1)
+        size = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.flat[np.repeat(self.begins[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cut = ends[bounds].tolist()
+        return [data[lo:hi].decode("utf-8", "replace") for lo, hi in zip(cut, cut[1:], strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -200,7 +198,7 @@ def vocabulary_at(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-CHUNK = 1 << 24  # characters encoded together
+CHUNK = 1 << 23  # characters encoded together
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -225,9 +223,11 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary_at(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                own = batch.slice(lo, 256)
-                texts = [vocab.decode(x or ()) for x in own.column("ids").to_pylist()]
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column("ids")), 0).to_pylist()
+            for lo, hi in slices(sizes, CHUNK // 8):
+                own = batch.slice(lo, hi - lo)
+                ids = own.column("ids").flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = vocab.decode_batch(ids, np.concatenate([[0], np.cumsum(sizes[lo:hi])]))
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

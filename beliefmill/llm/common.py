@@ -58,17 +58,4 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-# A text may be cut before a blank that precedes a visible character: the byte-level pattern
-# starts a new word there, whatever comes before.
-CUT = re.compile(r" (?=\S)")
-BLANK_BEFORE_SPACE = re.compile(r" [^\S ]")
-ODD_SPACES = re.compile("[\x1c-\x1f]")
-
-
-def blanks(text: str) -> tuple[list[str], list[str]]:
-    """A text as its first piece (if any) and the pieces that each follow one blank."""
-    parts = text.split(" ")
-    if not all(parts[1:]) or BLANK_BEFORE_SPACE.search(text):
-        parts = CUT.split(text)
-    return ([parts[0]] if parts[0] else []), parts[1:]
-
+ODD_SPACES = re.compile("[\x1c-\x1f]")  # not white space to all

@@ -1,6 +1,6 @@
 """Token counts kept up to date under edits.
 
-A text is cut where pre-tokens must begin, LEAF pieces make a leaf, and a segment tree over
+A text is cut before every LEAF-th blank at which a pre-token must begin, and a segment tree over
 the leaves holds characters and tokens of every subtree. An edit descends to the leaves it
 touches; they are encoded anew together with one leaf of context where a cut might depend
 on the edit, and the sums on the way to the root are updated. All other text is not encoded.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beliefmill.llm.bpe_pairs import CHUNK, Vocabulary, no_collector, vocabulary_at
-from beliefmill.llm.common import blanks, slices, strings, text_of
+from beliefmill.llm.common import slices, strings, text_of
 
 LEAF = 32
 
@@ -29,13 +29,15 @@ LEAF = 32
 def leaves(texts: list[str], vocab: Vocabulary) -> list[tuple[list[int], list[int]]]:
     """Characters and tokens of the leaves of each text. Special strings are ordinary text here."""
     with no_collector():
-        parts, out = [blanks(t) for t in texts], []
-        vocab.hold({p for a, _ in parts for p in a}, {p for _, b in parts for p in b})
-        for first, rest in parts:
-            chars = np.array([*map(len, first), *[len(x) + 1 for x in rest]], np.int64)
-            tokens = np.array([*map(len, map(vocab.known.__getitem__, first)), *map(len, map(vocab.after_blank.__getitem__, rest))], np.int64) // 4
-            at = np.arange(0, len(chars), LEAF)
-            out.append((np.add.reduceat(chars, at).tolist(), np.add.reduceat(tokens, at).tolist()) if len(chars) else ([], []))
+        parts, out = [vocab.words(t, special=False) for t in texts], []
+        vocab.learn(parts)
+        get = vocab.known.__getitem__
+        for words in parts:
+            chars, tokens = np.array([*map(len, words)], np.int64), np.array([*map(len, map(get, words))], np.int64) // 4
+            # leaves begin where a blank precedes a visible character: a word starts there whatever comes before
+            cut = [i for i, w in enumerate(words) if i and w[0] == " " and len(w) > 1 and not w[1].isspace()]
+            at = np.array([0, *cut[LEAF - 1 :: LEAF]])
+            out.append((np.add.reduceat(chars, at).tolist(), np.add.reduceat(tokens, at).tolist()) if words else ([], []))
         return out
 
 

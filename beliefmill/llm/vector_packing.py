@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefmill.llm.bpe_pairs import CHUNK, Vocabulary, no_collector
+from beliefmill.llm.bpe_pairs import BEYOND_LATIN, CHUNK, LETTERS, Vocabulary, no_collector
 from beliefmill.llm.common import ODD_SPACES, slices, strings, text_of
 from beliefmill.session import shuffle_width
 
@@ -40,9 +40,7 @@ CACHE_WORDS = 1_000_000
 # Fixed value: how the vocabulary splits a normalised text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 1
-# The same for texts whose characters beyond ASCII are all Latin letters, for the faster library.
-BEYOND_LATIN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
-LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^\\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")  # for Latin texts
 
 
 class WordTokens:
