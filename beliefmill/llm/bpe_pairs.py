@@ -35,7 +35,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 BEYOND_LATIN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -198,23 +198,28 @@ def vocabulary_at(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-CHUNK = 1 << 23  # characters encoded together
+CHUNK = 1 << 21  # bytes of text encoded together
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids of every whole text."""
+def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids of every whole text; ``decoded`` adds the text that the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary_at(vocabulary)
         for batch in batches:
-            texts = strings(batch, "text")
-            for lo, hi in slices([len(t) for t in texts], CHUNK):
-                own, ids = batch.slice(lo, hi - lo), vocab.encode_batch(texts[lo:hi])
+            sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+            for lo, hi in slices(sizes, CHUNK):
+                own = batch.slice(lo, hi - lo)
+                ids = vocab.encode_batch(strings(own, "text"))
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+                values = np.frombuffer(b"".join(ids), "<i4")
+                columns = [own.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array(vocab.decode_batch(values, offsets), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -235,6 +240,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them."""
-    back = decode(encode(docs, vocabulary), vocabulary)
+    back = encode(docs, vocabulary, decoded=True)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

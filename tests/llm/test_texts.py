@@ -301,7 +301,9 @@ def test_round_trip_matches_library(docs, no_docs, sample):
             back = lib.decode(ids, skip_special_tokens=False)
             want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()] += 1
         assert Counter(tuple(r) for r in bpe_pairs.round_trip(table, BYTES).collect()) == want
-    assert bpe_pairs.round_trip(no_docs, BYTES).count() == 0
+        back = bpe_pairs.decode(bpe_pairs.encode(table, BYTES), BYTES)
+        assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text or "") for r in table.collect())
+    assert bpe_pairs.round_trip(no_docs, BYTES).count() == 0 and bpe_pairs.decode(bpe_pairs.encode(no_docs, BYTES), BYTES).count() == 0
 
 
 def odd_text(rng):
