@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +78,8 @@ class Tree:
             self.tokens[k] += dt
             k //= 2
 
-    def apply(self, text: str, at: int, removed: int, inserted: str, vocab: Vocabulary) -> tuple[str, int]:
-        """The edited text, and how many of its characters were encoded for it."""
+    def touch(self, text: str, at: int, removed: int, inserted: str) -> tuple[str, tuple[int, int], str]:
+        """The edited text, the first and last leaf that the edit touches, and their new text."""
         at = min(max(at, 0), len(text))
         stop = min(at + max(removed, 0), len(text))
         first, begin = self.find(max(at - 2, 0))
@@ -88,12 +89,31 @@ class Tree:
         while end < stop:  # a leaf that begins at or after the edit's end stays
             last, _ = self.find(end)
             end += int(self.chars[self.width + last])
-        region = text[begin:at] + inserted + text[stop:end]
-        chars, tokens = leaves([region], vocab)[0] if region else ([], [])
-        for leaf in range(first, last + 1):
+        return text[:at] + inserted + text[stop:], (first, last), text[begin:at] + inserted + text[stop:end]
+
+    def settle(self, touched: tuple[int, int], chars: int, tokens: int) -> None:
+        """Give the new text of the touched leaves to the first of them."""
+        for leaf in range(touched[0] + 1, touched[1] + 1):
             self.put(leaf, 0, 0)
-        self.put(first, sum(chars), sum(tokens))
-        return text[:at] + inserted + text[stop:], len(region)
+        self.put(touched[0], chars, tokens)
+
+
+def revise(texts: list[str], trees: list[Tree], edits: list[list[dict]], vocab: Vocabulary) -> tuple[list[str], list[int]]:
+    """Apply each text's edits in order, the n-th edits of all texts together, so that new words
+    are merged in one go. Returns the edited texts and the characters encoded for each."""
+    texts, encoded = list(texts), [0] * len(texts)
+    for n in range(max(map(len, edits), default=0)):
+        own = [i for i, e in enumerate(edits) if len(e) > n]
+        spots, regions = [], []
+        for i in own:
+            e = edits[i][n]
+            texts[i], spot, region = trees[i].touch(texts[i], e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
+            spots.append(spot)
+            regions.append(region)
+            encoded[i] += len(region)
+        for i, spot, (chars, tokens) in zip(own, spots, leaves(regions, vocab), strict=True):
+            trees[i].settle(spot, sum(chars), sum(tokens))
+    return texts, encoded
 
 
 TREE = "doc_id long, text string, tree_chars array<bigint>, tree_tokens array<bigint>"
@@ -124,20 +144,16 @@ def apply_edits(trees: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary_at(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                own = batch.slice(lo, 256)
-                out = []
-                for doc_id, text, chars, tokens, edits in zip(*(own.column(c).to_pylist() for c in ("doc_id", "text", "tree_chars", "tree_tokens", "edits")), strict=True):
-                    tree, n = Tree(np.array(chars, np.int64), np.array(tokens, np.int64)), 0
-                    before = int(tree.tokens[1])
-                    for e in edits or ():
-                        if e is not None:
-                            text, k = tree.apply(text, e["at"] or 0, e["removed"] or 0, e["inserted"] or "", vocab)
-                            n += k
-                    out.append((doc_id, text, tree.chars, tree.tokens, before, int(tree.tokens[1]), n))
-                if out:
-                    kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "text", "tree_chars", "tree_tokens", "tokens_before", "tokens_after", "chars_encoded"])
+            sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+            for lo, hi in slices(sizes, CHUNK):
+                own = batch.slice(lo, hi - lo)
+                doc_ids, texts, chars, tokens, edits = (own.column(c).to_pylist() for c in ("doc_id", "text", "tree_chars", "tree_tokens", "edits"))
+                heaps = [Tree(np.array(c, np.int64), np.array(t, np.int64)) for c, t in zip(chars, tokens, strict=True)]
+                before = [int(t.tokens[1]) for t in heaps]
+                texts, encoded = revise(texts, heaps, [[e for e in x or () if e is not None] for x in edits], vocab)
+                out = (doc_ids, texts, [t.chars for t in heaps], [t.tokens for t in heaps], before, [int(t.tokens[1]) for t in heaps], encoded)
+                kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "text", "tree_chars", "tree_tokens", "tokens_before", "tokens_after", "chars_encoded"])
 
     return trees.mapInArrow(run, TREE + ", tokens_before long, tokens_after long, chars_encoded long")
 

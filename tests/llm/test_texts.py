@@ -190,7 +190,7 @@ def test_edits_match_full_encoding(spark, texts):
         for _ in range(12 if len(text) < 10_000 else 3):
             at, removed, inserted = rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 2, 5, 300]), rng.choice(inserts)
             want = text[: min(at, len(text))] + inserted + text[min(at, len(text)) + removed :]
-            text, n = tree.apply(text, at, removed, inserted, vocab)
+            (text,), _ = token_edits.revise([text], [tree], [[{"at": at, "removed": removed, "inserted": inserted}]], vocab)
             assert text == want and int(tree.tokens[1]) == count(text) and int(tree.chars[1]) == len(text)
 
 
