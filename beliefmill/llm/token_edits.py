@@ -21,10 +21,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beliefmill.llm.bpe_pairs import CHUNK, Vocabulary, no_collector, vocabulary_at
+from beliefmill.llm.bpe_pairs import Vocabulary, no_collector, vocabulary_at
 from beliefmill.llm.common import slices, strings, text_of
 
-LEAF = 32
+LEAF = 16
+CHUNK = 1 << 23  # bytes of text handled together
 
 
 def leaves(texts: list[str], vocab: Vocabulary) -> list[tuple[list[int], list[int]]]:
