@@ -75,7 +75,9 @@ def resolve_entities(extracted: DataFrame, ent: DataFrame, theta: float = 0.85)
     names = names.groupBy("agent_id", F.lower("n").alias("key")).agg(F.min("entity_id").alias("by_name"))
     keyed = extracted.withColumn("key", F.lower("name")).join(names, ["agent_id", "key"], "left")
     rest = keyed.where(F.col("by_name").isNull() & F.col("emb").isNotNull())
-    uniq = rest.groupBy("agent_id", "entity_type", "key").agg(F.min_by("emb", "memory_id").alias("emb"), F.min("memory_id").alias("lid"))
+    uniq = rest.groupBy("agent_id", "entity_type", "key").agg(F.min_by("emb", "memory_id").alias("emb"))
+    # one belief may name several entities, so the name itself is the key of the search
+    uniq = uniq.withColumn("lid", F.xxhash64("agent_id", "entity_type", "key"))
     near = match_blocks(
         uniq.select("lid", F.col("emb").alias("lvec"), "agent_id", "entity_type"),
         ent.select(F.col("entity_id").alias("rid"), F.col("emb").alias("rvec"), "agent_id", "entity_type"),

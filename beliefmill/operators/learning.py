@@ -73,7 +73,7 @@ def learning_counters(rows: DataFrame, keys: list) -> DataFrame:
         "stability": F.when(held + lost > 0, held / (held + lost))})
 
 
-def learning_stats(mlog: DataFrame, start, end, newest: int | None = NEWEST_MUTATIONS) -> DataFrame:
+def learning_stats(mlog: DataFrame, start, end, newest: int | None = None) -> DataFrame:
     rows = mlog.where(F.col("created_at") >= instant(start))
     if newest:
         rows = top_by(rows, ["agent_id"], [F.desc("created_at"), F.desc("id")], newest)

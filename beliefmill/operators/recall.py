@@ -53,8 +53,8 @@ def recall_similarity(mem: DataFrame, queries: DataFrame, k: int = DEFAULT_K, re
     return score_queries(rows, queries, k=k, bonus=bonus, keep=keep)
 
 
-def recall_exhaustive(mem: DataFrame, queries: DataFrame, min_sim: float = 0.25, max_results: int = 500) -> DataFrame:
-    """Every scoped row by plain dot product."""
+def recall_exhaustive(mem: DataFrame, queries: DataFrame, min_sim: float = 0.25, max_results: int | None = None) -> DataFrame:
+    """Every scoped row by plain dot product; ``max_results`` keeps that many per query."""
     return score_queries(recall_scope(mem), queries, k=max_results, min_sim=min_sim, cosine=False)
 
 

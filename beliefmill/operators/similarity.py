@@ -135,7 +135,7 @@ def _score_many(rows, q, k, min_sim, cosine, vec, bonus, scope, keep) -> DataFra
         left = sub.select(F.col("query_id").alias("lid"), F.col("vec").alias("lvec"), *fixed)
         right = rows.select(F.col("id").alias("rid"), F.col(vec).alias("rvec"), *fixed,
                             *([F.col(bonus).alias("rbonus")] if bonus else []))
-        parts.append(match_blocks(left, right, fixed, min_sim if min_sim is not None else -2.0, k=k,
+        parts.append(match_blocks(left, right, fixed, min_sim if min_sim is not None else -math.inf, k=k,
                                   cosine=cosine, bonus="rbonus" if bonus else None))
     pairs = parts[0]
     for p in parts[1:]:

@@ -58,7 +58,7 @@ def stat_cols(df, *keys):
 WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY created_at DESC, id DESC) AS rk FROM mlog WHERE created_at >= TIMESTAMP '2024-01-08 00:00:00') x
   WHERE rk <= 1000 AND created_at <= TIMESTAMP '2024-01-28 00:00:00'), {stats_sql('w', 'agent_id')}""")
 def learning_stats(t):
-    return stat_cols(ln.learning_stats(t.mlog, "2024-01-08 00:00:00", "2024-01-28 00:00:00"), "agent_id")
+    return stat_cols(ln.learning_stats(t.mlog, "2024-01-08 00:00:00", "2024-01-28 00:00:00", newest=ln.NEWEST_MUTATIONS), "agent_id")
 
 
 @query("learning_stats_all", "mlog", f"""

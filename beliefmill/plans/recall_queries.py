@@ -68,7 +68,7 @@ WITH s AS (SELECT q.query_id, m.id, list_inner_product(v.emb, q.vec::DOUBLE[]) A
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.25)
 SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 500""")
 def recall_exhaustive(t):
-    return rc.recall_exhaustive(t.memv, t.queries).select(
+    return rc.recall_exhaustive(t.memv, t.queries, max_results=500).select(
         "query_id", "id", F.col("rank").cast("long").alias("rank"), r6("score", "score"))
 
 

@@ -271,3 +271,21 @@ def test_replayed_rows_do_not_fork_a_chain(spark):
     job.batch(rows.where("id >= 20"), 1)
     out = au.verify_chain(job.log.read_all(), job.heads.read()).collect()
     assert all(r["valid"] for r in out) and sum(r["checked"] for r in out) == 60
+
+
+def test_entities_of_one_belief_stay_apart(spark):
+    """A belief that names a person and a place resolves each by its own vector."""
+    from beliefmill.operators.graph import resolve_entities
+
+    ent = spark.createDataFrame([(1, 7, "Anna", "person", [1.0, 0.0], []), (2, 7, "Rome", "place", [0.0, 1.0], [])], "entity_id long, agent_id long, name string, entity_type string, emb array<double>, aliases array<string>")
+    named = spark.createDataFrame([(5, 7, 0, "Annie", "person", [0.99, 0.1]), (5, 7, 0, "Roma", "place", [0.1, 0.99])], "memory_id long, agent_id long, tenant_id long, name string, entity_type string, emb array<double>")
+    assert {(r["name"], r["entity_id"], r["how"]) for r in resolve_entities(named, ent).collect()} == {("Annie", 1, "vector"), ("Roma", 2, "vector")}
+
+
+def test_large_query_set_keeps_negative_scores(spark):
+    from beliefmill.operators.similarity import score_queries
+
+    rows = spark.createDataFrame([(1, 0, 0, [-3.0, 0.0])], "id long, tenant_id long, agent_id long, emb array<double>")
+    asked = spark.createDataFrame([(1, 0, 0, [1.0, 0.0]), (2, 0, 0, [1.0, 0.0])], "query_id long, tenant_id long, agent_id long, vec array<double>")
+    for most in (1, 10):
+        assert sorted(r["score"] for r in score_queries(rows, asked, k=1, cosine=False, max_shipped=most).collect()) == [-3.0, -3.0]
