@@ -52,8 +52,9 @@ def records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
-def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
-    """Write archives below ``path``."""
+def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, compression: str = "none") -> None:
+    """Write archives below ``path``; with ``gzip`` each archive is one member, smaller but lost
+    as a whole if damaged."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     again = F.col("refers_to").isNotNull()
@@ -73,7 +74,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, "block", F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(F.concat(head, "block", F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
 
 
 def _matches(digest: str, data: bytes) -> bool:
@@ -197,7 +198,7 @@ def archive_report(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     prepare_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    write(pages, path)
+    write(pages, path, compression="gzip")
     number = lambda c: F.expr(rf"try_cast(regexp_extract({c}, r'^<urn:page:(-?\d+)>$', 1) as bigint)")
     rows = read(spark, path).where("kind = 'record'").select(number("record_id").alias("page_id"), "record_type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "stated_digest")
     full = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("full_bytes")).distinct()
