@@ -14,7 +14,7 @@ from beliefmill.functions import scalar as sc
 from beliefmill.functions.vectors import cosine
 from beliefmill.operators import ordering as od
 from beliefmill.operators.beliefs import active, firewall, live
-from beliefmill.operators.similarity import match_blocks, top_by
+from beliefmill.operators.similarity import SIM_DIGITS, match_blocks, top_by
 
 CANDIDATE_SIM, REINFORCE_SIM = 0.25, 0.85
 RECENT_OF_TYPE = 15
@@ -80,18 +80,41 @@ def believable(incoming: DataFrame) -> Column:
     return ok
 
 
+def _verdict_on(t: Column) -> Column:
+    """The tension, or the verdict (_vk, _vs) if there is one and the tension is ambiguous."""
+    given = F.struct(F.col("_vk").alias("kind"), F.col("_vs").alias("score"), F.lit(False).alias("ambiguous"))
+    return F.when(F.col("_vk").isNotNull() & t["ambiguous"], given).otherwise(t)
+
+
+def _ruled(found: DataFrame, v: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates after the verdicts; pairs that only a verdict makes candidates are added."""
+    stored = rows.where(live()).select(F.col("id").alias("existing_id"), F.col("emb").alias("_e"), *SCOPE)
+    named = v.select("id", "existing_id").join(asked.select("id", "emb", *SCOPE), "id").join(stored, ["existing_id", *SCOPE])
+    pairs = named.select("id", F.lit(False).alias("act"), "existing_id", F.round(cosine(F.col("emb"), F.col("_e")), SIM_DIGITS).alias("sim"), F.lit(FAR).alias("late"))
+    every = found.unionByName(pairs).join(v, ["id", "existing_id"], "left").join(asked.select("id", "content"), "id")
+    act = F.when(F.col("_vk").isNull(), F.col("act")).otherwise(handled(_verdict_on(sc.tension(F.col("sim"), F.col("content")))))
+    return every.withColumn("act", act).select("id", "act", "existing_id", "sim", "late")
+
+
 def decide(incoming: DataFrame, mem: DataFrame, settings: DataFrame, verdicts: DataFrame | None = None, flag: str | None = None) -> DataFrame:
     """incoming + (decision, existing_id, sim, tension_score, quarantine_reason).
 
     Only the best partner per range is searched: the first candidate with a
     handled tension is the most similar one inside the band its text allows.
+    verdicts(incoming_id, existing_id, kind, score) replace ambiguous tensions before
+    the choice. As many more partners are searched as one belief has verdicts, so
+    the next candidate can step up wherever a verdict takes one out.
     """
     inc = firewall(incoming, settings, flag).withColumn("_logic", believable(incoming) & F.col("quarantine_reason").isNull() & F.col("emb").isNotNull())
     asked = scoped(inc.where("_logic"))
     rows = scoped(mem)
     stored = rows.where(live()).select(F.col("id").alias("rid"), F.col("emb").alias("rvec"), *SCOPE)
     both = scoped(incoming).withColumn("_two", F.explode(F.array(F.lit(0), F.lit(1))))
-    hits = match_blocks(_bands(asked), stored, SCOPE, 0.5, k=1, band=True, count_on=(both, rows))
+    v, ruled = None, 0
+    if verdicts is not None:
+        v = verdicts.select(F.col("incoming_id").alias("id"), "existing_id", F.col("kind").alias("_vk"), F.col("score").cast("double").alias("_vs")).dropDuplicates(["id", "existing_id"])
+        ruled = v.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    hits = match_blocks(_bands(asked), stored, SCOPE, 0.5, k=1 + ruled, band=True, count_on=(both, rows))
     id_type = incoming.schema["id"].dataType
     best = hits.select(F.split("lid", ":")[0].cast(id_type).alias("id"), (F.split("lid", ":")[1] == "0").alias("act"), F.col("rid").alias("existing_id"), "sim",
                        F.lit(FAR).alias("late"))
@@ -100,18 +123,17 @@ def decide(incoming: DataFrame, mem: DataFrame, settings: DataFrame, verdicts: D
         F.col("id").alias("existing_id"), F.col("emb").alias("_e"), F.col("age_rank").cast("long").alias("late"), *SCOPE, "type")
     extra = asked.where(F.col("type").isin("preference", "constraint")).join(hidden, [*SCOPE, "type"]).withColumn("sim", cosine(F.col("emb"), F.col("_e")))
     t = sc.tension(F.col("sim"), F.col("content"))
-    extra = extra.withColumn("act", handled(t)).where(F.col("act") | (F.col("sim") >= REINFORCE_SIM)).select("id", "act", "existing_id", "sim", "late")
-    first = best.unionByName(extra).groupBy("id").agg(
+    found = best.unionByName(extra.withColumn("act", handled(t)).select("id", "act", "existing_id", "sim", "late"))
+    if v is not None:
+        found = _ruled(found, v, asked, rows)
+    first = found.where(F.col("act") | (F.col("sim") >= REINFORCE_SIM)).groupBy("id").agg(
         F.min(F.struct((~F.col("act")).alias("no"), "late", (-F.col("sim")).alias("ns"), "existing_id")).alias("f"))
     out = inc.join(first, "id", "left")
     sim = -F.col("f.ns")
     judged = sc.tension(sim, F.col("content"))
     out = out.withColumns({"existing_id": F.col("f.existing_id"), "sim": sim, "_t": judged, "_act": ~F.col("f.no")})
-    if verdicts is not None:
-        v = verdicts.select(F.col("incoming_id").alias("id"), "existing_id", F.col("kind").alias("_vk"), F.col("score").cast("double").alias("_vs"))
-        out = out.join(v, ["id", "existing_id"], "left").withColumn("_t", F.when(
-            F.col("_vk").isNotNull() & F.col("_t.ambiguous"), F.struct(F.col("_vk").alias("kind"), F.col("_vs").alias("score"), F.lit(False).alias("ambiguous"))).otherwise(F.col("_t")))
-        out = out.withColumn("_act", F.col("_act") & handled(F.col("_t")))
+    if v is not None:
+        out = out.join(v, ["id", "existing_id"], "left").withColumn("_t", _verdict_on(F.col("_t"))).drop("_vk", "_vs")
     decision = (
         F.when(F.col("quarantine_reason").isNotNull(), "quarantine").when(F.coalesce("_act", F.lit(False)), F.col("_t.kind"))
         .when(F.col("existing_id").isNotNull() & (F.col("sim") >= REINFORCE_SIM), "reinforce").otherwise("insert"))

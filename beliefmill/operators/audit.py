@@ -152,7 +152,9 @@ def verify_chain(mlog: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def chain_tail(sealed: DataFrame, n: int = 500) -> DataFrame:
-    return top_by(sealed, ["tenant_id"], [F.desc("seq")], min(n, 500))
+    if not 1 <= n <= 500:
+        raise ValueError("n must be between 1 and 500")
+    return top_by(sealed, ["tenant_id"], [F.desc("seq")], n)
 
 
 def beliefs_as_of(mem: DataFrame, mlog: DataFrame, at, n: int = 100) -> DataFrame:

@@ -39,7 +39,8 @@ def with_write_defaults(incoming: DataFrame, now) -> DataFrame:
 
 def page(df: DataFrame, key: str, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
     """Page per key with the filtered total. Only limit+offset rows per key move."""
-    limit = limit if 1 <= limit <= 200 else 50
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be between 1 and 200")
     totals = df.groupBy(key).agg(F.count("*").alias("total"))
     return top_by(df, [key], order, limit + offset, "pos").where(F.col("pos") > offset).join(totals, key)
 

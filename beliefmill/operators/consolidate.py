@@ -17,10 +17,10 @@ from beliefmill.operators.lifecycle import archive
 from beliefmill.operators.ordering import number_rows
 from beliefmill.operators.recall import find_similar
 from beliefmill.operators.similarity import match_blocks, top_by
-from beliefmill.session import instant
+from beliefmill.session import instant, pin
 
 # One pass of the order-dependent steps looks at this many rows of an agent in
-# scan order; longer agents take several passes, one bounded group each.
+# scan order; what stays open is carried to the next pass.
 PASS_ROWS = 10_000
 REDUNDANT_SIM, CLUSTER_SIM = 0.92, 0.65
 MIN_EVIDENCE = 5
@@ -157,69 +157,122 @@ def new_versions(proc: DataFrame, changes: DataFrame) -> DataFrame:
 # -- order-dependent steps --------------------------------------------------
 
 def _passes(mem: DataFrame, rows_per_pass: int) -> DataFrame:
-    """Rows numbered in scan order and cut into passes of bounded size."""
+    """Rows numbered in scan order and cut into passes of bounded size; ``final`` marks the
+    last pass of an agent."""
     rows = mem.where(live() & F.col("emb").isNotNull()).select(
         "id", "agent_id", "type", F.col("confidence").cast("double").alias("confidence"), "reinforcement_count", "emb",
         F.coalesce(F.unix_micros("last_accessed_at"), F.lit(-1)).alias("_at"))
-    out = number_rows(rows, ["agent_id"], [F.asc("_at"), F.asc("id")], "_n")
-    return out.withColumn("pass", F.floor((F.col("_n") - 1) / rows_per_pass).cast("long")).drop("_at")
+    out = number_rows(rows, ["agent_id"], [F.asc("_at"), F.asc("id")], "_n").drop("_at")
+    out = out.withColumn("pass", F.floor((F.col("_n") - 1) / rows_per_pass).cast("long"))
+    last = out.groupBy("agent_id").agg(F.max("pass").alias("_last"))
+    return out.join(last, "agent_id").withColumn("final", F.col("pass") == F.col("_last")).drop("_last")
+
+
+def _in_turn(mem: DataFrame, rows_per_pass: int, step, schema: T.StructType) -> DataFrame:
+    """Run ``step(rows, state)`` over the passes of every agent in scan order, all agents side
+    by side. Rows it returns with ``open`` are the state of the agent's next pass, the others
+    are results. A task holds one pass and the state of one agent, and the outcome is the same
+    for every pass size."""
+    rows = pin(_passes(mem, rows_per_pass), "pass")
+    passes = rows.select("pass").distinct().count()
+    state, out = rows.sparkSession.createDataFrame([], schema), None
+    for p in range(max(passes, 1)):
+        both = rows.where(F.col("pass") == p).groupBy("agent_id").cogroup(state.groupBy("agent_id"))
+        made = pin(both.applyInPandas(step, schema))
+        state, done = made.where("open"), made.where("NOT open")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def merge_redundant(mem: DataFrame, rows_per_pass: int = PASS_ROWS) -> DataFrame:
-    """(id, agent_id, archived, new_confidence, new_count) of rows a merge touched."""
-    id_type = mem.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("agent_id", mem.schema["agent_id"].dataType), T.StructField("archived", T.BooleanType()),
-                           T.StructField("new_confidence", T.DoubleType()), T.StructField("new_count", T.LongType())])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n").reset_index(drop=True)
-        v = unit_rows(np.stack(pdf["emb"].to_numpy()).astype(np.float64))
-        conf, count = pdf["confidence"].to_numpy().copy(), pdf["reinforcement_count"].to_numpy().astype(np.int64).copy()
-        gone, touched = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            if gone[i]:
-                continue
-            for j in np.nonzero(v[i + 1:] @ v[i] >= REDUNDANT_SIM)[0] + i + 1:
-                if gone[j]:
-                    continue
+    """(id, agent_id, archived, new_confidence, new_count) of rows a merge touched.
+
+    Only rows with a partner take part, found by an exact search that combines copies. A row
+    that no earlier row absorbs stays open and meets all later ones, in later passes too; a row
+    absorbed on arrival meets none, so copies don't add to what is carried.
+    """
+    schema = T.StructType([mem.schema["id"], mem.schema["agent_id"], T.StructField("archived", T.BooleanType()), T.StructField("new_confidence", T.DoubleType()),
+                           T.StructField("new_count", T.LongType()), T.StructField("touched", T.BooleanType()), T.StructField("open", T.BooleanType()),
+                           T.StructField("_n", T.LongType()), T.StructField("unit", T.ArrayType(T.DoubleType()))])
+
+    def step(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        new, old = new.sort_values("_n"), old.sort_values("_n")
+        if not len(new):
+            return old.iloc[:0]
+        m, n = len(old), len(old) + len(new)
+        fresh = unit_rows(np.stack(new["emb"].to_numpy()).astype(np.float64))
+        unit = np.concatenate([np.stack(old["unit"].to_numpy()), fresh]) if m else fresh
+        conf = np.concatenate([old["new_confidence"].to_numpy(np.float64), new["confidence"].to_numpy(np.float64)])
+        count = np.concatenate([old["new_count"].to_numpy(np.int64), new["reinforcement_count"].to_numpy(np.int64)])
+        gone = np.concatenate([old["archived"].to_numpy(bool), np.zeros(len(new), bool)])
+        touched = np.concatenate([old["touched"].to_numpy(bool), np.zeros(len(new), bool)])
+        opened = np.arange(n) < m
+        vectors, at = np.empty_like(unit), np.empty(n, np.int64)  # of the open rows, in scan order
+        vectors[:m], at[:m] = unit[:m], np.arange(m)
+        for j in range(len(old), n):
+            for i in at[:m][vectors[:m] @ unit[j] >= REDUNDANT_SIM]:
                 keep, drop = (j, i) if conf[j] > conf[i] or count[j] > count[i] else (i, j)
                 conf[keep], count[keep] = min(conf[keep] + 0.02, 0.99), count[keep] + 1
                 gone[drop] = touched[drop] = touched[keep] = True
-        out = pd.DataFrame({"id": pdf["id"], "agent_id": pdf["agent_id"], "archived": gone, "new_confidence": conf, "new_count": count})
-        return out[touched]
-
-    return _passes(mem, rows_per_pass).groupBy("agent_id", "pass").applyInPandas(merge, schema)
+                if gone[j]:
+                    break
+            if not gone[j]:
+                vectors[m], at[m], opened[j] = unit[j], j, True
+                m += 1
+        if bool(new["final"].iloc[0]):
+            opened[:] = False
+        out = pd.DataFrame({"id": pd.concat([old["id"], new["id"]], ignore_index=True), "agent_id": new["agent_id"].iloc[0], "archived": gone, "new_confidence": conf, "new_count": count,
+                            "touched": touched, "open": opened, "_n": np.concatenate([old["_n"].to_numpy(np.int64), new["_n"].to_numpy(np.int64)]), "unit": list(unit)})
+        return out[touched | opened]
+
+    v = mem.where(live() & F.col("emb").isNotNull()).select("id", "emb", "agent_id")
+    near = match_blocks(v.select(F.col("id").alias("lid"), F.col("emb").alias("lvec"), "agent_id"), v.select(F.col("id").alias("rid"), F.col("emb").alias("rvec"), "agent_id"),
+                        ["agent_id"], REDUNDANT_SIM - 1e-9, k=1, drop_self=True)
+    alike = mem.join(near.select(F.col("lid").alias("id")).distinct(), "id", "left_semi")
+    return _in_turn(alike, rows_per_pass, step, schema).where("touched").select("id", "agent_id", "archived", "new_confidence", "new_count")
 
 
 def cluster(mem: DataFrame, mode: str = "running", rows_per_pass: int = PASS_ROWS) -> DataFrame:
-    """(cluster_id, agent_id, id, type): greedy centroid clusters in scan order. The
-    centroid is a running mean, or the average of itself and each joiner ("pair")."""
-    id_type = mem.schema["id"].dataType
-    schema = T.StructType([T.StructField("cluster_id", T.StringType()), T.StructField("agent_id", mem.schema["agent_id"].dataType),
-                           T.StructField("id", id_type), T.StructField("type", T.StringType())])
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n").reset_index(drop=True)
-        raw = np.stack(pdf["emb"].to_numpy()).astype(np.float64)
-        unit = unit_rows(raw)
-        label = np.full(len(pdf), -1)
-        for i in range(len(pdf)):
-            if label[i] >= 0:
-                continue
-            label[i], centre, size, start = i, raw[i].copy(), 1, i + 1
-            while start < len(pdf):
-                free = np.nonzero(label[start:] < 0)[0] + start
-                near = free[unit[free] @ (centre / (np.linalg.norm(centre) or 1.0)) >= CLUSTER_SIM]
-                if len(near) == 0:
-                    break
-                j = near[0]
-                label[j], size = i, size + 1
-                centre = centre + (raw[j] - centre) / size if mode == "running" else (centre + raw[j]) / 2
-                start = j + 1
-        names = [f"{a}:{s}" for a, s in zip(pdf["agent_id"], pdf["id"].to_numpy()[label])]
-        return pd.DataFrame({"cluster_id": names, "agent_id": pdf["agent_id"], "id": pdf["id"], "type": pdf["type"]})
-
-    return _passes(mem, rows_per_pass).groupBy("agent_id", "pass").applyInPandas(group, schema)
+    """(cluster_id, agent_id, id, type): greedy centroid clusters in scan order. A row joins the
+    oldest cluster whose centroid it matches, else it founds one; the centroid is a running
+    mean, or the average of itself and each joiner ("pair"). Centroids are carried from pass to
+    pass."""
+    schema = T.StructType([T.StructField("cluster_id", T.StringType()), mem.schema["agent_id"], mem.schema["id"], T.StructField("type", T.StringType()),
+                           T.StructField("open", T.BooleanType()), T.StructField("_n", T.LongType()), T.StructField("size", T.LongType()), T.StructField("centre", T.ArrayType(T.DoubleType()))])
+
+    def step(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        new, old = new.sort_values("_n"), old.sort_values("_n")
+        if not len(new):
+            return old.iloc[:0]
+        raw = np.stack(new["emb"].to_numpy()).astype(np.float64)
+        unit, m = unit_rows(raw), len(old)
+        centre = np.zeros((m + len(new), raw.shape[1]))
+        if m:
+            centre[:m] = np.stack(old["centre"].to_numpy())
+        norm = np.linalg.norm(centre, axis=1)
+        norm[norm == 0] = 1.0
+        size = np.concatenate([old["size"].to_numpy(np.int64), np.zeros(len(new), np.int64)])
+        first = np.concatenate([old["_n"].to_numpy(np.int64), np.zeros(len(new), np.int64)])
+        names, agent, members = old["cluster_id"].tolist(), new["agent_id"].iloc[0], []
+        for row, (key, number) in enumerate(zip(new["id"], new["_n"], strict=True)):
+            near = np.flatnonzero(centre[:m] @ unit[row] / norm[:m] >= CLUSTER_SIM)
+            if len(near):
+                c = near[0]
+                size[c] += 1
+                centre[c] = centre[c] + (raw[row] - centre[c]) / size[c] if mode == "running" else (centre[c] + raw[row]) / 2
+            else:
+                c, m = m, m + 1
+                names.append(f"{agent}:{key}")
+                centre[c], size[c], first[c] = raw[row], 1, number
+            norm[c] = np.linalg.norm(centre[c]) or 1.0
+            members.append(names[c])
+        made = pd.DataFrame({"cluster_id": members, "agent_id": agent, "id": new["id"].to_numpy(), "type": new["type"].to_numpy(), "open": False, "_n": new["_n"].to_numpy(), "size": 0, "centre": None})
+        if bool(new["final"].iloc[0]):
+            return made
+        carried = pd.DataFrame({"cluster_id": names, "agent_id": agent, "id": new["id"].iloc[0], "type": None, "open": True, "_n": first[:m], "size": size[:m], "centre": list(centre[:m])})
+        return pd.concat([made, carried], ignore_index=True)
+
+    return _in_turn(mem, rows_per_pass, step, schema).select("cluster_id", "agent_id", "id", "type")
 
 
 # -- schemas ----------------------------------------------------------------

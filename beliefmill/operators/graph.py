@@ -170,10 +170,9 @@ def recall_hybrid(mem: DataFrame, edges: DataFrame, queries: DataFrame, k: int =
     graph = owned.join(queries.select("query_id", "tenant_id"), ["query_id", "tenant_id"], "left_semi")
     both = seeds.select("query_id", "id", F.col("score").alias("v")).join(
         graph.select("query_id", "id", F.col("activation").alias("g"), "hops"), ["query_id", "id"], "full_outer")
-    wv, wg = vector_weight or 0.6, graph_weight or 0.4
     scored = both.select("query_id", "id", F.coalesce("v", F.lit(0.0)).alias("vector_score"), F.coalesce("g", F.lit(0.0)).alias("graph_score"),
                          F.coalesce("hops", F.lit(0)).alias("hops"))
-    scored = scored.withColumn("score", wv * F.col("vector_score") + wg * F.col("graph_score"))
+    scored = scored.withColumn("score", vector_weight * F.col("vector_score") + graph_weight * F.col("graph_score"))
     return top_by(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -201,7 +200,8 @@ def entities_for_memory(mentions: DataFrame, ent: DataFrame) -> DataFrame:
 def traverse_paths(starts: DataFrame, edges: DataFrame, depth: int = 2, relations: list[str] | None = None) -> DataFrame:
     """All paths from expanded nodes to nodes not expanded so far: query_id, path,
     path_length (nodes), strength. A node is expanded once, by its strongest path."""
-    depth = depth if 0 < depth <= 5 else 2
+    if not 1 <= depth <= 5:
+        raise ValueError("depth must be between 1 and 5")
     hop = both_ways(edges.select(*EDGE, "strength"))
     if relations:
         hop = hop.where(F.col("relation_type").isin(*relations))
@@ -223,7 +223,8 @@ def traverse_paths(starts: DataFrame, edges: DataFrame, depth: int = 2, relation
 
 def relationships(starts: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
     """Edges around each start, by the depth at which they first appear."""
-    depth = min(max(depth, 1), 3)
+    if not 1 <= depth <= 3:
+        raise ValueError("depth must be between 1 and 3")
     keep = ["relation_type", "strength", "traversal_count"]
     ends = edges.select("source_id", "target_id", *keep)
     seen = pin(starts.select("query_id", F.col("id").alias("node")))

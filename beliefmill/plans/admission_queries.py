@@ -9,6 +9,7 @@ from beliefmill.operators import beliefs as bl
 from beliefmill.plans.belief_queries import score_sql
 from beliefmill.plans.recall_queries import r6
 from beliefmill.plans.registry import query
+from beliefmill.session import pin
 
 LIVE = "NOT is_archived AND binding <> 'quarantine'"
 SAME = "m.tenant_id = i.tenant_id AND m.agent_id = i.agent_id AND m.anchor_id IS NOT DISTINCT FROM i.anchor_id AND m.session_id IS NOT DISTINCT FROM i.session_id"
@@ -58,6 +59,20 @@ def admit_decisions(t):
     return _decided(t).select("id", "decision", "existing_id", r6("sim", "sim"), r6("tension_score", "tension_score"))
 
 
+# verdicts on two thirds of the ambiguous pairs: no tension, or a hard one
+RULED = JUDGE.replace("hj AS (SELECT *,", """vj AS (SELECT * REPLACE (CASE WHEN ruled AND r = 0 THEN 'none' WHEN ruled AND r = 1 THEN 'hard' ELSE kind END AS kind, CASE WHEN ruled AND r = 0 THEN 0.0 WHEN ruled AND r = 1 THEN 0.9 ELSE ts END::DOUBLE AS ts)
+  FROM (SELECT *, kind <> 'none' AND ts < 0.65 AS ruled, (incoming_id + existing_id) % 3 AS r FROM tj)),
+hj AS (SELECT *,""").replace("act FROM tj)", "act FROM vj)")
+
+
+@query("admit_verdicts", "mem vecs incoming", f"""WITH {SIMP}, {RULED} SELECT id, decision, CASE WHEN decision IN ('quarantine', 'insert') THEN NULL ELSE ex END AS existing_id, CASE WHEN decision IN ('hard', 'temporal', 'soft') THEN round(ts, 6) END AS tension_score FROM dec""")
+def admit_verdicts(t):
+    r = F.pmod(F.col("incoming_id") + F.col("existing_id"), F.lit(3))
+    verdicts = pair_tension(t).where(F.col("ambiguous") & (r < 2)).select("incoming_id", "existing_id", F.when(r == 0, "none").otherwise("hard").alias("kind"), F.when(r == 0, 0.0).otherwise(0.9).alias("score"))
+    out = ad.decide(_incoming(t), t.memv, bl.resolve_settings(t.tenants, t.settings_raw), verdicts=pin(verdicts))
+    return out.select("id", "decision", "existing_id", r6("tension_score", "tension_score"))
+
+
 @query("admit_rows", "mem vecs incoming", f"""WITH {SIMP}, {JUDGE} SELECT id, decision, round(CASE WHEN decision = 'hard' THEN 0.7 ELSE CASE provenance WHEN 'user' THEN 0.9 WHEN 'tool' THEN 0.8 WHEN 'agent' THEN 0.72 WHEN 'derived' THEN 0.5 ELSE 0.4 END END::DOUBLE, 6) AS confidence FROM dec WHERE decision <> 'reinforce'""")
 def admit_rows(t):
     return ad.admitted_rows(_decided(t)).select("id", "decision", r6("confidence", "confidence"))

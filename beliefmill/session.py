@@ -63,8 +63,9 @@ def prepare_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write the rows once as a table in the shared folder and read them from there.
+def pin(df: DataFrame, split_by: str | None = None) -> DataFrame:
+    """Write the rows once as a table in the shared folder and read them from there;
+    with ``split_by``, a read of one value of that column opens only its files.
 
     Later branches and retried tasks then all see the same rows, lost executors
     cost no lineage, and the plan above knows the real size and can prune columns.
@@ -72,8 +73,8 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     prepare_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/pin-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(split_by) if split_by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 BROADCAST_ROWS = 200_000

@@ -176,9 +176,10 @@ def scan(rows, agent):
     return sorted((r for r in rows if r[1] == agent), key=lambda r: (r[8], r[0]))
 
 
-def test_merging_follows_scan_order(spark):
+@pytest.mark.parametrize("rows_per_pass", [10_000, 7])
+def test_merging_follows_scan_order(spark, rows_per_pass):
     rows, df = cluster_input(spark)
-    got = {r["id"]: (r["archived"], round(r["new_confidence"], 5), r["new_count"]) for r in co.merge_redundant(df).collect()}
+    got = {r["id"]: (r["archived"], round(r["new_confidence"], 5), r["new_count"]) for r in co.merge_redundant(df, rows_per_pass).collect()}
     want = {}
     for agent in (0, 1):
         m = scan(rows, agent)
@@ -199,10 +200,10 @@ def test_merging_follows_scan_order(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("mode", ["running", "pair"])
-def test_clusters_follow_scan_order(spark, mode):
+@pytest.mark.parametrize("mode,rows_per_pass", [("running", 10_000), ("pair", 10_000), ("running", 11), ("pair", 11)])
+def test_clusters_follow_scan_order(spark, mode, rows_per_pass):
     rows, df = cluster_input(spark)
-    got = {r["id"]: r["cluster_id"] for r in co.cluster(df, mode).collect()}
+    got = {r["id"]: r["cluster_id"] for r in co.cluster(df, mode, rows_per_pass).collect()}
     for agent in (0, 1):
         m, done = scan(rows, agent), {}
         for i, r in enumerate(m):
