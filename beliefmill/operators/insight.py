@@ -105,9 +105,12 @@ def strategy(proc: DataFrame, patterns: DataFrame) -> DataFrame:
         F.array(F.lit("Continue monitoring strategy effectiveness as more data is collected"))))
 
 
-def reflect(mem: DataFrame, contra: DataFrame, proc: DataFrame, ep: DataFrame, now) -> DataFrame:
-    """Health score and action items per agent."""
-    first = top_by(mem.where(live()), ["agent_id"], [F.asc_nulls_first("last_accessed_at"), F.asc("id")], 20).drop("rank")
+def reflect(mem: DataFrame, contra: DataFrame, proc: DataFrame, ep: DataFrame, now, sample: int | None = None) -> DataFrame:
+    """Health score and action items per agent. The mean adjusted confidence is that of all live
+    rows, or of the ``sample`` least recently used ones."""
+    first = mem.where(live())
+    if sample is not None:
+        first = top_by(first, ["agent_id"], [F.asc_nulls_first("last_accessed_at"), F.asc("id")], sample).drop("rank")
     conf = adjusted_confidence(first, contra, now).groupBy("agent_id").agg(F.avg("adjusted").alias("avg_adjusted"))
     unc = uncertainty(mem, contra, now)
     strat = strategy(proc, failure_patterns(ep, now))

@@ -106,7 +106,7 @@ def strategy(t):
 
 
 @query("reflect", "mem contra proc ep", f"""
-WITH first20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY last_accessed_at NULLS FIRST, id) AS rk FROM mem WHERE {LIVE}) x WHERE rk <= 20), {ADJ % 'first20'}, {UNC % 'mem'}, {STRAT},
+WITH rows_of AS (SELECT * FROM mem WHERE {LIVE}), {ADJ % 'rows_of'}, {UNC % 'mem'}, {STRAT},
 j AS (SELECT agent_id, avg_adjusted, level, contradicted, low, stale, effective, underperforming, patterns FROM u JOIN (SELECT agent_id, avg(adjusted) AS avg_adjusted FROM adj2 GROUP BY 1) c USING (agent_id) JOIN st USING (agent_id))
 SELECT agent_id, round((0.4 * avg_adjusted + 0.3 * (1 - level) + CASE WHEN effective + underperforming > 0 THEN 0.3 * effective / (effective + underperforming) ELSE 0 END) / CASE WHEN effective + underperforming > 0 THEN 1.0 ELSE 0.7 END, 6) AS health,
  array_to_string(list_filter([CASE WHEN contradicted > 0 THEN 'PRIORITY: Resolve ' || contradicted || ' contradicted beliefs' END, CASE WHEN underperforming > 0 THEN 'Review ' || underperforming || ' underperforming strategies' END,
