@@ -4,7 +4,6 @@ tokeniser as a table function."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import udtf
 
 CLIP = "CASE WHEN p < 0.01D THEN 0.01D WHEN p > 0.99D THEN 0.99D ELSE p END"
 DEFINITIONS = {
@@ -31,16 +30,7 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-@udtf(returnType="token: string, pos: int")
-class Tokens:
-    """SELECT * FROM bm_tokens('some text')"""
-
-    def eval(self, text: str):
-        import re
-
-        for i, w in enumerate(re.findall(r"[a-z0-9]+", (text or "").lower())):
-            yield w, i
-
-
 def register_table_functions(spark: SparkSession) -> None:
-    spark.udtf.register("bm_tokens", Tokens)
+    """SELECT * FROM bm_tokens('some text')"""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION bm_tokens(content STRING) RETURNS TABLE(token STRING, pos INT) "
+              "RETURN SELECT t.token, t.pos FROM posexplode(regexp_extract_all(lower(content), '[a-z0-9]+', 0)) AS t(pos, token)")

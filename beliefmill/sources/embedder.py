@@ -13,19 +13,27 @@ from pyspark.sql import types as T
 # 64-bit FNV-1a and the linear congruential step behind the hash vector.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 LCG_MUL, LCG_ADD = 6364136223846793005, 1442695040888963407
-MASK = 0xFFFFFFFFFFFFFFFF
 
 
-def _seed(text: str) -> int:
-    h = FNV_OFFSET
-    for byte in text.encode("utf-8"):
-        h = ((h ^ byte) * FNV_PRIME) & MASK
-    return h
+def _seeds(texts: list[str]) -> np.ndarray:
+    """Hash of the bytes of each text; the n-th bytes of all texts that have one are taken
+    together, longest text first, so no padding is held."""
+    data = [t.encode("utf-8") for t in texts]
+    size = np.array([len(d) for d in data], np.int64)
+    order = np.argsort(-size, kind="stable")
+    flat, begin = np.frombuffer(b"".join(data), np.uint8), (np.cumsum(size) - size)[order]
+    left = len(data) - np.searchsorted(size[order][::-1], np.arange(size.max(initial=0)), "right")
+    h = np.full(len(data), FNV_OFFSET, np.uint64)
+    for at, n in enumerate(left.tolist()):
+        h[:n] = (h[:n] ^ flat[begin[:n] + at]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def hash_vectors(texts: list[str], dim: int) -> np.ndarray:
     """Unit vectors from a congruential sequence, all rows advanced together."""
-    state = np.array([_seed(t) for t in texts], dtype=np.uint64)
+    state = _seeds(texts)
     out = np.empty((len(texts), dim))
     with np.errstate(over="ignore"):
         for i in range(dim):

@@ -171,8 +171,9 @@ class AdmissionStream:
 PASSES = ("tuner", "expirer", "decay", "consolidation", "stats")
 
 
-def run_pass(name: str, now, tables: dict[str, DataFrame]) -> DataFrame:
-    """One periodic pass as a batch function of ``now``; scheduling is left to the caller."""
+def run_pass(name: str, now, tables: dict[str, DataFrame], episodes_per_agent: int | None = None) -> DataFrame:
+    """One periodic pass as a batch function of ``now``; scheduling is left to the caller.
+    Consolidation takes all raw episodes unless told how many of an agent."""
     from beliefmill.operators import consolidate as co
     from beliefmill.operators import learning as ln
     from beliefmill.operators import lifecycle as lc
@@ -185,7 +186,7 @@ def run_pass(name: str, now, tables: dict[str, DataFrame]) -> DataFrame:
     if name == "decay":
         return dy.decay_pass(t["memories"], t["settings"], now)
     if name == "consolidation":
-        return co.process_raw(t["episodes"], 50)
+        return co.process_raw(t["episodes"], episodes_per_agent)
     if name == "stats":
         return ln.learning_stats(t["mutation_log"], t["since"], now)
     raise ValueError(f"unknown pass {name}; one of {PASSES}")

@@ -10,7 +10,7 @@ from beliefmill.functions import vectors as vc
 from beliefmill.operators import beliefs as bl
 from beliefmill.operators import learning as ln
 from beliefmill.operators import working as wk
-from beliefmill.sources.embedder import hash_vectors
+from beliefmill.sources.embedder import FNV_OFFSET, FNV_PRIME, _seeds, hash_vectors
 
 
 def one(spark, col):
@@ -114,3 +114,14 @@ def test_merge_keeps_first_side_on_ties(spark):
     b = spark.createDataFrame([(1, "semantic", 1, 0.5, 0.9, "z", "goal", "b"), (1, "semantic", 2, 0.4, 0.9, "z", "goal", "b")], cols)
     r = {x["id"]: x for x in wk.merge_activations(a, b, 1.2).collect()}
     assert r[1]["source"] == "direct" and r[2]["source"] == "goal" and abs(r[2]["level"] - 0.48) < 1e-9 and r[2]["content"] == "y"
+
+
+def test_hash_of_texts_follows_their_bytes():
+    texts = ["", "a", "né", "longer text", "a", "x" * 300]
+    want = []
+    for t in texts:
+        h = FNV_OFFSET
+        for byte in t.encode():
+            h = (h ^ byte) * FNV_PRIME % (1 << 64)
+        want.append(h)
+    assert _seeds(texts).tolist() == want and _seeds([]).tolist() == []
