@@ -223,6 +223,12 @@ def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     return both.sortWithinPartitions("b", "a").mapInArrow(_differences(similarity), "tid binary, leader binary, n long, n_leader long, apart long, linked boolean, added array<bigint>")
 
 
+def _signature() -> list:
+    """Two sums over the texts of a group that, with its size, tell sets of texts apart."""
+    half = [F.xxhash64("tid", F.lit(i)).cast("decimal(20,0)") for i in (0, 1)]
+    return [F.sum(h).alias(f"s{i}") for i, h in enumerate(half)]
+
+
 def candidates(member: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of one leader's texts in different groups that may still be linked.
 
@@ -239,6 +245,10 @@ def candidates(member: DataFrame, similarity: float) -> DataFrame:
     apart = (F.col("x.root") < F.col("y.root")) & (F.col("x.n") >= F.col("y.n") * similarity - 1e-6) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-6)
     apart &= F.abs(F.col("x.apart") - F.col("y.apart")) <= u * (F.col("x.n") + F.col("y.n")) + 1e-6
     token = member.select("leader", "tid", "root", "n", "apart", F.explode("added").alias("token"))
+    # shingles that only one group has link nothing, and of those that the very same texts have one will do
+    held = token.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("held"), *_signature(), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    one = held.where("r0 <> r1").groupBy("leader", "held", "s0", "s1").agg(F.min("token").alias("token")).select("leader", "token")
+    token = token.join(one, ["leader", "token"])
     shared = token.alias("x").join(token.alias("y"), (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & apart)
     near = member.where(F.col("most") >= F.col("n") * similarity - 1e-6)
     x, y = near.alias("x"), near.alias("y")
