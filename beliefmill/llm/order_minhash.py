@@ -12,9 +12,9 @@ run of matched positions. Linked texts form groups by transitive closure.
 
 Equal texts are combined first. No key ever has all its pairs emitted: its texts are compared
 with one leader, the text that shares keys with most others. Texts of one key that are still
-in different groups can only be linked if they share a shingle that their leader lacks, or
-if their sizes and differences from it leave room (see ``candidates``); those pairs, found by
-equality joins, are compared too, so no link between texts that share a key is lost.
+in different groups can only be linked if they share some of what they differ in from their
+leader, or if both are close to it (see ``candidates``); those pairs, found by equality joins,
+are compared too, so no link between texts that share a key is lost.
 
 Defined results: null texts and texts without a word are empty and form one group of equal
 texts only if they are equal; repeated rows fall into one group; the class id is the smallest
@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 CODES = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
 FACTORS = [U64((0xD6E8FEB86659FD93 * (2 * i + 1) + 2 * i) % (1 << 64) | 1) for i in range(SKETCHES)]
+PARITY = 8  # words of 64 parities of a text's shingles
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -194,6 +197,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITY words: bit i tells whether an odd number of shingles fall on i. Two texts differ
+    in at least as many shingles as their parities in bits."""
+    bits = np.bincount((hashes % U64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _differences(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,24 +213,27 @@ def _differences(similarity: float):
                 if b not in known:
                     known = {b: shingles([tb])[0]}
                 x, led = shingles([ta])[0], known[b]
-                added = np.setdiff1d(x, led, assume_unique=True)
-                few = np.sort(added)[: int((1 - similarity) * len(x) + 1e-9) + 1]
-                apart = len(led) - len(x) + 2 * len(added)
-                out.append((a, b, len(x), len(led), apart, aligned(x, led, similarity), few.astype(np.int64)))
+                differ = np.setxor1d(x, led, assume_unique=True)
+                few = differ[: int((1 - similarity) / similarity * len(x) + 1e-6) + 1] ^ U64(1 << 63)
+                out.append((a, b, len(x), len(led), len(differ), aligned(x, led, similarity), few.astype(np.int64), *parities(x).tolist()))
             if out:
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["tid", "leader", "n", "n_leader", "apart", "linked", "added"])
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), *[pa.int64()] * PARITY)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["tid", "leader", "n", "n_leader", "apart", "linked", "differ", *_words()])
 
     return run
 
 
 def differences(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """For pairs (a, b) of a text and a leader: sizes, the size of the symmetric difference of
-    their labelled shingles, whether they are linked, and of the shingles that only the text
-    has, the smallest ones: one more than a linked text may lack."""
+    their labelled shingles, whether they are linked, and the smallest shingles of that
+    difference: one more than a linked text may differ in; and the parities of the text."""
     t = texts.select("tid", "text")
     both = pairs.join(t.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.sortWithinPartitions("b", "a").mapInArrow(_differences(similarity), "tid binary, leader binary, n long, n_leader long, apart long, linked boolean, added array<bigint>")
+    return both.sortWithinPartitions("b", "a").mapInArrow(_differences(similarity), "tid binary, leader binary, n long, n_leader long, apart long, linked boolean, differ array<bigint>, " + ", ".join(f"{w} long" for w in _words()))
+
+
+def _words() -> list[str]:
+    return [f"p{i}" for i in range(PARITY)]
 
 
 def _signature() -> list:
@@ -232,28 +245,28 @@ def _signature() -> list:
 def candidates(member: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of one leader's texts in different groups that may still be linked.
 
-    Linked texts lack at most (1 - similarity) of each other's shingles. If they share one that
-    their leader lacks, the smallest such is among the kept ones of both. If they share none,
-    they differ in all that either adds and in at least the difference of what either drops,
-    so with u = (1 - similarity) / (1 + similarity) their difference is at least
-    apart(x) + n(y) - n_leader, and must not exceed u (n(x) + n(y)); and the same the other way.
+    What two texts differ in is what their differences from the leader differ in, and linked
+    texts differ in at most u (n(x) + n(y)) shingles, u = (1 - similarity) / (1 + similarity).
+    So either both differences together are that small, and then the text that is not linked
+    to the leader is close to it but in another order; or they share a shingle. The first that
+    they share is among the kept ones of both, and its places there bound what is shared.
     """
     u = (1 - similarity) / (1 + similarity)
-    most = (u * F.col("n") + F.col("n_leader") - F.col("apart")) / (1 - u) + 1e-6
-    member = member.withColumn("most", most)
-    # groups differ, and neither the sizes nor the distances from the leader rule a link out
-    apart = (F.col("x.root") < F.col("y.root")) & (F.col("x.n") >= F.col("y.n") * similarity - 1e-6) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-6)
-    apart &= F.abs(F.col("x.apart") - F.col("y.apart")) <= u * (F.col("x.n") + F.col("y.n")) + 1e-6
-    token = member.select("leader", "tid", "root", "n", "apart", F.explode("added").alias("token"))
-    # shingles that only one group has link nothing, and of those that the very same texts have one will do
+    room = u * (F.col("x.n") + F.col("y.n")) + 1e-6
+    # groups differ, and sizes and parities leave room for a link
+    odd = reduce(add, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in _words()])
+    other = (odd <= room) & (F.col("x.n") >= F.col("y.n") * similarity - 1e-6) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-6) & (F.col("x.leader") == F.col("y.leader"))
+    token = member.select("leader", "tid", "root", "n", "apart", *_words(), F.posexplode("differ").alias("at", "token")).withColumn("rest", F.col("apart") - F.col("at"))
+    # shingles that only one group has link nothing, and of those that the very same texts have the first will do
     held = token.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("held"), *_signature(), F.min("root").alias("r0"), F.max("root").alias("r1"))
     one = held.where("r0 <> r1").groupBy("leader", "held", "s0", "s1").agg(F.min("token").alias("token")).select("leader", "token")
     token = token.join(one, ["leader", "token"])
-    shared = token.alias("x").join(token.alias("y"), (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & apart)
-    near = member.where(F.col("most") >= F.col("n") * similarity - 1e-6)
-    x, y = near.alias("x"), near.alias("y")
-    close = x.join(y, (F.col("x.leader") == F.col("y.leader")) & apart & (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most")))
-    pick = [F.col("x.tid").alias("a"), F.col("y.tid").alias("b")]
+    least = F.col("x.at") + F.col("y.at") + F.abs(F.col("x.rest") - F.col("y.rest"))
+    shared = token.alias("x").join(token.alias("y"), other & (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (least <= room))
+    near = member.where(F.col("apart") <= (1 - similarity) / similarity * F.col("n") + 1e-6).drop("differ")
+    moved = near.where(~F.col("linked") & (F.col("apart") <= u * (F.col("n") + F.col("n_leader")) + 1e-6))
+    close = moved.alias("x").join(near.alias("y"), other & (F.col("x.root") != F.col("y.root")) & (F.col("x.apart") + F.col("y.apart") <= room))
+    pick = [F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")]
     return shared.select(*pick).union(close.select(*pick)).distinct()
 
 
@@ -280,7 +293,7 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     edges = edges.union(compared.where("linked").select("tid", "leader"))
     root = components(edges)
     left = open_keys(root).select("leader").distinct()
-    member = compared.drop("linked").join(left, "leader", "left_semi").join(root, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    member = compared.join(left, "leader", "left_semi").join(root, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     last = pin(linked(candidates(pin(member), similarity), own, similarity))
     return components(edges.union(last))
 
