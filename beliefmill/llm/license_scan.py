@@ -5,6 +5,11 @@ gone, punctuation as blanks, one spelling for equivalent words) and digested; en
 canonical texts are then hash-joined to the digests of known licences. The known table has a
 fixed size, so it is broadcast. Everything runs in Spark's own functions.
 
+Known in full, in the variants of ``license_texts``: Apache-2.0, GPL-2.0, GPL-3.0, LGPL-2.0,
+LGPL-2.1, LGPL-3.0, MPL-2.0, CC0-1.0, CC-BY-SA-4.0, BSD-2-Clause, BSD-3-Clause, MIT, ISC, Zlib,
+BSL-1.0, Unlicense. Not known in full: AGPL-3.0, CC-BY-4.0 and CC-BY-NC-4.0 (of the two CC
+licences only the notice), texts with other words, and texts with anything before or after.
+
 Defined results: null texts are empty and match nothing; rows with equal texts get equal
 results; a canonical text without a letter or digit never matches; an empty table gives no
 rows. Only the id and text columns are read.
@@ -16,12 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beliefmill.llm.common import text_id, text_of
+from beliefmill.llm.license_texts import full_digests
 
 # Lines that name holders, and spellings that count as equal.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("http ", "https "), ("and or", "or"), ("version 2 0", "2 0"), ("version 3", "3")]
-# Notices, and short licences in full.
+# Notices, and short licences in full. More full texts are in license_texts.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -66,8 +72,10 @@ def whole_form(text: Column) -> Column:
 
 
 def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """digest, license of the given texts; by default of KNOWN and of all full texts kept."""
     rows = spark.createDataFrame(known or KNOWN, "license string, text string")
-    return rows.select(F.sha2(whole_form(F.col("text")).cast("binary"), 256).alias("digest"), "license").distinct()
+    digests = rows.select(F.sha2(whole_form(F.col("text")).cast("binary"), 256).alias("digest"), "license")
+    return (digests if known else digests.unionByName(full_digests(spark))).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

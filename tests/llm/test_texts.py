@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from beliefmill.llm import bpe_pairs, language_id, license_scan, order_minhash, run_index, token_edits, vector_packing
+from beliefmill.llm import bpe_pairs, language_id, license_scan, license_texts, order_minhash, run_index, token_edits, vector_packing
 from beliefmill.llm.queries import tokenizer
 
 BYTES, WORDS = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
@@ -103,6 +103,21 @@ def test_license_scan_forms(spark):
     assert by == {(1, None, "MIT", 1), (2, "MIT", None, 0), (3, None, None, 0), (4, None, None, 0), (5, None, None, 0), (1, None, "CC-BY-NC-4.0,MIT", 2)}
 
 
+def test_license_scan_full_texts(spark):
+    kept = dict(license_texts.texts())
+    given = list(license_texts.texts())
+    given += [(k, license_texts.wrapped(kept[k], w)) for k in ("GPL-3.0", "BSD-3-Clause", "Apache-2.0") for w in (0, 72, 79)]
+    given += [("BSD-3-Clause", kept["BSD-3-Clause"].replace("<year> <holder>", "2020 Some One. All rights reserved.")), ("Apache-2.0", kept["Apache-2.0"].split("APPENDIX")[0]), (None, kept["GPL-2.0"][:9000])]
+    out = rows(license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(given)], "doc_id long, text string")))
+    assert {r["doc_id"]: r["license"] for r in out} == {i: k for i, (k, _) in enumerate(given)}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "BSD-2-Clause", "BSD-3-Clause"} <= kept.keys()
+
+
+def test_license_digests_are_those_of_the_texts(spark):
+    want = {(r.digest, r.license) for r in license_scan.known_digests(spark, license_texts.rows()).collect()}
+    assert {(r.digest, r.license) for r in license_texts.full_digests(spark).collect()} == want
+
+
 # repeated strings
 
 
