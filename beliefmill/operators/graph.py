@@ -37,8 +37,8 @@ def entity_link_factors(mentions: DataFrame) -> DataFrame:
 
 
 def entity_link_edges(mentions: DataFrame, per_source: int = MAX_EDGES, new: DataFrame | None = None) -> DataFrame:
-    """The strongest shared-entity edges per belief, at most the number the graph
-    keeps per source. A partner that makes a source's list is among the best
+    """The strongest shared-entity edges per belief, at most the number a pruned graph
+    keeps per source; ``entity_link_factors`` holds all links. A partner that makes a source's list is among the best
     ``per_source`` partners of the entity they share, so each entity offers only
     that many (plus one for the source itself) and no pair list is formed."""
     w = mentions.groupBy("entity_id", "memory_id").agg(F.max(sc.mention_weight(F.col("mention_type"))).alias("w"))
@@ -97,11 +97,13 @@ def new_entities(resolved: DataFrame) -> DataFrame:
         F.min("name").alias("name"), F.min_by("tenant_id", "memory_id").alias("tenant_id"))
 
 
-def build_graph(mem: DataFrame, mentions: DataFrame, detected: DataFrame, per_source: int = MAX_EDGES) -> DataFrame:
-    """All edge kinds with symmetric ones reversed, ready for a greatest-upsert."""
-    edges = entity_link_edges(mentions, per_source).unionByName(thematic_edges(mem, per_source=per_source)).unionByName(
+def build_graph(mem: DataFrame, mentions: DataFrame, detected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, factors): thematic and detected edges with symmetric ones reversed, ready for
+    a greatest-upsert, and the shared-entity links as factors, to be joined at traversal.
+    Nothing is capped here; ``prune_graph`` and ``cap_edges`` do that."""
+    edges = thematic_edges(mem).unionByName(
         relationship_edges(relationship_candidates(mem), detected).select(*EDGE, F.col("strength").cast("double").alias("strength")))
-    return symmetrise(edges)
+    return symmetrise(edges), entity_link_factors(mentions)
 
 
 # -- traversal --------------------------------------------------------------
@@ -114,14 +116,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
         edges.select(F.col("target_id").alias("node"), F.col("source_id").alias("other"), *keep))
 
 
-def activate_graph(seeds: DataFrame, edges: DataFrame, hops: int = 2, *, relations: list[str] | None = None,
+def wanted_links(factors: DataFrame | None, relations: list[str] | None) -> DataFrame | None:
+    """Factors (entity_id, node, half), if shared-entity links are to be followed."""
+    if factors is None or relations and "entity_link" not in relations:
+        return None
+    return factors.select("entity_id", F.col("memory_id").alias("node"), "half")
+
+
+def activate_graph(seeds: DataFrame, edges: DataFrame, hops: int = 2, *, factors: DataFrame | None = None, relations: list[str] | None = None,
                    min_strength: float | None = None, created: DataFrame | None = None, now=None,
                    max_age_days: int | None = None, forward_causal: bool = False) -> DataFrame:
     """Spread seed scores over the graph.
 
     seeds: query_id, id, score. Result: query_id, id, activation, hops, path; the
     best activation per node at the hop that first reaches it (lowest path on a
-    tie). ``created`` (id, created_at) is needed for the time constraints.
+    tie). ``created`` (id, created_at) is needed for the time constraints. ``factors``
+    adds all shared-entity links: a hop goes from belief to entity to belief, and of the
+    nodes that reach an entity with one half weight only the best goes on.
     """
     hop = both_ways(edges.select(*EDGE, "strength"))
     if relations:
@@ -140,12 +151,23 @@ def activate_graph(seeds: DataFrame, edges: DataFrame, hops: int = 2, *, relatio
             hop = hop.where(~F.coalesce(backward, F.lit(False)))
     gain = F.col("strength").cast("double") * sc.relation_multiplier(F.col("relation_type"))
     hop = hop.select("node", "other", gain.alias("gain"))
+    links = wanted_links(factors, relations)
+    if links is not None:
+        ends = links.select("entity_id", F.col("node").alias("other"), F.col("half").alias("other_half"))
+        if timed and max_age_days is not None:
+            ends = ends.join(t, "other", "left_semi")
     frontier = pin(seeds.where(F.col("score") > SEED_SCORE).select("query_id", F.col("id").alias("node"), F.col("score").cast("double").alias("a"), F.array("id").alias("path")))
     seen = frontier.select("query_id", F.col("node").alias("other"))
     found = None
     for h in range(1, hops + 1):
         # a small frontier goes to the edges, which then need no shuffle
         step = hop.join(small_side(frontier), "node").select("query_id", "other", (F.col("a") * F.col("gain")).alias("a"), "path")
+        if links is not None:
+            at = links.join(small_side(frontier), "node").groupBy("query_id", "entity_id", "half").agg(F.min(F.struct((-F.round("a", 9)).alias("na"), "path", "a")).alias("b"))
+            via = at.join(ends, "entity_id").withColumn("s", F.col("half") * F.col("other_half"))
+            if min_strength:
+                via = via.where(F.col("s") >= F.lit(min_strength).cast("float"))
+            step = step.unionByName(via.select("query_id", "other", (F.col("b.a") * (F.col("s") * sc.relation_multiplier(F.lit("entity_link")))).alias("a"), F.col("b.path").alias("path")))
         step = step.where(F.col("a") > MIN_ACTIVATION).join(small_side(seen), ["query_id", "other"], "left_anti")
         # compared at nine digits, so that equal products in another order tie
         best = step.groupBy("query_id", "other").agg(F.min(F.struct((-F.round("a", 9)).alias("na"), "path", "a")).alias("b")).select(
@@ -161,10 +183,10 @@ def activate_graph(seeds: DataFrame, edges: DataFrame, hops: int = 2, *, relatio
 
 
 def recall_hybrid(mem: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, hops: int = 2,
-                  vector_weight: float = 0.6, graph_weight: float = 0.4, **scope) -> DataFrame:
+                  vector_weight: float = 0.6, graph_weight: float = 0.4, factors: DataFrame | None = None, **scope) -> DataFrame:
     """Vector hits (2k) and their graph neighbourhood fused by weighted sum."""
     seeds = pin(recall_similarity(mem, queries, k=2 * k, keep=(), **scope))
-    reached = activate_graph(seeds, edges, hops)
+    reached = activate_graph(seeds, edges, hops, factors=factors)
     # graph hits must be readable: active rows of the query's tenant
     owned = reached.join(mem.where(active()).select("id", "tenant_id"), "id")
     graph = owned.join(queries.select("query_id", "tenant_id"), ["query_id", "tenant_id"], "left_semi")
@@ -197,9 +219,10 @@ def entities_for_memory(mentions: DataFrame, ent: DataFrame) -> DataFrame:
     return mentions.join(ent.select("entity_id", "name", "entity_type"), "entity_id").select("memory_id", "entity_id", "name", "entity_type", "mention_type")
 
 
-def traverse_paths(starts: DataFrame, edges: DataFrame, depth: int = 2, relations: list[str] | None = None) -> DataFrame:
+def traverse_paths(starts: DataFrame, edges: DataFrame, depth: int = 2, relations: list[str] | None = None, factors: DataFrame | None = None) -> DataFrame:
     """All paths from expanded nodes to nodes not expanded so far: query_id, path,
-    path_length (nodes), strength. A node is expanded once, by its strongest path."""
+    path_length (nodes), strength. A node is expanded once, by its strongest path.
+    ``factors`` adds all shared-entity links, formed for the expanded nodes only."""
     if not 1 <= depth <= 5:
         raise ValueError("depth must be between 1 and 5")
     hop = both_ways(edges.select(*EDGE, "strength"))
@@ -208,8 +231,15 @@ def traverse_paths(starts: DataFrame, edges: DataFrame, depth: int = 2, relation
     hop = hop.select("node", "other", F.col("strength").cast("double").alias("s"))
     frontier = pin(starts.select("query_id", F.col("id").alias("node"), F.lit(1.0).alias("strength"), F.array("id").alias("path")))
     seen, out = frontier.select("query_id", F.col("node").alias("other")), None
+    links = wanted_links(factors, relations)
     for d in range(1, depth + 1):
-        step = hop.join(small_side(frontier), "node").join(small_side(seen), ["query_id", "other"], "left_anti").select(
+        near = hop
+        if links is not None:
+            own = links.join(small_side(frontier.select("node").distinct()), "node")
+            other = links.select("entity_id", F.col("node").alias("other"), F.col("half").alias("other_half"))
+            pairs = own.join(other, "entity_id").where(F.col("node") != F.col("other"))
+            near = hop.unionByName(pairs.groupBy("node", "other").agg(F.max(F.col("half") * F.col("other_half")).alias("s")))
+        step = near.join(small_side(frontier), "node").join(small_side(seen), ["query_id", "other"], "left_anti").select(
             "query_id", F.col("other").alias("node"), (F.col("strength") * F.col("s")).alias("strength"), F.array_append("path", F.col("other")).alias("path"))
         part = step.select("query_id", "path", F.size("path").alias("path_length"), "strength")
         out = part if out is None else out.unionByName(part)

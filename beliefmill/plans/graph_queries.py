@@ -100,7 +100,10 @@ al AS (SELECT source_id, target_id, 'entity_link' AS relation_type, strength FRO
  UNION ALL SELECT e.source_id, e.target_id, e.relation_type, e.strength::DOUBLE FROM edges e WHERE EXISTS (SELECT 1 FROM cd WHERE lid = e.source_id AND rid = e.target_id))
 SELECT source_id, target_id, relation_type, round(strength, 6) AS strength FROM {SYMM % ('al', 'al')} s""")
 def build_graph(t):
-    return edges3(gr.build_graph(t.memv, t.mentions, t.edges))
+    # shared-entity links come as factors: a belief without target, and its entity
+    edges, factors = gr.build_graph(t.memv, t.mentions, t.edges)
+    links = factors.select(F.col("memory_id").alias("source_id"), F.lit("entity_link").alias("relation_type"), r6("half", "strength"), "entity_id")
+    return edges3(edges).unionByName(links, allowMissingColumns=True)
 
 
 MULT = "CASE relation_type WHEN 'entity_link' THEN 0.7 WHEN 'causal' THEN 0.9 WHEN 'temporal' THEN 0.6 WHEN 'thematic' THEN 0.7 WHEN 'supports' THEN 0.85 WHEN 'contradicts' THEN 0.95 WHEN 'derived_from' THEN 0.8 ELSE 0.9 END::DOUBLE"

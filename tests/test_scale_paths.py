@@ -239,6 +239,31 @@ def test_entity_links_match_all_pairs_when_uncapped(spark):
     assert all(capped[a] == {b for _, b in sorted(v)[:3]} for a, v in top.items())
 
 
+def test_build_graph_keeps_all_links_of_a_hub(spark, tables):
+    n, kinds = 130, ["subject", "object", "context"]
+    rows = [(i % 3 and 900 or 901, i, kinds[i % 2]) for i in range(n)] + [(900, i, kinds[i % 3]) for i in range(0, n, 5)] + [(902, i, "subject") for i in (1, 3, 7)]
+    mentions = spark.createDataFrame(rows, "entity_id long, memory_id long, mention_type string")
+    first = tables.memv.where("NOT is_archived AND binding <> 'quarantine'").limit(1)
+    copies = first.drop("id").crossJoin(spark.range(70)).select(*tables.memv.columns)
+    none = spark.createDataFrame([], "source_id long, target_id long, relation_type string, strength double")
+    edges, factors = gr.build_graph(copies, mentions, none)
+    assert edges.where("relation_type = 'thematic'").count() == 70 * 69
+    pairs = factors.alias("a").join(factors.alias("b"), "entity_id").where("a.memory_id <> b.memory_id")
+    pairs = pairs.groupBy(F.col("a.memory_id").alias("source_id"), F.col("b.memory_id").alias("target_id")).agg(F.max(F.col("a.half") * F.col("b.half")).alias("strength"))
+    all_pairs = pairs.withColumn("relation_type", F.lit("entity_link")).localCheckpoint()
+    assert all_pairs.count() > 50 * n
+    chain = spark.createDataFrame([(2, 200, "causal", 0.9), (5, 201, "causal", 0.8), (200, 4, "supports", 0.9)], none.schema)
+    seeds = spark.createDataFrame([(1, 3, 0.9), (1, 5, 0.9), (1, 8, 0.7), (2, 6, 0.95), (2, 201, 0.6)], "query_id long, id long, score double")
+    for more in ({}, {"min_strength": 0.75}, {"relations": ["entity_link"]}, {"relations": ["causal"]}):
+        got, want = ({(r.query_id, r.id): (round(r.activation, 8), r.hops, tuple(r.path)) for r in x.collect()} for x in (
+            gr.activate_graph(seeds, chain, factors=factors, **more), gr.activate_graph(seeds, chain.unionByName(all_pairs), **more)))
+        assert got == want and got
+    starts = seeds.where("id = 5")
+    got, want = (sorted((r.path, round(r.strength, 8)) for r in x.collect()) for x in (
+        gr.traverse_paths(starts, chain, 1, factors=factors), gr.traverse_paths(starts, chain.unionByName(all_pairs).where("source_id < target_id OR relation_type <> 'entity_link'"), 1)))
+    assert got == want and len(got) > 50
+
+
 def test_no_recall_shows_hidden_rows(spark, tables):
     q, m = tables.queries, tables.memv
     for df in (rc.recall_similarity(m, q, keep=("binding", "is_archived", "tenant_id")),
