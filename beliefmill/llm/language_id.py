@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from beliefmill.llm.common import U64, slices, text_of
 
 ORDER = 4
-#: Bound of the training sample: so many whole documents per language, of at most so many bytes each.
+#: Bound of the training sample: so many different whole texts per language, of at most so many bytes each.
 SAMPLE_DOCS = 400
 SAMPLE_DOC_BYTES = 65_536
+#: A language that has only longer texts trains on so many of them, the shortest.
+LONG_DOCS = 4
 #: The pipeline rejects a text that its best language codes in more bits per byte than this.
 REJECT_BITS = 6.0
 UNDETERMINED = "und"
@@ -63,10 +65,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text): per language the documents with the smallest text hashes, whole."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_DOC_BYTES)
-    return rows.select("lang", "text").withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= docs_per_language).drop("_at")
+    """(lang, text): per language the different texts with the smallest digests, whole. Copies
+    are combined before they are ranked. A language without a text of at most SAMPLE_DOC_BYTES
+    trains on its LONG_DOCS shortest ones. Only digests are ranked; the texts of the chosen ones
+    are fetched by a second read."""
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.md5(F.col("text").cast("binary")).alias("_md5"))
+    each = rows.groupBy("lang", "_md5").agg(F.min(F.octet_length("text")).alias("_bytes"))
+    short = F.col("_bytes") <= SAMPLE_DOC_BYTES
+    w = Window.partitionBy("lang")
+    # within a language short texts come first, by digest; longer ones follow by length
+    at = F.row_number().over(w.orderBy(F.when(short, 0).otherwise(F.col("_bytes")), "_md5"))
+    best = each.withColumn("_at", at).where(F.col("_at") <= docs_per_language)
+    fewest = best.withColumn("_least", F.min("_bytes").over(w))
+    chosen = fewest.where(short | (F.col("_least") > SAMPLE_DOC_BYTES) & (F.col("_at") <= LONG_DOCS)).select("lang", "_md5")
+    return rows.join(F.broadcast(chosen), ["lang", "_md5"], "left_semi").groupBy("lang", "_md5").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 class Model:

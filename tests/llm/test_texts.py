@@ -49,6 +49,17 @@ def test_language_unlabelled_is_undetermined(docs):
     assert {r["lang_pred"] for r in rows(language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
 
 
+def test_language_sample_counts_different_texts(spark):
+    copies = [("aa", "the same words")] * 900
+    given = copies + [("aa", f"other words {i}") for i in range(30)] + [("bb", "x" * (language_id.SAMPLE_DOC_BYTES + i)) for i in (1, 1, 2, 3, 4, 5, 6)] + [("cc", "short"), ("cc", "y" * 70_000)]
+    labelled = spark.createDataFrame(given, "lang string, text string")
+    got = Counter((r.lang, len(r.text), r.text) for r in language_id.training_sample(labelled).collect())
+    assert got == Counter({("aa", len(t), t) for k, t in given if k == "aa"} | {("bb", len(t), t) for k, t in given if k == "bb" and len(t) <= language_id.SAMPLE_DOC_BYTES + 4} | {("cc", 5, "short")})
+    # whatever the digests, a bound of 31 reaches all texts and a bound of 5 takes five different ones
+    assert language_id.training_sample(labelled, 5).where("lang = 'aa'").distinct().count() == 5
+    assert "bb" in language_id.fit(labelled).langs
+
+
 def test_language_code_length_by_hand():
     """Bits of each byte follow from counts, escape by escape."""
     import pyarrow as pa
