@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beliefmill.llm import bit_slices, bpe_pairs, language_id, license_scan, merkle_manifest, order_minhash, periodic_runs, run_index, stable_projection, token_edits, vector_packing, warc
+from beliefmill.llm import bit_slices, bpe_pairs, jaccard_join, language_id, license_scan, merkle_manifest, order_minhash, periodic_runs, run_index, stable_projection, token_edits, vector_packing, warc
 from beliefmill.llm.common import table
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_stable_neighbours": lambda spark, d: stable_projection.search(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0),
     "op9_bpe_round_trip": lambda spark, d: bpe_pairs.round_trip(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json")),
     "op10_vector_packing": lambda spark, d: vector_packing.pack_documents(table(spark, d, "documents"), tokenizer("word_bpe_49k.json")),
+    "op11_jaccard_join": lambda spark, d: jaccard_join.components_of_links(table(spark, d, "documents")),
     "op12_periodic_runs": lambda spark, d: periodic_runs.periodic_runs(table(spark, d, "documents"), plant=True),
     "op13_merkle_manifest": lambda spark, d: merkle_manifest.tampered_manifest(table(spark, d, "documents")),
 }
@@ -43,4 +44,4 @@ REPEATS_SQL = """
            sha256(unhex(CASE WHEN hi IS NULL THEN x ELSE head || substr(x, 2 * hi + 1) END)) AS kept_sha256
     FROM t LEFT JOIN k USING (r)"""
 
-CHECKS = {"op2_license_scan": license_scan.scan_sql(), "op3_repeat_removal": REPEATS_SQL, "op5_exact_topk": bit_slices.SEARCH_SQL, "op7_warc_salvage": warc.ARCHIVE_SQL, "op13_merkle_manifest": merkle_manifest.manifest_sql()}
+CHECKS = {"op2_license_scan": license_scan.scan_sql(), "op3_repeat_removal": REPEATS_SQL, "op5_exact_topk": bit_slices.SEARCH_SQL, "op7_warc_salvage": warc.ARCHIVE_SQL, "op11_jaccard_join": jaccard_join.COMPONENTS_SQL, "op13_merkle_manifest": merkle_manifest.manifest_sql()}
