@@ -18,7 +18,8 @@ run in blocks of BLOCK entries by size and position, and pairs of blocks whose b
 links out are skipped. A pair that the list of the shingle before has found is not given again.
 Lists of over LIST_MOST sets are dealt over tasks as pairs of blocks.
 
-Answers. A candidate set is intersected with the other group's leader only. The sizes of its
+Answers. A candidate set is intersected with the other group's leader only, unless parities of
+both tell that it is too far from all the group. The sizes of its
 intersections with all members follow from that one and from the shingles in which they
 differ, by lists over those; members are dealt in bounded blocks.
 
@@ -34,6 +35,8 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,7 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 MINIMA = 8
 HOT = 64
+PARITY = 16  # words of 64 parities of a set
 BLOCK, LIST_MOST, MEMBERS_MOST = 256, 8192, 4096
 CHUNK = 1 << 20
 SUM = NUM + DEN  # linked: SUM * common >= NUM * (n + m)
@@ -107,6 +111,13 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of shingles fall on i: two sets differ in at least as
+    many shingles as in parities."""
+    bits = np.bincount((tokens % U64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(U64)
+
+
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in batches:
         tids, texts = batch.column("tid").to_pylist(), batch.column("text").to_pylist()
@@ -118,7 +129,8 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for tids, sets in _each_set(batches):
         probes = [s[: reach(len(s)) + len(s) // 20 + 2] for s in sets]
         keys = [np.array([s[0], *((s * f ^ (s >> U64(32))).min() for f in FACTORS[1:MINIMA])], U64) if len(s) else s for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(probes), _lists(keys)], ["tid", "n", "probe", "keys"])
+        odd = [_parities(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(probes), _lists(keys), _lists(odd)], ["tid", "n", "probe", "keys", "odd"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +144,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def all_sets(docs: DataFrame) -> DataFrame:
     """One row per different text with a word: id, tid, n, doc_id (the smallest), the first of
-    its shingles by hash (more than its prefix), the keys that name its leader."""
+    its shingles by hash (more than its prefix), the keys that name its leader, parities."""
     read = docs.select(F.col("doc_id").alias("doc_id"), text_id("text").alias("tid"))
     least = read.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
-    found = _texts(docs).mapInArrow(_probe, "tid binary, n long, probe array<bigint>, keys array<bigint>").where("n > 0")
-    once = found.groupBy("tid").agg(F.first(F.struct("n", "probe", "keys")).alias("s"))
+    found = _texts(docs).mapInArrow(_probe, "tid binary, n long, probe array<bigint>, keys array<bigint>, odd array<bigint>").where("n > 0")
+    once = found.groupBy("tid").agg(F.first(F.struct("n", "probe", "keys", "odd")).alias("s"))
     return pin(once.join(least, "tid").select(F.monotonically_increasing_id().alias("id"), "tid", "doc_id", "s.*"))
 
 
@@ -151,8 +163,16 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 # -- leaders ----------------------------------------------------------------
 
 
+def with_apart(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """Add the sizes n and m of sets ``a`` and ``b`` and ``apart``, a number of shingles in which they differ at least."""
+    own = sets.select("id", "n", "odd")
+    both = pairs.join(own.toDF(a, "n", "odd_a"), a).join(own.toDF(b, "m", "odd_b"), b)
+    apart = reduce(add, [F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY)])
+    return both.withColumn("apart", apart.cast("long")).drop("odd_a", "odd_b")
+
+
 def leaders(sets: DataFrame) -> DataFrame:
-    """(a, b): every set beside the set that leads most of its keys."""
+    """(a, b): sets beside the set that leads most of their keys, where parities leave room for a link."""
     keys = sets.select("id", F.posexplode("keys").alias("f", "key")).select("id", F.xxhash64("f", "key").alias("key"))
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = pin(keys.join(counts, "key"))
@@ -160,7 +180,8 @@ def leaders(sets: DataFrame) -> DataFrame:
     top = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top"))
     votes = shared.join(top, "key").groupBy("id", "top").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "top")).alias("best"))
-    return best.select(F.col("id").alias("a"), F.col("best.top.id").alias("b")).where("a <> b")
+    pairs = best.select(F.col("id").alias("a"), F.col("best.top.id").alias("b")).where("a <> b")
+    return with_apart(pairs, sets, "a", "b").where(SUM * F.col("apart") <= F.col("n") + F.col("m")).select("a", "b")
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +212,15 @@ def hot_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > HOT)
 
 
-def with_hot(sets: DataFrame, column: str, hot: DataFrame) -> DataFrame:
-    """Add ``hot``, the hot shingles of ``column`` with their numbers of sets (null if there is none)."""
-    own = sets.select("id", F.explode(column).alias("token")).join(small_side(hot), "token").groupBy("id").agg(F.collect_list(F.struct("token", "sets")).alias("hot"))
-    return sets.join(own, "id", "left")
+def hot_of(sets: DataFrame, column: str, hot: DataFrame) -> DataFrame:
+    """(id, hot): the hot shingles of ``column`` with their numbers of sets, where there are any."""
+    return sets.select("id", F.explode(column).alias("token")).join(small_side(hot), "token").groupBy("id").agg(F.collect_list(F.struct("token", "sets")).alias("hot"))
+
+
+def crowded(sets: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, tid) of sets whose prefix may lie past what is known of them, as many of that are hot."""
+    known = sets.select("id", "tid", "n", F.size("probe").alias("known")).join(own, "id")
+    return known.where((F.col("known") - F.size("hot") < F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1")) & (F.col("n") > F.col("known"))).select("id", "tid")
 
 
 def _prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,24 +247,20 @@ def _prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "gid", "n", "room", "before", "sets"])
 
 
-def entries(sets: DataFrame, docs: DataFrame, tokens: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
+def entries(sets: DataFrame, tokens: DataFrame, groups: DataFrame, own: DataFrame, hot: DataFrame) -> DataFrame:
     """Index entries (token, gid, least, most, room, before, sets), one per group and shingle.
-    ``tokens``: whole sets of those that have too many hot shingles, others as they come."""
-    own = with_hot(sets.select("id", "tid", "n", "probe"), "probe", hot)
-    short = (F.size("probe") - F.coalesce(F.size("hot"), F.lit(0)) < F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1")) & (F.col("n") > F.size("probe"))
-    own = pin(own.withColumn("short", F.coalesce(short & F.col("hot").isNotNull(), F.lit(False))))
-    missing = own.where("short").join(tokens.select("id"), "id", "left_anti")
-    more = whole_sets(docs, missing)
-    long = own.where("short").select("id", "n").join(tokens.union(more), "id")
-    ready = own.where("NOT short").select("id", "n", F.col("probe").alias("tokens"), "hot").unionByName(with_hot(long, "tokens", hot))
-    ready = ready.join(groups.select(F.col("a").alias("id"), F.col("b").alias("gid")), "id", "left").withColumn("of_group", F.col("gid").isNotNull())
-    ready = ready.join(groups.select(F.col("b").alias("id")).distinct().withColumn("leads", F.lit(True)), "id", "left")
-    ready = ready.withColumn("gid", F.coalesce("gid", "id")).withColumn("many", F.col("of_group") | F.col("leads").isNotNull())
+    ``own``: hot shingles of sets; ``tokens``: whole sets of the crowded ones (id)."""
+    leads = groups.groupBy("b").agg(F.first("b").alias("gid")).select(F.col("b").alias("id"), "gid")
+    place = groups.select(F.col("a").alias("id"), F.col("b").alias("gid")).union(leads)
+    long = tokens.join(place, "id", "left").join(hot_of(tokens, "tokens", hot), "id", "left").join(sets.select("id", "n"), "id")
+    side = pin(own.join(place, "id", "full").join(tokens.select("id", F.lit(True).alias("long")), "id", "full"))
+    short = sets.select("id", "n", F.col("probe").alias("tokens")).join(side, "id", "left").where("long IS NULL")
+    cols = ["id", "n", "tokens", "hot", "gid"]
+    ready = short.select(*cols).union(long.select(*cols))
     kind = "token long, gid long, n long, room long, before long, sets long"
-    cols = ["id", "gid", "n", "tokens", "hot"]
-    one = ready.where("NOT many").select(*cols).mapInArrow(_prefix, kind)
+    one = ready.where("gid IS NULL").withColumn("gid", F.col("id")).mapInArrow(_prefix, kind)
     one = one.select("token", "gid", F.col("n").alias("least"), F.col("n").alias("most"), "room", "before", "sets")
-    many = ready.where("many").select(*cols).mapInArrow(_prefix, kind).groupBy("token", "gid").agg(
+    many = ready.where("gid IS NOT NULL").mapInArrow(_prefix, kind).groupBy("token", "gid").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"),
         F.when(F.min("before") == F.max("before"), F.min("before")).otherwise(F.col("token")).alias("before"), F.max("sets").alias("sets"))
     return one.union(many.select(*one.columns))
@@ -370,45 +392,60 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
-def answers(pairs: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links (a, b) between sets of the candidate pairs of groups: one per set of the smaller
-    group and block of the other at least, if there is any."""
-    members = pin(groups.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max(SUM * F.size("gain") - NUM * F.col("n")).alias("best")))
-    held = members.select(F.col("b").alias("id"), "members", "best")
-    sized = pairs.join(held.select(F.col("id").alias("g"), F.col("members").alias("of_g")), "g", "left").join(held.select(F.col("id").alias("h"), F.col("members").alias("of_h")), "h", "left").na.fill(0, ["of_g", "of_h"])
+def asking(pairs: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the sets of the smaller group of each candidate pair beside the other's leader,
+    where parities leave room for a link to it or to one of its members."""
+    members = pin(groups.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("most"), F.max(F.size("gain") + F.size("lost")).alias("off")))
+    sized = with_apart(pairs, sets, "g", "h")
+    for side, size in (("g", "n"), ("h", "m")):
+        sized = sized.join(members.toDF(side, f"of_{side}", f"most_{side}", f"off_{side}"), side, "left").na.fill(0, [f"of_{side}", f"off_{side}"])
+        sized = sized.withColumn(f"most_{side}", F.greatest(size, f"most_{side}"))
+    sized = sized.where(SUM * (F.col("apart") - F.col("off_g") - F.col("off_h")) <= F.col("most_g") + F.col("most_h"))
     small = F.col("of_g") <= F.col("of_h")
-    sides = sized.select(F.when(small, F.col("g")).otherwise(F.col("h")).alias("g"), F.when(small, F.col("h")).otherwise(F.col("g")).alias("b"))
-    asking = sides.select(F.col("g").alias("a"), "b").union(sides.join(groups.select(F.col("b").alias("g"), "a"), "g").select("a", "b"))
-    compared = pin(differences(asking, tokens))
-    direct = compared.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
+    sides = pin(sized.select(*[F.when(small, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("g", "h", "g"), ("h", "g", "b"), ("off_h", "off_g", "off"), ("most_h", "most_g", "most"))]))
+    rows = sides.select(F.col("g").alias("a"), "b", "off", "most").union(sides.join(groups.select(F.col("b").alias("g"), "a"), "g").select("a", "b", "off", "most"))
+    return with_apart(rows, sets, "a", "b").where(SUM * (F.col("apart") - F.col("off")) <= F.col("n") + F.col("most")).select("a", "b")
+
+
+def answers(asked: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links (a, b) of the asking sets to the leaders, or to a member of each block of theirs."""
+    members = pin(groups.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max(SUM * F.size("gain") - NUM * F.col("n")).alias("best")))
+    compared = pin(differences(asked, tokens))
+    is_link = linked(F.col("common"), F.col("n"), F.col("m"))
     blocks = F.ceil(F.col("members") / MEMBERS_MOST).cast("long")
     # a member adds at most what it has more than its leader
-    open_ = compared.where(~linked(F.col("common"), F.col("n"), F.col("m"))).join(members, "b").where(SUM * F.col("common") - NUM * F.col("n") + F.col("best") >= 0)
-    asks = open_.select("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "a", "n", "common", "gain", "lost")
-    asked = groups.join(open_.select("b").distinct(), "b", "left_semi").join(members, "b")
-    own = asked.select("b", F.pmod(F.xxhash64("a"), blocks).cast("long").alias("block"), F.lit(False).alias("asks"), "a", "n", "common", "gain", "lost")
+    left = compared.where(~is_link).join(members, "b").where(SUM * F.col("common") - NUM * F.col("n") + F.col("best") >= 0)
+    asks = left.select("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "a", "n", "common", "gain", "lost")
+    met = groups.join(left.select("b").distinct(), "b", "left_semi").join(members, "b")
+    own = met.select("b", F.pmod(F.xxhash64("a"), blocks).cast("long").alias("block"), F.lit(False).alias("asks"), "a", "n", "common", "gain", "lost")
     rows = own.union(asks).repartition("b", "block").sortWithinPartitions("b", "block", "asks")
-    return direct.union(rows.mapInArrow(_derive, "a long, b long"))
+    return compared.where(is_link).select("a", "b").union(rows.mapInArrow(_derive, "a long, b long"))
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between different texts, enough to connect each that has any."""
     led = pin(leaders(sets))
-    probes = sets.select(F.explode("probe").alias("token"))
-    hot = pin(hot_tokens(probes))
-    crowded = with_hot(sets.select("id", "tid", "n", "probe"), "probe", hot).where(F.col("hot").isNotNull() & (F.size("probe") - F.size("hot") < F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1")) & (F.col("n") > F.size("probe")))
+    hot = pin(hot_tokens(sets.select(F.explode("probe").alias("token"))))
+    own = pin(hot_of(sets, "probe", hot))
+    full = pin(crowded(sets, own))
     named = led.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "tid"), "id")
-    tokens = whole_sets(docs, crowded.select("id", "tid").union(named))
+    tokens = whole_sets(docs, full.union(named))
     # shingles past the probes are counted where many of a set's are hot
-    past = hot_tokens(crowded.select("id").join(tokens, "id").select(F.explode("tokens").alias("token")))
-    hot = pin(hot.union(past).groupBy("token").agg(F.max("sets").alias("sets")))
+    past = hot_tokens(full.select("id").join(tokens, "id").select(F.explode("tokens").alias("token")))
+    more = pin(past.join(hot, "token", "left_anti"))
+    if not more.isEmpty():
+        hot = pin(hot.union(more))
+        own = pin(hot_of(sets, "probe", hot))
+        new = crowded(sets, own).join(full, "id", "left_anti")
+        tokens = tokens.union(whole_sets(docs, new.join(tokens.select("id"), "id", "left_anti")))
+        full = full.union(new)
     first = pin(differences(led, tokens).where(linked(F.col("common"), F.col("n"), F.col("m"))))
     groups = pin(first.join(first.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b", "n", "m", "common", "gain", "lost"))
-    pairs = pin(candidates(entries(sets, docs, tokens, groups, hot)))
-    asked = pairs.select(F.explode(F.array("g", "h")).alias("id")).distinct()
-    missing = asked.join(tokens.select("id"), "id", "left_anti").join(sets.select("id", "tid"), "id")
-    tokens = tokens.union(whole_sets(docs, missing))
-    return first.select("a", "b").union(answers(pairs, groups, tokens))
+    pairs = candidates(entries(sets, tokens.join(full.select("id"), "id", "left_semi"), groups, own, hot))
+    asked = pin(asking(pin(pairs), groups, sets))
+    ids = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    tokens = tokens.union(whole_sets(docs, ids.join(tokens.select("id"), "id", "left_anti").join(sets.select("id", "tid"), "id")))
+    return first.select("a", "b").union(answers(asked, groups, tokens))
 
 
 def components_of_links(docs: DataFrame) -> DataFrame:
