@@ -35,8 +35,6 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +48,7 @@ from beliefmill.session import pin, small_side
 SHINGLE = 5
 NUM, DEN = 4, 5
 MINIMA = 8
-HOT = 64
-PARITY = 16  # words of 64 parities of a set
+HOT = 16
 BLOCK, LIST_MOST, MEMBERS_MOST = 256, 8192, 4096
 CHUNK = 1 << 20
 SUM = NUM + DEN  # linked: SUM * common >= NUM * (n + m)
@@ -112,9 +109,10 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
-    """Bit i tells whether an odd number of shingles fall on i: two sets differ in at least as
-    many shingles as in parities."""
-    bits = np.bincount((tokens % U64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    """A power of two of bits, two a shingle at least; bit i tells whether an odd number of
+    shingles fall on i. Two sets differ in at least as many shingles as in parities."""
+    size = 1 << max(8, (2 * len(tokens) - 1).bit_length())
+    bits = np.bincount((tokens & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(U64)
 
 
@@ -167,8 +165,16 @@ def with_apart(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     """Add the sizes n and m of sets ``a`` and ``b`` and ``apart``, a number of shingles in which they differ at least."""
     own = sets.select("id", "n", "odd")
     both = pairs.join(own.toDF(a, "n", "odd_a"), a).join(own.toDF(b, "m", "odd_b"), b)
-    apart = reduce(add, [F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY)])
-    return both.withColumn("apart", apart.cast("long")).drop("odd_a", "odd_b")
+
+    def folded(x: str, y: str) -> Column:
+        """x at the size of y, if it is twice that."""
+        half = F.size(y)
+        two = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) == 2 * half, two).otherwise(F.col(x))
+
+    differ = F.zip_with(folded("odd_a", "odd_b"), folded("odd_b", "odd_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
+    apart = F.aggregate(differ, F.lit(0).cast("long"), lambda total, x: total + F.coalesce(x, F.lit(0)))
+    return both.withColumn("apart", F.when(F.greatest(F.size("odd_a"), F.size("odd_b")) <= 2 * F.least(F.size("odd_a"), F.size("odd_b")), apart).otherwise(F.abs(F.col("n") - F.col("m")))).drop("odd_a", "odd_b")
 
 
 def leaders(sets: DataFrame) -> DataFrame:
