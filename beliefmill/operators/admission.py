@@ -1,7 +1,8 @@
 """Admission of incoming beliefs against the stored ones.
 
-A batch is judged against one snapshot of the stored rows; effects of several
-incoming rows on one stored row are applied in arrival order.
+``decide`` judges a batch against one snapshot of the stored rows; ``decide_in_order``
+lets every row see what the earlier rows of its batch have left. Effects of several
+incoming rows on one row are applied in arrival order.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from beliefmill.functions.vectors import cosine
 from beliefmill.operators import ordering as od
 from beliefmill.operators.beliefs import active, firewall, live
 from beliefmill.operators.similarity import SIM_DIGITS, match_blocks, top_by
+from beliefmill.session import pin
 
 CANDIDATE_SIM, REINFORCE_SIM = 0.25, 0.85
 RECENT_OF_TYPE = 15
@@ -56,7 +58,7 @@ def handled(t: Column) -> Column:
     )
 
 
-def _bands(inc: DataFrame) -> DataFrame:
+def _bands(inc: DataFrame, *more: str) -> DataFrame:
     """Two search rows per incoming belief: the similarity range in which its text
     causes a handled tension, and the reinforcement range."""
     text = F.lower(F.trim("content"))
@@ -67,9 +69,9 @@ def _bands(inc: DataFrame) -> DataFrame:
     cap = F.when(temporal, F.lit(0.85)).when(neg >= 0.35, hard_cap).otherwise(F.lit(0.85))
     bands = F.array(F.struct(F.lit(0).alias("b"), floor.alias("lo"), cap.alias("hi")),
                     F.struct(F.lit(1).alias("b"), F.lit(REINFORCE_SIM).alias("lo"), F.lit(2.0).alias("hi")))
-    return inc.select("id", "emb", *SCOPE, F.explode(bands).alias("x")).select(
+    return inc.select("id", "emb", *SCOPE, *more, F.explode(bands).alias("x")).select(
         F.concat_ws(":", F.col("id").cast("string"), F.col("x.b").cast("string")).alias("lid"), F.col("emb").alias("lvec"), *SCOPE,
-        F.col("x.lo").alias("lfloor"), F.col("x.hi").alias("lcap"))
+        F.col("x.lo").alias("lfloor"), F.col("x.hi").alias("lcap"), *more)
 
 
 def believable(incoming: DataFrame) -> Column:
@@ -118,16 +120,25 @@ def decide(incoming: DataFrame, mem: DataFrame, settings: DataFrame, verdicts: D
     id_type = incoming.schema["id"].dataType
     best = hits.select(F.split("lid", ":")[0].cast(id_type).alias("id"), (F.split("lid", ":")[1] == "0").alias("act"), F.col("rid").alias("existing_id"), "sim",
                        F.lit(FAR).alias("late"))
-    # recent rows of the type that the similarity list hides (held in quarantine)
-    hidden = scoped(recent_of_type(mem)).where(F.col("binding") == "quarantine").select(
-        F.col("id").alias("existing_id"), F.col("emb").alias("_e"), F.col("age_rank").cast("long").alias("late"), *SCOPE, "type")
-    extra = asked.where(F.col("type").isin("preference", "constraint")).join(hidden, [*SCOPE, "type"]).withColumn("sim", cosine(F.col("emb"), F.col("_e")))
-    t = sc.tension(F.col("sim"), F.col("content"))
-    found = best.unionByName(extra.withColumn("act", handled(t)).select("id", "act", "existing_id", "sim", "late"))
+    found = best.unionByName(_hidden(asked, mem))
     if v is not None:
         found = _ruled(found, v, asked, rows)
     first = found.where(F.col("act") | (F.col("sim") >= REINFORCE_SIM)).groupBy("id").agg(
         F.min(F.struct((~F.col("act")).alias("no"), "late", (-F.col("sim")).alias("ns"), "existing_id")).alias("f"))
+    return _settled(inc, first, v)
+
+
+def _hidden(asked: DataFrame, mem: DataFrame) -> DataFrame:
+    """Recent rows of the type that the similarity list hides (held in quarantine)."""
+    hidden = scoped(recent_of_type(mem)).where(F.col("binding") == "quarantine").select(
+        F.col("id").alias("existing_id"), F.col("emb").alias("_e"), F.col("age_rank").cast("long").alias("late"), *SCOPE, "type")
+    extra = asked.where(F.col("type").isin("preference", "constraint")).join(hidden, [*SCOPE, "type"]).withColumn("sim", cosine(F.col("emb"), F.col("_e")))
+    t = sc.tension(F.col("sim"), F.col("content"))
+    return extra.withColumn("act", handled(t)).select("id", "act", "existing_id", "sim", "late")
+
+
+def _settled(inc: DataFrame, first: DataFrame, v: DataFrame | None = None) -> DataFrame:
+    """The decisions, from the first candidate (id, f) of the rows that have one."""
     out = inc.join(first, "id", "left")
     sim = -F.col("f.ns")
     judged = sc.tension(sim, F.col("content"))
@@ -145,6 +156,70 @@ def decide(incoming: DataFrame, mem: DataFrame, settings: DataFrame, verdicts: D
     }).drop("f", "_t", "_act", "_logic")
 
 
+LIST = 8  # candidates searched per range at first
+
+
+def decide_in_order(incoming: DataFrame, mem: DataFrame, settings: DataFrame, flag: str | None = None, width: int = LIST,
+                    recent: DataFrame | None = None) -> DataFrame:
+    """As ``decide``, but every row meets the stored rows as the earlier rows (created_at, id)
+    of the batch have left them: rows that entered are candidates, archived ones are not,
+    and a row that reinforced another has not entered.
+
+    The rows of a scope that may meet form a conflict graph, each pointing at earlier ones.
+    All rows are judged at once, given who entered and who was archived in the round
+    before, until no decision changes. A row is right once those it depends on are, so this
+    ends with what one-by-one judging gives, after at most as many rounds as the longest
+    chain of changed minds, not of rows: copies of one belief settle in two. Only the
+    ``width`` best candidates are held per row and range; rows that find all of them gone search deeper.
+
+    Of equal similarity the stored row comes first, then the earliest. The list of recent
+    rows of a type is that of the stored rows, or of ``recent``, at the start of the batch.
+    """
+    inc = firewall(incoming, settings, flag).withColumn("_logic", believable(incoming) & F.col("quarantine_reason").isNull() & F.col("emb").isNotNull())
+    inc = pin(od.number_rows(scoped(inc), SCOPE, [F.asc("created_at"), F.asc("id")], "_at"))
+    asked = inc.where("_logic")
+    stored = scoped(mem).where(live()).select(F.col("id").alias("rid"), F.col("emb").alias("rvec"), *SCOPE, F.lit(0).cast("long").alias("rat"))
+    entering = inc.where(F.col("quarantine_reason").isNull()).select(F.col("id").alias("rid"), F.col("emb").alias("rvec"), *SCOPE, F.col("_at").alias("rat"))
+    pool = stored.unionByName(entering)
+    at = asked.select("id", F.col("_at").alias("at"))
+    id_type = incoming.schema["id"].dataType
+
+    def search(rows: DataFrame, k: int) -> DataFrame:
+        """(id, at, act, existing_id, sim, late, rat, full): the k best earlier candidates per range."""
+        hits = match_blocks(_bands(rows, "_at").withColumnRenamed("_at", "lat"), pool, SCOPE, 0.5, k=k, band=True, before=True)
+        hits = hits.select(F.split("lid", ":")[0].cast(id_type).alias("id"), (F.split("lid", ":")[1] == "0").alias("act"), F.col("rid").alias("existing_id"), "sim", F.lit(FAR).alias("late"), "rat")
+        full = hits.groupBy("id", "act").agg((F.count(F.lit(1)) >= k).alias("full"))
+        held = _hidden(rows, mem if recent is None else recent).select("*", F.lit(0).cast("long").alias("rat"), F.lit(False).alias("full"))
+        return pin(hits.join(full, ["id", "act"]).unionByName(held).join(at, "id"))
+
+    pairs, settled = search(asked, width), None
+    while True:
+        visible = pairs.withColumn("seen", F.lit(True))
+        if settled is not None:
+            # reinforcing rows were never there, archived ones are gone for those that follow
+            left = settled.where(F.col("decision") == "reinforce").select(F.col("id").alias("existing_id"), F.lit(0).cast("long").alias("until"))
+            left = left.union(settled.where(F.col("decision") == "temporal").select("existing_id", F.col("_at")))
+            left = left.groupBy("existing_id").agg(F.min("until").alias("until"))
+            visible = pairs.join(left, "existing_id", "left").withColumn("seen", F.coalesce(F.col("at") <= F.col("until"), F.lit(True)))
+        first = visible.where(F.col("seen") & (F.col("act") | (F.col("sim") >= REINFORCE_SIM))).groupBy("id").agg(
+            F.min(F.struct((~F.col("act")).alias("no"), "late", (-F.col("sim")).alias("ns"), "rat", "existing_id")).alias("f"))
+        new = pin(_settled(inc.drop("_logic").withColumn("_logic", F.lit(True)), first))
+        if settled is None:
+            changed = True
+        else:
+            now, old = (x.select("id", "decision", "existing_id") for x in (new, settled))
+            changed = not now.exceptAll(old).isEmpty()
+        settled = new
+        if changed:
+            continue
+        short = visible.where("full").groupBy("id", "act").agg(F.max("seen").alias("any")).where("NOT any").select("id").distinct()
+        if short.isEmpty():
+            return settled.drop("_at", "_a", "_s")
+        width *= 8
+        short = pin(short)
+        pairs = pin(pairs.join(short, "id", "left_anti").unionByName(search(asked.join(short, "id", "left_semi"), width).select(*pairs.columns)))
+
+
 def admitted_rows(decided: DataFrame) -> DataFrame:
     """Rows to insert (everything but reinforcements), with their confidence."""
     prior = F.least(sc.provenance_prior(F.coalesce("provenance", F.lit("agent"))), F.lit(lx.PROB_HI))

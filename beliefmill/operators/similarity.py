@@ -184,7 +184,7 @@ def _largest_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple
 
 def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: float, *, k: int | None = None,
                  order: str = "sim", cosine: bool = True, bonus: str | None = None, drop_self: bool = False,
-                 one_way: bool = False, band: bool = False,
+                 one_way: bool = False, band: bool = False, before: bool = False,
                  count_on: tuple[DataFrame, DataFrame] | None = None, block_rows: int = BLOCK_ROWS,
                  n_pivots: int = PIVOTS) -> DataFrame:
     """Pairs (lid, rid, sim) with similarity >= theta and equal keys.
@@ -192,14 +192,17 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
     left: lid, lvec, *keys; right: rid, rvec, *keys and ``rord`` when ``order``
     is "rord" (smallest first). With k, only the k best per left row. ``one_way``
     keeps pairs with lid < rid; ``band`` limits each left row to its own
-    similarity range [lfloor, lcap). ``count_on`` names cheaper tables, with at
+    similarity range [lfloor, lcap). ``before`` keeps pairs with ``rat`` < ``lat``,
+    of equal similarity those of smallest rat first, and adds rat. ``count_on`` names cheaper tables, with at
     least as many rows per key, to take the group sizes from.
     """
     if not keys:
         left, right, keys = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), ["_all"]
     by_ord = order == "rord"
-    right_cols = ["rid", "rvec", *keys] + (["rord"] if by_ord else []) + ([bonus] if bonus else [])
-    limits = ["lfloor", "lcap"] if band else []
+    if before and (by_ord or bonus or drop_self):
+        raise ValueError("before goes with plain similarity only")
+    right_cols = ["rid", "rvec", *keys] + (["rord"] if by_ord else []) + ([bonus] if bonus else []) + (["rat"] if before else [])
+    limits = (["lfloor", "lcap"] if band else []) + (["lat"] if before else [])
     left = left.select(*[F.col(c).alias(c) for c in ["lid", "lvec", *keys, *limits]])
     right = right.select(*[F.col(c).alias(c) for c in right_cols])
 
@@ -216,7 +219,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
     if collapse:
         # copies of one vector score alike: k of them are enough on the right,
         # and one representative is enough on the left
-        tie = [F.asc("rord"), F.asc("rid")] if by_ord else ([F.desc(bonus)] if bonus else []) + [F.asc("rid")]
+        tie = [F.asc("rord"), F.asc("rid")] if by_ord else ([F.desc(bonus)] if bonus else []) + ([F.asc("rat")] if before else []) + [F.asc("rid")]
         right = top_by(right, [*keys, "rvec"], tie, want, "_copy").drop("_copy")
         rows = left.groupBy(*keys, *limits, "lvec").agg(F.min("lid").alias("lid"))
     if big:
@@ -254,6 +257,8 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
               T.StructField("sim", T.DoubleType())]
     if by_ord:
         fields.append(T.StructField("rord", right.schema["rord"].dataType))
+    if before:
+        fields.append(T.StructField("rat", T.LongType()))
     schema = T.StructType(fields)
 
     def match(lt: pa.Table, rt: pa.Table) -> pa.Table:
@@ -261,6 +266,8 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         kinds = [lt.schema.field("lid").type, rt.schema.field("rid").type, pa.float64()]
         if by_ord:
             kinds.append(rt.schema.field("rord").type)
+        if before:
+            kinds.append(pa.int64())
         if lt.num_rows == 0 or rt.num_rows == 0:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
         lm, rm = matrix(lt.column("lvec")), matrix(rt.column("rvec"))
@@ -270,8 +277,10 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         rid = rt.column("rid").to_numpy(zero_copy_only=False)
         rord = rt.column("rord").to_numpy(zero_copy_only=False) if by_ord else None
         extra = rt.column(bonus).to_numpy(zero_copy_only=False) if bonus else None
+        rat = rt.column("rat").to_numpy(zero_copy_only=False) if before else None
+        lat = lt.column("lat").to_numpy(zero_copy_only=False) if before else None
         if band:
-            low, high = (lt.column(c).to_numpy(zero_copy_only=False) for c in limits)
+            low, high = (lt.column(c).to_numpy(zero_copy_only=False) for c in ("lfloor", "lcap"))
         outs = []
         for a in range(0, len(lid), 1024):
             s = np.round(lm[a:a + 1024] @ rm.T, SIM_DIGITS)
@@ -280,6 +289,8 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
                 ok &= (s >= low[a:a + 1024][:, None]) & (s < high[a:a + 1024][:, None])
             if drop_self and not collapse:
                 ok &= lid[a:a + 1024][:, None] != rid[None, :]
+            if before:
+                ok &= rat[None, :] < lat[a:a + 1024][:, None]
             if one_way:
                 ok &= lid[a:a + 1024][:, None] < rid[None, :]
             if extra is not None:
@@ -288,10 +299,10 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
                 worth = np.broadcast_to(-rord.astype(np.float64)[None, :], s.shape) if by_ord else s
                 ok = _keep_best(worth.T, ok.T, want).T
             li, ri = np.nonzero(ok)
-            outs.append((lid[a:a + 1024][li], rid[ri], s[li, ri], rord[ri] if by_ord else None))
+            outs.append((lid[a:a + 1024][li], rid[ri], s[li, ri], rord[ri] if by_ord else rat[ri] if before else None))
         cols = [np.concatenate([o[0] for o in outs]), np.concatenate([o[1] for o in outs]),
                 np.concatenate([o[2] for o in outs])]
-        if by_ord:
+        if by_ord or before:
             cols.append(np.concatenate([o[3] for o in outs]))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
 
@@ -305,6 +316,6 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         if drop_self:
             pairs = pairs.where(F.col("lid") != F.col("rid"))
     if k is not None:
-        by = [F.asc("rord"), F.asc("rid")] if by_ord else [F.desc("sim"), F.asc("rid")]
+        by = [F.asc("rord"), F.asc("rid")] if by_ord else [F.desc("sim"), *([F.asc("rat")] if before else []), F.asc("rid")]
         pairs = top_by(pairs, ["lid"], by, k)
     return pairs

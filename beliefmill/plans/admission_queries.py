@@ -65,6 +65,35 @@ RULED = JUDGE.replace("hj AS (SELECT *,", """vj AS (SELECT * REPLACE (CASE WHEN
 hj AS (SELECT *,""").replace("act FROM tj)", "act FROM vj)")
 
 
+# one row of every scope per step, with the list of rows that have left
+ORDERED = f"""RECURSIVE iv AS (SELECT i.*, v.emb, i.binding <> 'canon' AND i.tenant_id = 0 AND i.provenance IN ('inferred', 'agent') AS held,
+  dense_rank() OVER (ORDER BY i.tenant_id, i.agent_id, i.anchor_id, i.session_id) AS sid, row_number() OVER (PARTITION BY i.tenant_id, i.agent_id, i.anchor_id, i.session_id ORDER BY i.created_at, i.id) AS pos
+  FROM arriving i JOIN vecs v ON v.vec_id = i.vec_id),
+mv AS (SELECT m.*, v.emb FROM mem m JOIN vecs v ON v.vec_id = m.id),
+pool AS (SELECT id, tenant_id, agent_id, anchor_id, session_id, emb, 0 AS pos, -1 AS late FROM mv WHERE {LIVE} UNION ALL SELECT id, tenant_id, agent_id, anchor_id, session_id, emb, pos, -1 FROM iv WHERE NOT held),
+rt AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, agent_id, type ORDER BY created_at DESC, id) AS late FROM mv WHERE NOT is_archived AND type IN ('preference', 'constraint')),
+met AS (SELECT i.id AS incoming_id, i.content, m.id AS rid, m.pos AS rat, m.late, list_cosine_similarity(i.emb, m.emb) AS sim FROM iv i JOIN pool m ON {SAME} AND m.pos < i.pos WHERE NOT i.held
+  UNION ALL SELECT i.id, i.content, m.id, 0, m.late, list_cosine_similarity(i.emb, m.emb) FROM iv i JOIN rt m ON {SAME} AND m.type = i.type WHERE NOT i.held AND m.binding = 'quarantine' AND m.late <= 15),
+tj AS (SELECT *, CASE WHEN sim < 0.5 OR sim >= 0.85 THEN 'none' WHEN tm >= 0.3 THEN 'temporal' WHEN ng >= 0.35 THEN 'hard' WHEN sim >= 0.7 THEN 'soft' ELSE 'none' END AS kind,
+  CASE WHEN sim < 0.5 OR sim >= 0.85 THEN 0 WHEN tm >= 0.3 THEN tm WHEN ng >= 0.35 THEN ng * (1 - 0.3 * (sim - 0.5) / 0.35) WHEN sim >= 0.7 THEN (sim - 0.7) / 0.15 ELSE 0 END::DOUBLE AS ts
+  FROM (SELECT *, {score_sql(lx.TEMPORAL_MARKERS, 'lower(trim(content))')} AS tm, {score_sql(lx.NEGATION_MARKERS, 'lower(trim(content))')} AS ng FROM met) q),
+c AS (SELECT *, kind = 'temporal' OR (kind = 'hard' AND ts > 0.25) OR (kind = 'soft' AND ts >= 0.3) AS act FROM tj WHERE sim >= 0.85 OR kind = 'temporal' OR (kind = 'hard' AND ts > 0.25) OR (kind = 'soft' AND ts >= 0.3)),
+run(sid, pos, dead, id, ex, sm, ts, decision) AS (
+  SELECT DISTINCT sid, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR FROM iv
+  UNION ALL
+  SELECT sid, pos, CASE d WHEN 'reinforce' THEN list_append(dead, id) WHEN 'temporal' THEN list_append(dead, f.rid) ELSE dead END, id, f.rid, f.sim, f.ts, d
+  FROM (SELECT *, CASE WHEN held THEN 'quarantine' WHEN f IS NULL THEN 'insert' WHEN f.act THEN f.kind ELSE 'reinforce' END AS d
+    FROM (SELECT r.sid, r.pos + 1 AS pos, r.dead, o.id, o.held, arg_min(struct_pack(rid := c.rid, sim := c.sim, act := c.act, kind := c.kind, ts := c.ts), [(NOT c.act)::INT::DOUBLE, c.late::DOUBLE, -round(c.sim, 12), c.rat::DOUBLE, c.rid::DOUBLE]) FILTER (c.rid IS NOT NULL) AS f
+      FROM run r JOIN iv o ON o.sid = r.sid AND o.pos = r.pos + 1 LEFT JOIN c ON c.incoming_id = o.id AND NOT list_contains(r.dead, c.rid) GROUP BY r.sid, r.pos, r.dead, o.id, o.held) y) z)
+SELECT id, decision, CASE WHEN decision NOT IN ('quarantine', 'insert') THEN ex END AS existing_id, CASE WHEN decision NOT IN ('quarantine', 'insert') THEN round(sm, 6) END AS sim FROM run WHERE id IS NOT NULL"""
+
+
+@query("admit_in_order", "mem vecs incoming", f"WITH {ORDERED.replace('RECURSIVE iv', 'RECURSIVE arriving AS (SELECT * FROM incoming), iv', 1)}")
+def admit_in_order(t):
+    out = ad.decide_in_order(_incoming(t), t.memv, bl.resolve_settings(t.tenants, t.settings_raw))
+    return out.select("id", "decision", "existing_id", r6("sim", "sim"))
+
+
 @query("admit_verdicts", "mem vecs incoming", f"""WITH {SIMP}, {RULED} SELECT id, decision, CASE WHEN decision IN ('quarantine', 'insert') THEN NULL ELSE ex END AS existing_id, CASE WHEN decision IN ('hard', 'temporal', 'soft') THEN round(ts, 6) END AS tension_score FROM dec""")
 def admit_verdicts(t):
     r = F.pmod(F.col("incoming_id") + F.col("existing_id"), F.lit(3))

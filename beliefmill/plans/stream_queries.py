@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from beliefmill.functions.sql import register_functions, register_table_functions
 from beliefmill.operators import audit as au
 from beliefmill.operators import beliefs as bl
+from beliefmill.plans.admission_queries import ORDERED
 from beliefmill.plans.belief_queries import LG, TIER
 from beliefmill.plans.dynamics_queries import fold_sql
 from beliefmill.plans.learning_queries import stat_cols, stats_sql
 from beliefmill.plans.recall_queries import r6
 from beliefmill.plans.registry import query
+from beliefmill.session import pin
 from beliefmill.streaming import jobs
 from beliefmill.streaming.state import scratch
 
@@ -97,15 +99,32 @@ def seal_stream(t):
     return au.verify_chain(job.log.read_all(), job.heads.read()).select("tenant_id", "valid", "checked")
 
 
-@query("admit_stream")
+def _in_files(t, rows, at, name, parts=3):
+    """The rows as a file stream of ``parts`` micro-batches in order of time; each later file
+    also repeats a third of what came before."""
+    rows = pin(rows)
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    out = scratch(t.spark, name)
+    for i in range(parts):
+        begin, end = (lo + (hi - lo) * k / parts for k in (i, i + 1))
+        own = (F.col(at) >= F.lit(begin)) & ((F.col(at) < F.lit(end)) if i < parts - 1 else F.lit(True))
+        again = (F.col(at) < F.lit(begin)) & (F.col("id") % 3 == 0)
+        rows.where(own | again).coalesce(1).write.parquet(f"{out}/{i}")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/*")
+
+
+ARRIVING = """arriving AS (SELECT i.* REPLACE (e.ts AS created_at) FROM incoming i JOIN (SELECT event_id % (SELECT count(*) FROM embeddings) + 1000000 AS id, min(CAST(ts AS TIMESTAMP)) AS ts FROM events GROUP BY ALL) e ON e.id = i.id)"""
+
+
+@query("admit_stream", "mem vecs incoming", f"WITH {ORDERED.replace('RECURSIVE iv', f'RECURSIVE {ARRIVING}, iv', 1)}")
 def admit_stream(t):
-    """Every event writes the belief it names once more, with a neighbour's vector."""
-    n = _n(t)
-    base = t.with_vec(t.incoming).drop("created_at")
-    inc = _stream(t).select((F.col("event_id") % n + 1000000).alias("id"), F.col("ts").alias("created_at")).join(base, "id")
+    """Every belief named by an event is written once more, with a neighbour's vector, in the
+    order of its first event, over several micro-batches."""
+    named = t.events.groupBy((F.col("event_id") % _n(t) + 1000000).alias("id")).agg(F.min(F.col("ts").cast("timestamp")).alias("created_at"))
+    arriving = _in_files(t, t.with_vec(t.incoming).drop("created_at").join(named, "id"), "created_at", "arriving")
     out = scratch(t.spark, "admit")
     job = jobs.AdmissionStream(t.spark, t.memv, bl.resolve_settings(t.tenants, t.settings_raw), out)
-    job.run(inc, f"{out}/ckpt", delay="60 days")
+    job.run(arriving, f"{out}/ckpt", delay="60 days")
     return job.result().select("id", "decision", "existing_id", r6("sim", "sim"))
 
 

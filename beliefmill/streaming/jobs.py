@@ -151,15 +151,31 @@ class SealStream:
 
 
 class AdmissionStream:
-    """Each micro-batch, without repeats, judged against the given snapshot."""
+    """Each micro-batch, without repeats, judged in order against the stored rows and what
+    the batches before have left of them. The lists of recent rows are those of ``mem``."""
+
+    STORED = ["id", "tenant_id", "agent_id", "anchor_id", "session_id", "type", "content", "binding", "emb", "created_at"]
 
     def __init__(self, spark: SparkSession, mem: DataFrame, settings: DataFrame, folder: str):
         self.mem, self.settings = mem, settings
         self.out = VersionedTable(spark, f"{folder}/decided")
+        self.entered = VersionedTable(spark, f"{folder}/entered")
+
+    def stored(self, before: int) -> DataFrame:
+        """The beliefs as the batches below ``before`` have left them."""
+        rows = self.mem.select(*self.STORED, "is_archived")
+        decided, entered = self.out.read_all(before=before), self.entered.read_all(before=before)
+        if decided is None or entered is None:
+            return rows
+        gone = decided.where(F.col("decision") == "temporal").select(F.col("existing_id").alias("id"), F.lit(True).alias("_gone")).distinct()
+        every = rows.unionByName(entered.withColumn("is_archived", F.lit(False)))
+        return every.join(gone, "id", "left").withColumn("is_archived", F.col("is_archived") | F.coalesce("_gone", F.lit(False))).drop("_gone")
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
         cols = ["id", "agent_id", "tenant_id", "decision", "existing_id", "sim", "tension_score", "quarantine_reason", "created_at"]
-        self.out.write(ad.decide(rows, self.mem, self.settings).select(*cols), batch_id)
+        decided = ad.decide_in_order(pin(rows), self.stored(batch_id), self.settings, recent=self.mem)
+        self.entered.write(ad.admitted_rows(decided).select(*self.STORED), batch_id)
+        self.out.write(decided.select(*cols), batch_id)
 
     def run(self, incoming: DataFrame, checkpoint: str, delay: str = "1 day") -> None:
         drain(incoming.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"]), self.batch, checkpoint)
