@@ -92,26 +92,31 @@ def symmetrise(t):
     return edges3(gr.symmetrise(t.edges))
 
 
-@query("build_graph", "mem vecs mentions edges", f"""
-WITH {ENT_EDGES}, {LIVEV}, {CAND},
-th AS (SELECT * FROM (SELECT a.id AS source_id, b.id AS target_id, list_cosine_similarity(a.emb, b.emb) AS strength, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.emb, b.emb) DESC, b.id) AS rk
- FROM lv a JOIN lv b ON a.agent_id = b.agent_id AND a.tenant_id = b.tenant_id AND a.id <> b.id WHERE list_cosine_similarity(a.emb, b.emb) >= 0.8) y WHERE rk <= 50),
-al AS (SELECT source_id, target_id, 'entity_link' AS relation_type, strength FROM ee UNION ALL SELECT source_id, target_id, 'thematic', strength FROM th
+@query("build_graph", "mem vecs edges", f"""
+WITH {LIVEV}, {CAND},
+th AS (SELECT a.id AS source_id, b.id AS target_id, list_cosine_similarity(a.emb, b.emb) AS strength FROM lv a JOIN lv b ON a.agent_id = b.agent_id AND a.tenant_id = b.tenant_id AND a.id <> b.id WHERE list_cosine_similarity(a.emb, b.emb) >= 0.8),
+al AS (SELECT source_id, target_id, 'thematic' AS relation_type, strength FROM th
  UNION ALL SELECT e.source_id, e.target_id, e.relation_type, e.strength::DOUBLE FROM edges e WHERE EXISTS (SELECT 1 FROM cd WHERE lid = e.source_id AND rid = e.target_id))
 SELECT source_id, target_id, relation_type, round(strength, 6) AS strength FROM {SYMM % ('al', 'al')} s""")
 def build_graph(t):
-    # shared-entity links come as factors: a belief without target, and its entity
-    edges, factors = gr.build_graph(t.memv, t.mentions, t.edges)
-    links = factors.select(F.col("memory_id").alias("source_id"), F.lit("entity_link").alias("relation_type"), r6("half", "strength"), "entity_id")
-    return edges3(edges).unionByName(links, allowMissingColumns=True)
+    return edges3(gr.build_graph(t.memv, t.mentions, t.edges)[0])
+
+
+@query("build_graph_links", "mentions", f"WITH {MW} SELECT memory_id, entity_id, round(sqrt(w), 6) AS half FROM mw")
+def build_graph_links(t):
+    return gr.build_graph(t.memv, t.mentions, t.edges)[1].select("memory_id", "entity_id", r6("half", "half"))
 
 
 MULT = "CASE relation_type WHEN 'entity_link' THEN 0.7 WHEN 'causal' THEN 0.9 WHEN 'temporal' THEN 0.6 WHEN 'thematic' THEN 0.7 WHEN 'supports' THEN 0.85 WHEN 'contradicts' THEN 0.95 WHEN 'derived_from' THEN 0.8 ELSE 0.9 END::DOUBLE"
 BW = "(SELECT source_id AS node, target_id AS other, relation_type, strength FROM edges UNION ALL SELECT target_id, source_id, relation_type, strength FROM edges)"
 
 
-def activate_sql(where="true", join=""):
-    return f"""hop AS (SELECT node, other, max(strength::DOUBLE * {MULT}) AS gain FROM {BW} b {join} WHERE {where} GROUP BY ALL),
+# shared-entity links as pairs, uncapped
+LINKED = f"(SELECT * FROM {BW} e UNION ALL SELECT a.memory_id, b.memory_id, 'entity_link', sqrt(a.w) * sqrt(b.w) FROM ({MW.removeprefix('mw AS (')} a JOIN ({MW.removeprefix('mw AS (')} b ON a.entity_id = b.entity_id AND a.memory_id <> b.memory_id)"
+
+
+def activate_sql(where="true", join="", ways=BW):
+    return f"""hop AS (SELECT node, other, max(strength::DOUBLE * {MULT}) AS gain FROM {ways} b {join} WHERE {where} GROUP BY ALL),
 f0 AS (SELECT query_id, id AS node, score AS a, [id] AS path FROM seeds WHERE score > 0.5),
 s1 AS (SELECT f.query_id, h.other, f.a * h.gain AS a, list_append(f.path, h.other) AS path FROM f0 f JOIN hop h ON h.node = f.node WHERE f.a * h.gain > 0.1 AND NOT EXISTS (SELECT 1 FROM f0 z WHERE z.query_id = f.query_id AND z.node = h.other)),
 f1 AS (SELECT query_id, other AS node, a, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id, other ORDER BY round(a, 9) DESC, path) AS rk FROM s1) x WHERE rk = 1),
@@ -134,6 +139,12 @@ def activate_graph(t):
     return act_cols(gr.activate_graph(recall_similarity(t.memv, t.queries, k=20, keep=()), t.edges))
 
 
+@query("activate_graph_links", "mem vecs queries edges mentions", f"WITH {SEEDS}, {activate_sql(ways=LINKED)} {ACT_OUT}")
+def activate_graph_links(t):
+    """With all shared-entity links, as ``build_graph`` gives them."""
+    return act_cols(gr.activate_graph(recall_similarity(t.memv, t.queries, k=20, keep=()), t.edges, factors=gr.entity_link_factors(t.mentions)))
+
+
 @query("activate_constrained", "mem vecs queries edges", f"""
 WITH {SEEDS}, {activate_sql("relation_type IN ('causal', 'supports', 'contradicts') AND strength >= 0.3::FLOAT AND o.created_at >= :now - INTERVAL 25 DAY AND NOT (relation_type = 'causal' AND o.created_at < n.created_at)",
   "JOIN mem o ON o.id = b.other JOIN mem n ON n.id = b.node")} {ACT_OUT}""")
@@ -143,17 +154,28 @@ def activate_constrained(t):
                                       created=t.mem.select("id", "created_at"), now=NOW, max_age_days=25, forward_causal=True))
 
 
-HYBRID = f"""{SEEDS}, {activate_sql()},
+def hybrid_sql(ways=BW):
+    return f"""{SEEDS}, {activate_sql(ways=ways)},
 vis AS (SELECT a.query_id, a.node AS id, a.a AS g, a.hops FROM act a JOIN mem m ON m.id = a.node JOIN queries q ON q.query_id = a.query_id AND q.tenant_id = m.tenant_id WHERE NOT m.is_archived),
 j AS (SELECT coalesce(s.query_id, v.query_id) AS query_id, coalesce(s.id, v.id) AS id, coalesce(score, 0) AS v, coalesce(g, 0) AS g, coalesce(hops, 0) AS hops FROM seeds s FULL OUTER JOIN vis v ON v.query_id = s.query_id AND v.id = s.id),
 hy AS (SELECT * FROM (SELECT *, 0.6 * v + 0.4 * g AS final, row_number() OVER (PARTITION BY query_id ORDER BY 0.6 * v + 0.4 * g DESC, id) AS rank FROM j) x WHERE rank <= 10)"""
 
 
+HYBRID, HYBRID_LINKS = hybrid_sql(), hybrid_sql(LINKED)
+
+
 @query("recall_hybrid", "mem vecs queries edges", f"WITH {HYBRID} SELECT query_id, id, rank, hops, round(v, 6) AS vector_score, round(g, 6) AS graph_score, round(final, 6) AS score FROM hy")
 def recall_hybrid(t):
     return gr.recall_hybrid(t.memv, t.edges, t.queries).select("query_id", "id", pos("rank"), "hops", r6("vector_score", "vector_score"), r6("graph_score", "graph_score"), r6("score", "score"))
 
 
+@query("recall_hybrid_links", "mem vecs queries edges mentions", f"WITH {HYBRID_LINKS} SELECT query_id, id, rank, hops, round(v, 6) AS vector_score, round(g, 6) AS graph_score, round(final, 6) AS score FROM hy")
+def recall_hybrid_links(t):
+    """With all shared-entity links."""
+    out = gr.recall_hybrid(t.memv, t.edges, t.queries, factors=gr.entity_link_factors(t.mentions))
+    return out.select("query_id", "id", pos("rank"), "hops", r6("vector_score", "vector_score"), r6("graph_score", "graph_score"), r6("score", "score"))
+
+
 NAMES = "CASE WHEN q.query_id < 5 THEN 'hub ' || (100 + q.query_id % 7) ELSE 'ALIAS ' || q.query_id END"
 
 
