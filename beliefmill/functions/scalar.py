@@ -286,7 +286,7 @@ def time_match(attributes: Column, time: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case word list without stop words (no stemming)."""
+    """Lower-case word list without stop words; ``stems.stems`` reduces them to stems."""
     words = F.split(F.lower(text), r"[^a-z0-9]+")
     stop = F.array(*[F.lit(w) for w in lx.STOP_WORDS])
     return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))

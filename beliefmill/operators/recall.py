@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from beliefmill.functions import scalar as sc
 from beliefmill.functions.lexicon import TIERS
+from beliefmill.functions.stems import stems
 from beliefmill.operators.ordering import number_rows
 from beliefmill.operators.similarity import match_blocks, score_queries, top_by
-from beliefmill.session import days_between, hours_between, instant
+from beliefmill.session import days_between, hours_between, instant, pin, small_side
 
 DEFAULT_K = 10
 RRF_OFFSET, RRF_MISSING, RRF_VECTOR_LIST = 60, 1000, 100
@@ -59,31 +60,35 @@ def recall_exhaustive(mem: DataFrame, queries: DataFrame, min_sim: float = 0.25,
 
 
 def lexical_scores(mem: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): rows holding every query word, scored by BM25 over
-    the given rows as corpus; scope is tenant and agent of the query."""
-    words = mem.select("id", "tenant_id", "agent_id", sc.tokens(F.col("content")).alias("_w"))
-    n_docs, avg_len = words.agg(F.count("*"), F.avg(F.size("_w"))).first()
-    terms = queries.select("query_id", F.col("tenant_id").alias("q_tenant"), F.col("agent_id").alias("q_agent"),
-                           F.array_distinct(sc.tokens(F.col("text"))).alias("_t"))
-    terms = terms.select("query_id", "q_tenant", "q_agent", F.size("_t").alias("n_terms"), F.explode("_t").alias("token"))
-    vocab = terms.select("token").distinct()
-    hits = (
-        words.select("id", "tenant_id", "agent_id", F.size("_w").alias("len"), F.explode("_w").alias("token"))
-        .join(vocab, "token")
-        .groupBy("token", "id", "tenant_id", "agent_id", "len").agg(F.count("*").alias("tf"))
-    )
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.select("token", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    scope = (F.col("tenant_id") == F.col("q_tenant")) & (F.col("q_agent").isNull() | (F.col("agent_id") == F.col("q_agent")))
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (BM25_K1 + 1) / (
-        tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.lit(float(avg_len or 1.0)))
-    )
-    return (
-        hits.join(terms.join(idf, "token"), "token").where(scope)
-        .groupBy("query_id", "id", "n_terms").agg(F.count("*").alias("_found"), F.sum(part).alias("score"))
-        .where(F.col("_found") == F.col("n_terms")).select("query_id", "id", "score")
-    )
+    """(query_id, id, score): rows holding every query word, by their stems, scored by BM25
+    over the given rows as corpus; scope is tenant and agent of the query.
+
+    Each query meets the rows of its scope that hold its rarest word there, and no others;
+    whether a row holds the rest, and how often, is read from the row's own words.
+    """
+    words = pin(mem.select("id", "tenant_id", "agent_id", stems(sc.tokens(F.col("content"))).alias("_w")))
+    size = F.greatest(F.coalesce(F.avg(F.size("_w")), F.lit(1.0)), F.lit(1e-9))
+    corpus = words.agg(F.count("*").alias("n_docs"), size.alias("avg_len"))
+    asked = pin(queries.select("query_id", F.col("tenant_id").alias("q_tenant"), F.col("agent_id").alias("q_agent"), F.array_distinct(stems(sc.tokens(F.col("text")))).alias("terms")).where(F.size("terms") > 0))
+    terms = asked.select("query_id", "q_tenant", "q_agent", F.explode("terms").alias("token"))
+    vocab = pin(terms.select("token").distinct())
+    slim = words.select("id", "tenant_id", "agent_id", F.explode(F.array_distinct("_w")).alias("token")).join(small_side(vocab), "token")
+    counts = pin(slim.groupBy("token", "tenant_id", "agent_id").agg(F.count("*").alias("n")))
+    idf = counts.groupBy("token").agg(F.sum("n").alias("df")).join(F.broadcast(corpus)).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    # rows per query word in the query's scope; a word that the scope lacks leaves the query without hits
+    here = terms.join(counts.select("token", F.col("tenant_id").alias("q_tenant"), "agent_id", "n"), ["token", "q_tenant"]).where(F.col("q_agent").isNull() | (F.col("agent_id") == F.col("q_agent")))
+    here = here.groupBy("query_id", "token").agg(F.sum("n").alias("n")).join(idf, "token")
+    rare = here.groupBy("query_id").agg(F.min(F.struct("n", "token")).alias("least"), F.collect_list(F.struct("token", "idf")).alias("weights"))
+    rare = pin(asked.join(rare, "query_id").where(F.size("weights") == F.size("terms")).select("query_id", "q_tenant", "q_agent", F.col("least.token").alias("token"), "weights"))
+    met = slim.join(small_side(rare.drop("weights")), ["token"]).where((F.col("tenant_id") == F.col("q_tenant")) & (F.col("q_agent").isNull() | (F.col("agent_id") == F.col("q_agent"))))
+    met = met.select("query_id", "id").join(words.select("id", "_w"), "id").join(rare.select("query_id", "weights"), "query_id")
+    full = met.where(F.forall("weights", lambda t: F.array_contains("_w", t["token"]))).join(F.broadcast(corpus))
+
+    def part(t: Column) -> Column:
+        tf = F.size(F.filter("_w", lambda w: w == t["token"])).cast("double")
+        return t["idf"] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.size("_w") / F.col("avg_len")))
+
+    return full.select("query_id", "id", F.aggregate(F.transform(F.array_sort("weights"), part), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def recall_rrf(mem: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:

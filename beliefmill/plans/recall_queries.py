@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from beliefmill.functions import scalar as sc
+from beliefmill.functions.stems import stems_sql
 from beliefmill.operators import recall as rc
 from beliefmill.operators.similarity import top_by
 from beliefmill.plans.registry import query
@@ -74,12 +75,14 @@ def recall_exhaustive(t):
 
 STOP = "['a','an','and','are','as','at','be','by','for','in','is','it','not','of','on','or','that','the','to','with']"
 TOK = f"list_filter(regexp_split_to_array(lower(%s), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains({STOP}, w))"
+WORDS = stems_sql(TOK.replace("%s", "text"))
+PLURAL = "regexp_replace(%s, '([a-z]{4,})\\b', '\\1s', 'g')"
 LEX = f"""seen AS (SELECT * FROM mem m WHERE NOT is_archived AND anchor_id IS NULL AND session_id IS NULL),
-words AS (SELECT id, tenant_id, agent_id, {TOK % 'content'} AS w FROM seen),
+words AS (SELECT id, tenant_id, agent_id, {WORDS} AS w FROM (SELECT *, content AS text FROM seen) y),
 corpus AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM words),
 occ AS (SELECT id, tenant_id, agent_id, len, token, count(*) AS tf FROM (SELECT id, tenant_id, agent_id, len(w) AS len, unnest(w) AS token FROM words) x GROUP BY ALL),
 dfs AS (SELECT token, count(*) AS df FROM occ GROUP BY token),
-terms AS (SELECT query_id, tenant_id, agent_id, len(tw) AS n_terms, unnest(tw) AS token FROM (SELECT *, list_distinct({TOK % 'text'}) AS tw FROM queries) x),
+terms AS (SELECT query_id, tenant_id, agent_id, len(tw) AS n_terms, unnest(tw) AS token FROM (SELECT *, list_distinct({WORDS}) AS tw FROM queries) x),
 lex AS (SELECT t.query_id, o.id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf::DOUBLE * 2.2 / (tf::DOUBLE + 1.2 * (1 - 0.75 + 0.75 * o.len / avg_len))) AS score
   FROM terms t JOIN occ o ON o.token = t.token AND o.tenant_id = t.tenant_id AND o.agent_id = t.agent_id JOIN dfs ON dfs.token = t.token CROSS JOIN corpus
   GROUP BY t.query_id, o.id, t.n_terms HAVING count(*) = t.n_terms)"""
@@ -90,6 +93,13 @@ def lexical_scores(t):
     return rc.lexical_scores(rc.recall_scope(t.mem, quarantined=True), t.queries).select("query_id", "id", r6("score", "score"))
 
 
+@query("lexical_plurals", "mem queries", f"WITH {LEX.replace('FROM queries)', 'FROM (SELECT * REPLACE (' + PLURAL.replace('%s', 'text') + ' AS text) FROM queries) p)')} SELECT query_id, id, round(score, 6) AS score FROM lex")
+def lexical_plurals(t):
+    """Queries in other forms of the words find the same rows."""
+    other = t.queries.withColumn("text", F.regexp_replace("text", "([a-z]{4,})\\b", "$1s"))
+    return rc.lexical_scores(rc.recall_scope(t.mem, quarantined=True), other).select("query_id", "id", r6("score", "score"))
+
+
 @query("recall_rrf", "mem vecs queries", f"""
 WITH {LEX},
 lr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS lr FROM lex),
