@@ -33,6 +33,7 @@ LONG_DOCS = 4
 REJECT_BITS = 6.0
 UNDETERMINED = "und"
 CHUNK = 1 << 20
+RUN = 1 << 17  # bytes coded together: some matrices of these by languages are held at once
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 PAD = b" " * ORDER
 
@@ -155,8 +156,8 @@ class Model:
             for k in range(ORDER):
                 real[begins + k] = False
             owner = np.repeat(np.arange(hi - lo), sizes[lo:hi])
-            for p in range(ORDER, len(flat), CHUNK):
-                q = min(p + CHUNK, len(flat))
+            for p in range(ORDER, len(flat), RUN):
+                q = min(p + RUN, len(flat))
                 cost = self.bits(flat[p - ORDER : q]) * real[p:q, None]
                 own = owner[p:q]
                 first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
@@ -172,7 +173,8 @@ class Model:
 def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> Model:
     """Fit on rows (lang, text). The counts of the bounded sample are summed by Spark; what
     reaches the driver is bounded by the sample, not by the table."""
-    sample = training_sample(labelled, docs_per_language)
+    # the sample is bounded, so one task counts a language's texts and gives each gram once
+    sample = training_sample(labelled, docs_per_language).repartition("lang")
     counts = sample.mapInArrow(_count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     return Model.fit(counts.toArrow())
 

@@ -25,7 +25,7 @@ from beliefmill.llm.bpe_pairs import Vocabulary, no_collector, vocabulary_at
 from beliefmill.llm.common import slices, strings, text_of
 
 LEAF = 16
-CHUNK = 1 << 23  # bytes of text handled together
+CHUNK = 1 << 21  # bytes of text handled together
 
 
 def leaves(texts: list[str], vocab: Vocabulary) -> list[tuple[list[int], list[int]]]:
@@ -120,43 +120,50 @@ def revise(texts: list[str], trees: list[Tree], edits: list[list[dict]], vocab:
 TREE = "doc_id long, text string, tree_chars array<bigint>, tree_tokens array<bigint>"
 
 
+EDITS = "array<struct<at:bigint,removed:bigint,inserted:string>>"
+COUNTED = TREE + ", tokens_before long, tokens_after long, chars_encoded long"
+
+
+def _built(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    vocab = vocabulary_at(vocabulary)
+    for batch in batches:
+        texts = strings(batch, "text")
+        for lo, hi in slices([len(t) for t in texts], CHUNK):
+            own = batch.slice(lo, hi - lo)
+            trees = [Tree.of(*x) for x in leaves(texts[lo:hi], vocab)]
+            sums = [pa.array([getattr(t, k) for t in trees], pa.list_(pa.int64())) for k in ("chars", "tokens")]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text"), *sums, own.column("edits")], ["doc_id", "text", "tree_chars", "tree_tokens", "edits"])
+
+
+def _edited(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    vocab = vocabulary_at(vocabulary)
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+        for lo, hi in slices(sizes, CHUNK):
+            own = batch.slice(lo, hi - lo)
+            doc_ids, texts, chars, tokens, edits = (own.column(c).to_pylist() for c in ("doc_id", "text", "tree_chars", "tree_tokens", "edits"))
+            heaps = [Tree(np.array(c, np.int64), np.array(t, np.int64)) for c, t in zip(chars, tokens, strict=True)]
+            before = [int(t.tokens[1]) for t in heaps]
+            texts, encoded = revise(texts, heaps, [[e for e in x or () if e is not None] for x in edits], vocab)
+            out = (doc_ids, texts, [t.chars for t in heaps], [t.tokens for t in heaps], before, [int(t.tokens[1]) for t in heaps], encoded)
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "text", "tree_chars", "tree_tokens", "tokens_before", "tokens_after", "chars_encoded"])
+
+
+def _with_edits(docs: DataFrame, edits: Column | None) -> DataFrame:
+    none = F.lit(None).cast(EDITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), (none if edits is None else edits).alias("edits"))
+
+
 def build(docs: DataFrame, vocabulary: str, edits: Column | None = None) -> DataFrame:
     """doc_id, text, the tree's character and token sums, and the edits column to apply later:
     an array of struct(at, removed, inserted)."""
-    none = F.lit(None).cast("array<struct<at:bigint,removed:bigint,inserted:string>>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary_at(vocabulary)
-        for batch in batches:
-            texts = strings(batch, "text")
-            for lo, hi in slices([len(t) for t in texts], CHUNK):
-                own = batch.slice(lo, hi - lo)
-                trees = [Tree.of(*x) for x in leaves(texts[lo:hi], vocab)]
-                sums = [pa.array([getattr(t, k) for t in trees], pa.list_(pa.int64())) for k in ("chars", "tokens")]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text"), *sums, own.column("edits")], ["doc_id", "text", "tree_chars", "tree_tokens", "edits"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), (none if edits is None else edits).alias("edits"))
-    return rows.mapInArrow(run, TREE + ", edits array<struct<at:bigint,removed:bigint,inserted:string>>")
+    return _with_edits(docs, edits).mapInArrow(lambda b: _built(b, vocabulary), f"{TREE}, edits {EDITS}")
 
 
 def apply_edits(trees: DataFrame, vocabulary: str) -> DataFrame:
     """The edited texts with their trees, tokens before and after, and characters encoded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary_at(vocabulary)
-        for batch in batches:
-            sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
-            for lo, hi in slices(sizes, CHUNK):
-                own = batch.slice(lo, hi - lo)
-                doc_ids, texts, chars, tokens, edits = (own.column(c).to_pylist() for c in ("doc_id", "text", "tree_chars", "tree_tokens", "edits"))
-                heaps = [Tree(np.array(c, np.int64), np.array(t, np.int64)) for c, t in zip(chars, tokens, strict=True)]
-                before = [int(t.tokens[1]) for t in heaps]
-                texts, encoded = revise(texts, heaps, [[e for e in x or () if e is not None] for x in edits], vocab)
-                out = (doc_ids, texts, [t.chars for t in heaps], [t.tokens for t in heaps], before, [int(t.tokens[1]) for t in heaps], encoded)
-                kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "text", "tree_chars", "tree_tokens", "tokens_before", "tokens_after", "chars_encoded"])
-
-    return trees.mapInArrow(run, TREE + ", tokens_before long, tokens_after long, chars_encoded long")
+    return trees.mapInArrow(lambda b: _edited(b, vocabulary), COUNTED)
 
 
 def revisions(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -170,5 +177,6 @@ def revisions(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 def recount(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Token counts of every document before and after its revisions."""
-    done = apply_edits(build(docs, vocabulary, revisions()), vocabulary)
+    # one pass, so that a task needs one Python worker and one vocabulary
+    done = _with_edits(docs, revisions()).mapInArrow(lambda b: _edited(_built(b, vocabulary), vocabulary), COUNTED)
     return done.select("doc_id", "tokens_before", "tokens_after", "chars_encoded", F.length("text").cast("long").alias("chars_after"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
