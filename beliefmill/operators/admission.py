@@ -241,7 +241,7 @@ def admission_effects(decided: DataFrame, mem: DataFrame) -> DataFrame:
         sc.lookup(F.col("decision"), {k: v[1] for k, v in EFFECT.items()}, 0.0).alias("lo"),
         sc.lookup(F.col("decision"), {k: v[2] for k, v in EFFECT.items()}, 0.0).alias("hi"))
     ordered = od.sliced(acts, ["memory_id"], [F.asc("at"), F.asc("event_id")], pinned=False)
-    slices = od.fold_slices(ordered, "memory_id", ["at", "event_id"], {"fold": ("delta", "lo", "hi")})
+    slices = od.fold_slices(ordered, "memory_id", ["at", "event_id"], {"fold": ("delta", "lo", "hi")}, in_place=True)
     folded = od.compose_slices(slices, "memory_id", ["fold"])
     tally = acts.groupBy("memory_id").agg(F.count_if(F.col("decision") == "reinforce").alias("reinforced"), F.max(F.col("decision") == "temporal").alias("archived"))
     out = mem.join(folded, mem.id == folded.memory_id).drop("memory_id").join(tally, mem.id == tally.memory_id).drop("memory_id")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from beliefmill.functions import lexicon as lx
 from beliefmill.functions import scalar as sc
@@ -36,7 +42,7 @@ def _start(mem: DataFrame) -> DataFrame:
 def apply_feedback(mem: DataFrame, signals: DataFrame) -> DataFrame:
     """Final confidence and count per touched belief; one pass, any group size."""
     steps = _in_order(feedback_events(signals), pinned=False)
-    slices = od.fold_slices(steps, "memory_id", ["at", "event_id"], STEPS)
+    slices = od.fold_slices(steps, "memory_id", ["at", "event_id"], STEPS, in_place=True)
     folded = od.compose_slices(slices, "memory_id", list(STEPS))
     flags = signals.groupBy("memory_id").agg(
         F.max((F.col("signal_type") == "contradicted")).alias("review"),
@@ -51,38 +57,42 @@ def apply_feedback(mem: DataFrame, signals: DataFrame) -> DataFrame:
 def feedback_log(mem: DataFrame, steps: DataFrame, mutation_type: str = "feedback", reason=None) -> DataFrame:
     """One log row per event with the confidence before and after it.
 
-    Slices are folded first; each slice then starts from the composition of the
-    slices before it, so a hot belief is replayed by many tasks.
+    Slices are folded first; each slice then starts from the composition of the slices before
+    it, so a hot belief is replayed by many tasks. The start of a slice travels as a row ahead of
+    its events, and a task holds one confidence and one count while the events stream through.
     """
     rows = _in_order(steps, pinned=True)
     slices = od.fold_slices(rows, "memory_id", ["at", "event_id"], STEPS)
-    prior = od.prefix_slices(slices, "memory_id", list(STEPS))
-    start = prior.join(_start(mem), "memory_id").select(
-        "memory_id", "_slice",
-        od.apply_triple(sc.logit(F.col("_c")), F.col("in_conf_fold")).alias("x0"), F.col("_c").cast("double").alias("c0"),
-        od.apply_triple(F.col("_n").cast("double"), F.col("in_count_fold")).alias("n0"),
-        (F.col("in_conf_fold")["l"] <= -od.BIG).alias("first"))
-    fields = ["at", "event_id", "signal_type", "delta", "count_delta"]
-    runs = rows.groupBy("memory_id", "_slice").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) if f in ("delta", "count_delta") else F.col(f) for f in fields]))).alias("run"))
-    zero = F.lit(0.0)
-    step = F.struct(F.lit(None).cast("long").alias("event_id"), F.lit("").alias("signal_type"), zero.alias("old"), zero.alias("new"),
-                    F.col("x0").alias("x"), F.col("n0").alias("count"))
-    lo, hi = F.lit(od.LOGIT_LO), F.lit(od.LOGIT_HI)
-
-    def advance(acc, e):
-        prev = F.element_at(acc, -1)
-        x = sc.clip(prev["x"] + e["delta"], lo, hi)
-        return F.concat(acc, F.array(F.struct(
-            e["event_id"].cast("long").alias("event_id"), e["signal_type"].alias("signal_type"), prev["new"].alias("old"),
-            sc.sigmoid(x).alias("new"), x.alias("x"), sc.clip(prev["count"] + e["count_delta"], 0.0, od.BIG).alias("count"))))
-
-    first = F.when(F.col("first"), F.col("c0")).otherwise(sc.sigmoid(F.col("x0")))
-    seed = F.array(F.struct(step["event_id"].alias("event_id"), step["signal_type"].alias("signal_type"), step["old"].alias("old"),
-                            first.alias("new"), step["x"].alias("x"), step["count"].alias("count")))
-    replay = runs.join(start, ["memory_id", "_slice"]).select("memory_id", F.explode(F.slice(F.aggregate("run", seed, advance), F.lit(2), F.size("run"))).alias("e"))
-    why = reason if reason is not None else F.concat(F.lit("feedback: "), F.col("e.signal_type"))
-    return replay.select("memory_id", F.col("e.event_id").alias("event_id"), F.lit(mutation_type).alias("mutation_type"), F.col("e.old").alias("old_confidence"),
-                         F.col("e.new").alias("new_confidence"), F.col("e.count").cast("long").alias("new_count"), why.alias("reason"))
+    fields = ["memory_id", "_slice", "at", "event_id", "signal_type", F.coalesce(F.col("delta").cast("double"), F.lit(0.0)).alias("x"),
+              F.coalesce(F.col("count_delta").cast("double"), F.lit(0.0)).alias("n")]
+    events = rows.select(*fields, F.lit(None).cast("double").alias("c"))
+    x0 = od.apply_triple(sc.logit(F.col("_c")), F.col("in_conf_fold"))
+    first = F.col("in_conf_fold")["l"] <= -od.BIG
+    start = od.prefix_slices(slices, "memory_id", list(STEPS)).join(_start(mem), "memory_id").select(
+        "memory_id", "_slice", *[F.lit(None).cast(events.schema[f].dataType).alias(f) for f in ("at", "event_id", "signal_type")], x0.alias("x"),
+        od.apply_triple(F.col("_n").cast("double"), F.col("in_count_fold")).alias("n"), F.when(first, F.col("_c").cast("double")).otherwise(sc.sigmoid(x0)).alias("c"))
+    both = events.withColumn("_start", F.lit(False)).unionByName(start.withColumn("_start", F.lit(True)))
+    schema = T.StructType([*[both.schema[f] for f in ("memory_id", "event_id", "signal_type")], *[T.StructField(f, T.DoubleType()) for f in ("old", "new", "count")]])
+    arrow = to_arrow_schema(schema)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, x, count, now = None, 0.0, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                at = row["memory_id"], row["_slice"]
+                if row["_start"]:
+                    here, x, count, now = at, row["x"], row["n"], row["c"]
+                elif at == here:  # events of no stored belief have no start
+                    was, x, count = now, od.clamped(x + row["x"], od.LOGIT_LO, od.LOGIT_HI), od.clamped(count + row["n"], 0.0, od.BIG)
+                    now = 1.0 / (1.0 + math.exp(-x))
+                    out.append({"memory_id": row["memory_id"], "event_id": row["event_id"], "signal_type": row["signal_type"], "old": was, "new": now, "count": count})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    done = od.in_slices(both, "memory_id", [F.desc("_start"), F.asc("at"), F.asc("event_id")]).mapInArrow(replay, schema)
+    why = reason if reason is not None else F.concat(F.lit("feedback: "), F.col("signal_type"))
+    return done.select("memory_id", F.col("event_id").cast("long").alias("event_id"), F.lit(mutation_type).alias("mutation_type"), F.col("old").alias("old_confidence"),
+                       F.col("new").alias("new_confidence"), F.col("count").cast("long").alias("new_count"), why.alias("reason"))
 
 
 def implicit_signals(detected: DataFrame) -> DataFrame:

@@ -7,8 +7,14 @@ stitched together through a small summary per slice.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from beliefmill.functions import lexicon as lx
 from beliefmill.functions.scalar import LOGIT_HI, LOGIT_LO, clip, logit, sigmoid
@@ -90,25 +96,53 @@ def _then(a: Column, d: Column, lo: Column, hi: Column) -> Column:
     )
 
 
-def fold_slices(events: DataFrame, key: str, order: list[str], steps: dict[str, tuple]) -> DataFrame:
-    """One row per (key, _slice): for every named step the composed triple."""
-    cols = list(dict.fromkeys(x for step in steps.values() for x in step if isinstance(x, str)))
-    runs = events.groupBy(key, "_slice").agg(
-        F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).cast("double").alias(c) for c in cols]))).alias("_run"),
-        F.count("*").alias("n"),
-    )
-    for name, (col, lo, hi) in steps.items():
-        runs = runs.withColumn(name, F.aggregate("_run", _identity(), _clamped_step(col, lo, hi)))
-    return runs.drop("_run")
-
-
-def _clamped_step(col: str, lo, hi):
-    """Bounds are numbers, or names of columns holding the bounds of each step."""
-
-    def bound(e, x):
-        return e[x] if isinstance(x, str) else F.lit(float(x))
-
-    return lambda a, e: _then(a, e[col], bound(e, lo), bound(e, hi))
+def clamped(x: float, lo: float, hi: float) -> float:
+    return lo if x < lo else hi if x > hi else x
+
+
+def in_slices(rows: DataFrame, key: str, order: list, in_place: bool = False) -> DataFrame:
+    """The rows of every (key, _slice) one after another, in order, in one partition. With
+    ``in_place`` the rows still lie where ``sliced`` put them and don't move."""
+    return (rows if in_place else rows.repartition(key, "_slice")).sortWithinPartitions(key, "_slice", *order)
+
+
+def fold_slices(events: DataFrame, key: str, order: list[str], steps: dict[str, tuple], in_place: bool = False) -> DataFrame:
+    """One row per (key, _slice): its number of rows n and for every named step the composed
+    triple. The rows stream through in order and a task holds one triple per step, so the time
+    is linear and the memory constant for a slice of any size. A step is (column, low, high),
+    the bounds numbers or columns; a null step changes nothing, a null bound doesn't bind."""
+    given = {x: F.coalesce(F.col(x).cast("double"), F.lit(fill)).alias(x)
+             for step in steps.values() for x, fill in zip(step, (0.0, -BIG, BIG), strict=True) if isinstance(x, str)}
+    rows = in_slices(events.select(key, "_slice", *order, *given.values()), key, order, in_place).drop(*order)
+    bounds, columns = list(steps.values()), list(given)
+    triple = T.StructType([T.StructField(x, T.DoubleType()) for x in "dlh"])
+    schema = T.StructType([events.schema[key], T.StructField("_slice", T.IntegerType()), T.StructField("n", T.LongType()), *[T.StructField(s, triple) for s in steps]])
+    arrow = to_arrow_schema(schema)
+
+    def closed(done: list) -> pa.RecordBatch:
+        keys, slices, sizes, *folds = zip(*done, strict=True)
+        made = [[dict(zip("dlh", t, strict=True)) for t in f] for f in folds]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, slices, sizes, *made), arrow, strict=True)], schema=arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, n, state = None, 0, []
+        for batch in batches:
+            done, column = [], {x: batch.column(x).to_pylist() for x in columns}
+            each = [[column[x] if isinstance(x, str) else repeat(float(x)) for x in step] for step in bounds]
+            moves = zip(*[zip(*e, strict=False) for e in each], strict=True)
+            for where, move in zip(zip(batch.column(key).to_pylist(), batch.column("_slice").to_pylist(), strict=True), moves, strict=True):
+                if where != here:
+                    if here is not None:
+                        done.append((*here, n, *state))
+                    here, n, state = where, 0, [(0.0, -BIG, BIG)] * len(bounds)
+                n += 1
+                state = [(d + x, clamped(low + x, lo, hi), clamped(high + x, lo, hi)) for (d, low, high), (x, lo, hi) in zip(state, move, strict=True)]
+            if done:
+                yield closed(done)
+        if here is not None:
+            yield closed([(*here, n, *state)])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def _composed(name: str):
@@ -126,22 +160,24 @@ def compose_slices(slices: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 
 def prefix_slices(slices: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """For every (key, _slice) the composition of all earlier slices of the key."""
-
-    def entry(slice_no: Column, state: dict[str, Column]) -> Column:
-        return F.struct(slice_no.cast("int").alias("_slice"), *[state[n].alias(n) for n in names])
-
-    def advance(acc: Column, p: Column) -> Column:
-        prev = F.element_at(acc, -1)
-        # the entry stored for a slice holds the state after it
-        return F.concat(acc, F.array(entry(p["_slice"], {n: _composed(n)(prev[n], p) for n in names})))
-
-    seed = F.array(entry(F.lit(-1), {n: _identity() for n in names}))
-    runs = slices.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_slice", *names))).alias("_parts"))
-    states = runs.withColumn("_after", F.aggregate("_parts", seed, advance))
-    pairs = F.arrays_zip(F.col("_parts").alias("part"), F.slice("_after", 1, F.size("_parts")).alias("state"))
-    return states.select(key, F.explode(pairs).alias("z")).select(
-        key, F.col("z.part._slice").alias("_slice"), *[F.col(f"z.state.{n}").alias(f"in_{n}") for n in names])
+    """For every (key, _slice) the composition ``in_<name>`` of all earlier slices of the key."""
+    rows = slices.select(key, "_slice", *names).repartition(key).sortWithinPartitions(key, "_slice")
+    schema = T.StructType([slices.schema[key], slices.schema["_slice"], *[T.StructField(f"in_{s}", slices.schema[s].dataType) for s in names]])
+    arrow = to_arrow_schema(schema)
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, state = object(), {}
+        for batch in batches:
+            before = []
+            for row in batch.to_pylist():
+                if row[key] != here:
+                    here, state = row[key], {s: {"d": 0.0, "l": -BIG, "h": BIG} for s in names}
+                before.append({key: here, "_slice": row["_slice"], **{f"in_{s}": t for s, t in state.items()}})
+                state = {s: {"d": t["d"] + row[s]["d"], "l": clamped(t["l"] + row[s]["d"], row[s]["l"], row[s]["h"]),
+                             "h": clamped(t["h"] + row[s]["d"], row[s]["l"], row[s]["h"])} for s, t in state.items()}
+            yield pa.RecordBatch.from_pylist(before, schema=arrow)
+
+    return rows.mapInArrow(carry, schema)
 
 
 def apply_triple(x: Column, t: Column) -> Column:

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import math
+import time
 
 import numpy as np
 import pytest
@@ -110,6 +111,24 @@ def test_hot_belief_is_folded_over_many_slices(spark, hot):
     assert set(got) == set(log) and all(abs(got[i][0] - log[i][0]) < 1e-9 and abs(got[i][1] - log[i][1]) < 1e-9 for i in log)
 
 
+def test_a_long_run_on_one_belief_is_replayed_in_linear_time(spark):
+    """200 000 events on one belief; the fold and the log agree with a plain loop."""
+    from beliefmill.functions.lexicon import FEEDBACK_EFFECTS
+
+    kinds = sorted(FEEDBACK_EFFECTS)
+    df = spark.range(200_000).select("id", F.lit(1).cast("long").alias("memory_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 977)).alias("created_at"),
+                                     F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.hash("id") % len(kinds) + len(kinds)).cast("int") % len(kinds) + 1).alias("signal_type"))
+    rows = [tuple(r) for r in df.collect()]
+    t0 = time.perf_counter()
+    final = dy.apply_feedback(beliefs(spark), df).first()
+    got = {r["event_id"]: r["new_confidence"] for r in dy.feedback_log(beliefs(spark), dy.feedback_events(df)).collect()}
+    took = time.perf_counter() - t0
+    state, log = replay(rows, 0.6, 2)
+    assert abs(final["new_confidence"] - state[1][0]) < 1e-9 and final["n"] == len(rows)
+    assert len(got) == len(log) and all(abs(got[i] - log[i][1]) < 1e-9 for i in log)
+    assert took < 120
+
+
 def test_row_numbers_and_previous_values_cross_slices(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3 == 0).cast("int").alias("k"), ((F.col("id") * 7919) % 1009).alias("o"))
     got = {r["id"]: (r["seq"]) for r in od.number_rows(df, ["k"], [F.asc("o")]).collect()}
