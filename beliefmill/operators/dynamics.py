@@ -39,11 +39,16 @@ def _start(mem: DataFrame) -> DataFrame:
     return mem.select(F.col("id").alias("memory_id"), F.col("confidence").alias("_c"), F.col("reinforcement_count").alias("_n"))
 
 
-def apply_feedback(mem: DataFrame, signals: DataFrame) -> DataFrame:
-    """Final confidence and count per touched belief; one pass, any group size."""
+def fold_feedback(signals: DataFrame) -> DataFrame:
+    """(memory_id, n, conf_fold, count_fold): all signals of a belief as one clamped step."""
     steps = _in_order(feedback_events(signals), pinned=False)
     slices = od.fold_slices(steps, "memory_id", ["at", "event_id"], STEPS, in_place=True)
-    folded = od.compose_slices(slices, "memory_id", list(STEPS))
+    return od.compose_slices(slices, "memory_id", list(STEPS))
+
+
+def apply_feedback(mem: DataFrame, signals: DataFrame) -> DataFrame:
+    """Final confidence and count per touched belief; one pass, any group size."""
+    folded = fold_feedback(signals)
     flags = signals.groupBy("memory_id").agg(
         F.max((F.col("signal_type") == "contradicted")).alias("review"),
         F.max((F.col("signal_type") == "outdated")).alias("summarize"))
@@ -124,15 +129,23 @@ def penalize(mem: DataFrame, settings: DataFrame) -> DataFrame:
         "id", down.alias("new_confidence"), F.greatest(F.lit(0), F.col("reinforcement_count") - 1).alias("new_count"))
 
 
-def apply_access(mem: DataFrame, hits: DataFrame) -> DataFrame:
-    """+0.02 per hit up to 0.99; hits are counted before they meet the beliefs."""
-    n = hits.groupBy("memory_id").agg(F.count("*").alias("hits"), F.max("ts").alias("seen"))
+def access_totals(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("memory_id").agg(F.count("*").alias("hits"), F.max("ts").alias("seen"))
+
+
+def boosted(mem: DataFrame, totals: DataFrame) -> DataFrame:
+    """+0.02 per hit up to 0.99."""
     c = F.col("confidence").cast("double")
     raised = F.least(c + 0.02 * F.col("hits"), F.lit(0.99))
-    return mem.join(n, mem.id == n.memory_id).select(
+    return mem.join(totals, mem.id == totals.memory_id).select(
         "id", "hits", F.when(raised < c, c).otherwise(raised).alias("new_confidence"), (F.col("access_count") + F.col("hits")).alias("new_access_count"), "seen")
 
 
+def apply_access(mem: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits are counted before they meet the beliefs."""
+    return boosted(mem, access_totals(hits))
+
+
 # -- decay ------------------------------------------------------------------
 
 def competitors(mem: DataFrame, **blocks) -> DataFrame:

@@ -1,5 +1,9 @@
-"""Streaming jobs over the event table, checked against their batch meaning, and
-the SQL surface."""
+"""Streaming jobs over several micro-batches with repeated and late rows, checked against
+their batch meaning, and the SQL surface.
+
+The rows come in three parts in order of time, each drained by a run of its own that goes on
+from the checkpoint. Later parts repeat a third of what came before, and a tenth of the first
+part comes only with the last one, far behind the watermark."""
 
 from pyspark.sql import functions as F
 
@@ -14,65 +18,112 @@ from beliefmill.plans.recall_queries import r6
 from beliefmill.plans.registry import query
 from beliefmill.session import pin
 from beliefmill.streaming import jobs
-from beliefmill.streaming.state import scratch
-
-
-def _stream(t, name="events"):
-    """The raw table as a file stream."""
-    src = getattr(t, name)
-    df = t.spark.readStream.schema(src.schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+from beliefmill.streaming.jobs import scratch, taken
 
 
 def _n(t):
     return t.embeddings.count()
 
 
-@query("usage_stream", "usage_events", "SELECT tenant_id, strftime(ts, '%Y-%m') AS month, count(*) FILTER (kind = 'written') AS written, count(*) FILTER (kind = 'recall') AS recalls FROM usage_events GROUP BY ALL")
+def _arrive(t, rows, at, name, run, repeats=True, held=True):
+    """Call ``run(stream)`` after each of three parts of the rows has been written."""
+    rows, us = pin(rows), F.unix_micros(at)
+    lo, hi = rows.agg(F.coalesce(F.min(us), F.lit(0)), F.coalesce(F.max(us), F.lit(0))).first()
+    one, two = (F.lit(lo + (hi - lo) * k // 3) for k in (1, 2))
+    late = (us < one) & (F.col("id") % 10 == 9) & F.lit(held)
+    part = F.when(late, 2).when(us < one, 0).when(us < two, 1).otherwise(2)
+    out = scratch(t.spark, name)
+    for i in range(3):
+        rows.where((part == i) | ((part < i) & (F.col("id") % 3 == 0) & F.lit(repeats))).write.parquet(f"{out}/{i}")
+        run(t.spark.readStream.schema(rows.schema).parquet(f"{out}/*"))
+
+
+def in_time(view, at):
+    """Check SQL: rows of a view that are not late, and the last watermark for a delay."""
+    us = f"epoch_us({at})"
+    return f"(SELECT * FROM {view} WHERE NOT (id % 10 = 9 AND {us} < (SELECT min({us}) + (max({us}) - min({us})) // 3 FROM {view})))"
+
+
+@query("usage_stream", "usage_events", f"""
+SELECT tenant_id, strftime(ts, '%Y-%m') AS month, count(*) FILTER (kind = 'written')::BIGINT AS written, count(*) FILTER (kind = 'recall')::BIGINT AS recalls FROM {in_time('usage_events', 'ts')} x
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM usage_events) GROUP BY ALL""")
 def usage_stream(t):
-    ev = _stream(t).where(F.col("event_type").isin("click", "view")).select(
-        (F.col("user_id") % 3).alias("tenant_id"), "ts", F.when(F.col("event_type") == "click", "written").otherwise("recall").alias("kind"))
     out = scratch(t.spark, "usage")
-    jobs.write_latest(jobs.usage_stream(ev), f"{out}/table", f"{out}/ckpt")
-    return t.spark.read.parquet(f"{out}/table").withColumn("month", F.date_format("month", "yyyy-MM"))
+    _arrive(t, t.usage_events, "ts", "usage-in", lambda s: jobs.append_closed(jobs.usage_stream(s, once="id"), f"{out}/days", f"{out}/ckpt"))
+    return jobs.usage_months(taken(t.spark, f"{out}/days")).withColumn("month", F.date_format("month", "yyyy-MM"))
+
 
+def _learned(t, name, width, slide):
+    rows = t.signals.join(t.mem.select(F.col("id").alias("memory_id"), "agent_id"), "memory_id").select(
+        "id", "agent_id", "created_at", F.lit("feedback").alias("mutation_type"), F.concat(F.lit("feedback: "), "signal_type").alias("reason"),
+        F.lit(0.5).cast("float").alias("old_confidence"), F.when(F.col("signal_type").isin("used", "helpful"), 0.6).otherwise(0.4).cast("float").alias("new_confidence"))
+    out = scratch(t.spark, name)
+    _arrive(t, rows, "created_at", f"{name}-in", lambda s: jobs.append_closed(jobs.learning_stream(s, width, slide, once="id"), f"{out}/windows", f"{out}/ckpt"))
+    return stat_cols(taken(t.spark, f"{out}/windows").withColumn("start", F.date_format("window.start", "yyyy-MM-dd")), "agent_id", "start")
 
-def _log_stream(t):
-    """Change rows as a stream: signals of the event stream against the static beliefs."""
-    n = _n(t)
-    kind = F.when(F.col("event_type") == "view", "used").when(F.col("event_type") == "click", "ignored").when(F.col("event_type") == "purchase", "helpful").when(
-        F.col("event_type") == "signup", "unhelpful").when(F.col("event_id") % 2 == 0, "contradicted").otherwise("outdated")
-    return _stream(t).select(F.col("event_id").alias("id"), (F.col("event_id") % n).alias("memory_id"), F.col("ts").alias("created_at"), kind.alias("signal_type"))
 
+def learned_sql(backs):
+    """Each row in the windows of 7 days that hold it, by the start of the window."""
+    return f"""
+WITH w AS (SELECT m.agent_id, 'feedback' AS mutation_type, 'feedback: ' || signal_type AS reason, 0.5::FLOAT AS old_confidence, CASE WHEN signal_type IN ('used', 'helpful') THEN 0.6 ELSE 0.4 END::FLOAT AS new_confidence, {backs} AS back, s.created_at
+  FROM {in_time('signals', 'created_at')} s JOIN mem m ON m.id = s.memory_id),
+x AS (SELECT * REPLACE (strftime(start, '%Y-%m-%d') AS start) FROM (SELECT *, date_trunc('day', created_at) - INTERVAL 1 DAY * back AS start FROM w) y WHERE start + INTERVAL 7 DAY <= (SELECT max(created_at) - INTERVAL 2 DAY FROM signals)), {stats_sql('x', 'agent_id, start')}"""
 
-@query("learning_stream", "signals mem", f"""
-WITH w AS (SELECT m.agent_id, 'feedback' AS mutation_type, 'feedback: ' || signal_type AS reason, 0.5::FLOAT AS old_confidence, CASE WHEN signal_type IN ('used', 'helpful') THEN 0.6 ELSE 0.4 END::FLOAT AS new_confidence, unnest(range(7)) AS back, s.created_at FROM signals s JOIN mem m ON m.id = s.memory_id),
-x AS (SELECT *, strftime(date_trunc('day', created_at) - INTERVAL 1 DAY * back, '%Y-%m-%d') AS start FROM w), {stats_sql('x', 'agent_id, start')}""")
+
+@query("learning_stream", "signals mem", learned_sql("unnest(range(7))"))
 def learning_stream(t):
-    s = _log_stream(t).join(t.mem.select(F.col("id").alias("memory_id"), "agent_id"), "memory_id").select(
-        "agent_id", "created_at", F.lit("feedback").alias("mutation_type"), F.concat(F.lit("feedback: "), "signal_type").alias("reason"),
-        F.lit(0.5).cast("float").alias("old_confidence"), F.when(F.col("signal_type").isin("used", "helpful"), 0.6).otherwise(0.4).cast("float").alias("new_confidence"))
-    out = scratch(t.spark, "learning")
-    jobs.write_latest(jobs.learning_stream(s), f"{out}/table", f"{out}/ckpt")
-    return stat_cols(t.spark.read.parquet(f"{out}/table").withColumn("start", F.date_format("window.start", "yyyy-MM-dd")), "agent_id", "start")
+    return _learned(t, "learning", "7 days", "1 day")
+
 
+@query("learning_stream_tumbling", "signals mem", learned_sql("((epoch_us(s.created_at) // 86400000000) % 7)"))
+def learning_stream_tumbling(t):
+    """Windows that don't overlap, counted from the epoch."""
+    return _learned(t, "tumbling", "7 days", "7 days")
 
-@query("session_stream", "", """
-WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN lag(CAST(ts AS TIMESTAMP)) OVER w IS NULL OR epoch_us(CAST(ts AS TIMESTAMP)) - epoch_us(lag(CAST(ts AS TIMESTAMP)) OVER w) > 43200000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS grp FROM e)
-SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 43200000000 AS ending, count(*) AS n FROM g GROUP BY user_id, grp""")
+
+SESSIONS = f"""
+WITH v AS (SELECT event_id AS id, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events),
+e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 43200000000 THEN 1 ELSE 0 END AS new FROM {in_time('v', 'ts')} x WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS grp FROM e),
+s AS (SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 43200000000 AS ending, count(*) AS n FROM g GROUP BY user_id, grp),
+closed AS (SELECT * FROM s WHERE ending <= (SELECT max(epoch_us(ts)) - 86400000000 FROM v))"""
+
+
+def _visits(t):
+    return t.events.select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("session_stream", "", f"{SESSIONS} SELECT * FROM closed")
 def session_stream(t):
     out = scratch(t.spark, "sessions")
-    jobs.write_latest(jobs.session_stream(_stream(t).select("user_id", "ts"), "12 hours", "1 day"), f"{out}/table", f"{out}/ckpt")
-    return t.spark.read.parquet(f"{out}/table").select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("ending"), "n")
+    _arrive(t, _visits(t), "ts", "sessions-in", lambda s: jobs.append_closed(jobs.session_stream(s, "12 hours", "1 day", once="id"), f"{out}/closed", f"{out}/ckpt"))
+    return taken(t.spark, f"{out}/closed").select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("ending"), "n")
+
+
+@query("session_expiry_stream", "mem", f"""{SESSIONS}
+SELECT m.id, count(*) AS expired, max(ending) AS expired_at FROM mem m JOIN closed c ON m.session_id = c.user_id WHERE m.binding = 'session' AND NOT m.is_archived GROUP BY m.id""")
+def session_expiry_stream(t):
+    """Session beliefs are archived when a session of their user expires."""
+    out = scratch(t.spark, "expiry")
+    bound = t.mem.where("binding = 'session' AND NOT is_archived").select("id", F.col("session_id").alias("user_id"))
 
+    def archive(sessions, batch):
+        jobs.put(sessions.join(bound, "user_id").select("id", F.unix_micros("end").alias("expired_at")), f"{out}/archived", batch)
 
-@query("feedback_stream", "signals mem", fold_sql("ev AS (SELECT * FROM signals)").replace("SELECT memory_id, n_events AS n, ", "SELECT memory_id, ").replace(", review FROM j", " FROM j"))
+    _arrive(t, _visits(t), "ts", "expiry-in", lambda s: jobs.session_expiry_stream(s, "12 hours", "1 day", archive, f"{out}/ckpt", once="id"))
+    return taken(t.spark, f"{out}/archived").groupBy("id").agg(F.count("*").alias("expired"), F.max("expired_at").alias("expired_at"))
+
+
+DUE = f"ev AS (SELECT * FROM {in_time('signals', 'created_at')} x WHERE date_trunc('minute', created_at) + INTERVAL 1 MINUTE <= (SELECT max(created_at) - INTERVAL 1 DAY FROM signals))"
+
+
+@query("feedback_stream", "signals mem", fold_sql(DUE).replace("SELECT memory_id, n_events AS n, ", "SELECT memory_id, ").replace(", review FROM j", " FROM j"))
 def feedback_stream(t):
+    """Events of the last day still wait; beliefs touched by those before it."""
     out = scratch(t.spark, "feedback")
     job = jobs.FeedbackStream(t.spark, t.mem, out)
-    job.run(_log_stream(t), f"{out}/ckpt")
-    touched = t.signals.select(F.col("memory_id").alias("id")).distinct()
+    _arrive(t, t.signals, "created_at", "feedback-in", lambda s: job.run(s, f"{out}/ckpt"))
+    touched = taken(t.spark, job.steps).select(F.col("memory_id").alias("id")).distinct()
     return job.result().join(touched, "id", "left_semi").select(F.col("id").alias("memory_id"), r6("confidence", "new_confidence"), F.col("reinforcement_count").cast("long").alias("new_count"))
 
 
@@ -80,37 +131,20 @@ def feedback_stream(t):
 SELECT m.id, round(greatest(m.confidence::DOUBLE, least(m.confidence::DOUBLE + 0.02 * coalesce(n, 0), 0.99)), 6) AS confidence, (m.access_count + coalesce(n, 0))::BIGINT AS access_count
 FROM mem m LEFT JOIN (SELECT memory_id, count(*) AS n FROM hits GROUP BY 1) h ON h.memory_id = m.id""")
 def access_stream(t):
-    n = _n(t)
-    hits = _stream(t).where(F.col("event_type") == "view").select((F.col("event_id") % n).alias("memory_id"), "ts")
+    """Hits have no watermark: late ones count."""
     out = scratch(t.spark, "access")
     job = jobs.AccessStream(t.spark, t.mem, out)
-    job.run(hits, f"{out}/ckpt")
+    _arrive(t, t.hits, "ts", "access-in", lambda s: job.run(s, f"{out}/ckpt"), repeats=False)
     return job.result().select("id", r6("confidence", "confidence"), "access_count")
 
 
 @query("seal_stream", "mlog", "SELECT tenant_id::VARCHAR AS tenant_id, true AS valid, count(*) AS checked FROM mlog GROUP BY 1")
 def seal_stream(t):
-    owner = t.mem.select(F.col("id").alias("memory_id"), "agent_id", "tenant_id")
-    rows = _log_stream(t).join(owner, "memory_id").select("id", "memory_id", "agent_id", "tenant_id", "created_at", F.lit("feedback").alias("mutation_type"), F.lit("system").alias("source_type"),
-                                                          F.concat(F.lit("feedback: "), "signal_type").alias("reason"), F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("string").alias("content_snapshot"))
+    """The delay spans all rows: repeats are met, late rows are sealed with their batch."""
     out = scratch(t.spark, "seal")
-    job = jobs.SealStream(t.spark, out)
-    job.run(rows, f"{out}/ckpt")
-    return au.verify_chain(job.log.read_all(), job.heads.read()).select("tenant_id", "valid", "checked")
-
-
-def _in_files(t, rows, at, name, parts=3):
-    """The rows as a file stream of ``parts`` micro-batches in order of time; each later file
-    also repeats a third of what came before."""
-    rows = pin(rows)
-    lo, hi = rows.agg(F.min(at), F.max(at)).first()
-    out = scratch(t.spark, name)
-    for i in range(parts):
-        begin, end = (lo + (hi - lo) * k / parts for k in (i, i + 1))
-        own = (F.col(at) >= F.lit(begin)) & ((F.col(at) < F.lit(end)) if i < parts - 1 else F.lit(True))
-        again = (F.col(at) < F.lit(begin)) & (F.col("id") % 3 == 0)
-        rows.where(own | again).coalesce(1).write.parquet(f"{out}/{i}")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/*")
+    job = jobs.SealStream(t.spark, out, delay="60 days")
+    _arrive(t, t.mlog, "created_at", "seal-in", lambda s: job.run(s, f"{out}/ckpt"))
+    return au.verify_chain(job.log(), job.heads()).select("tenant_id", "valid", "checked")
 
 
 ARRIVING = """arriving AS (SELECT i.* REPLACE (e.ts AS created_at) FROM incoming i JOIN (SELECT event_id % (SELECT count(*) FROM embeddings) + 1000000 AS id, min(CAST(ts AS TIMESTAMP)) AS ts FROM events GROUP BY ALL) e ON e.id = i.id)"""
@@ -121,10 +155,10 @@ def admit_stream(t):
     """Every belief named by an event is written once more, with a neighbour's vector, in the
     order of its first event, over several micro-batches."""
     named = t.events.groupBy((F.col("event_id") % _n(t) + 1000000).alias("id")).agg(F.min(F.col("ts").cast("timestamp")).alias("created_at"))
-    arriving = _in_files(t, t.with_vec(t.incoming).drop("created_at").join(named, "id"), "created_at", "arriving")
+    rows = t.with_vec(t.incoming).drop("created_at").join(named, "id")
     out = scratch(t.spark, "admit")
     job = jobs.AdmissionStream(t.spark, t.memv, bl.resolve_settings(t.tenants, t.settings_raw), out)
-    job.run(arriving, f"{out}/ckpt", delay="60 days")
+    _arrive(t, rows, "created_at", "arriving", lambda s: job.run(s, f"{out}/ckpt", delay="60 days"), held=False)
     return job.result().select("id", "decision", "existing_id", r6("sim", "sim"))
 
 

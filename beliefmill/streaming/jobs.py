@@ -1,56 +1,100 @@
-"""Streaming jobs. Windowed counts use watermarks and stateful aggregation; jobs
-that change belief tables run the batch operator on each micro-batch and keep
-their state as versioned tables, so a hot key is spread like in the batch job."""
+"""Streaming jobs. What waits, repeats or adds up is held by Spark's own keyed state under a
+watermark. Each micro-batch appends its results to a table with one folder per batch, so a
+replayed batch overwrites its own rows and nothing else; earlier rows are never rewritten.
+
+Rows older than the watermark are dropped by Spark; ``dropped`` counts them.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from beliefmill.operators import admission as ad
 from beliefmill.operators import audit as au
 from beliefmill.operators import dynamics as dy
+from beliefmill.operators import ordering as od
 from beliefmill.operators.learning import learning_counters
-from beliefmill.session import pin
-from beliefmill.streaming.state import KeyedState, VersionedTable, scratch
+from beliefmill.session import pin, prepare_checkpoints
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    prepare_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def drain(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def drain(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a streaming frame over all available input and stop."""
     q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(fn).start()
     q.awaitTermination()
+    return q
+
+
+def dropped(q: StreamingQuery) -> int:
+    """Late rows among the micro-batches the query still reports."""
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+
 
+def put(df: DataFrame, folder: str, batch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-def write_latest(df: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> None:
-    """Keep the newest result of an aggregation as one table."""
-    drain(df, lambda b, i: b.write.mode("overwrite").parquet(out), checkpoint, mode)
+
+def taken(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The rows of all batches (below ``before``) with their ``batch``, or None before the first."""
+    try:
+        rows = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
+def append_closed(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append what the watermark has closed to a table."""
+    return drain(df, lambda b, i: put(b, out, i), checkpoint)
 
 
 # -- windowed counts --------------------------------------------------------
 
-def usage_stream(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Usage per tenant and calendar month."""
-    return events.withWatermark("ts", delay).groupBy("tenant_id", F.date_trunc("month", "ts").alias("month")).agg(
+def arriving(rows: DataFrame, at: str, delay: str, once: str | None) -> DataFrame:
+    """Rows under a watermark, each value of ``once`` a single time."""
+    rows = rows.withWatermark(at, delay)
+    return rows.dropDuplicatesWithinWatermark([once]) if once else rows
+
+
+def usage_stream(events: DataFrame, delay: str = "2 days", once: str | None = None) -> DataFrame:
+    """Usage per tenant and day, final once the watermark has passed the day."""
+    return arriving(events, "ts", delay, once).groupBy("tenant_id", F.window("ts", "1 day").alias("day")).agg(
         F.count_if(F.col("kind") == "written").alias("written"), F.count_if(F.col("kind") == "recall").alias("recalls"))
 
 
-def learning_stream(mlog: DataFrame, width: str = "7 days", slide: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Learning statistics per agent over sliding windows."""
-    return learning_counters(mlog.withWatermark("created_at", delay), ["agent_id", F.window("created_at", width, slide)])
+def usage_months(days: DataFrame) -> DataFrame:
+    """Usage per tenant and calendar month from closed days."""
+    return days.groupBy("tenant_id", F.date_trunc("month", "day.start").alias("month")).agg(F.sum("written").alias("written"), F.sum("recalls").alias("recalls"))
 
 
-def session_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", key: str = "user_id") -> DataFrame:
+def learning_stream(mlog: DataFrame, width: str = "7 days", slide: str = "1 day", delay: str = "2 days", once: str | None = None) -> DataFrame:
+    """Learning statistics per agent over sliding windows (tumbling where both lengths agree)."""
+    return learning_counters(arriving(mlog, "created_at", delay, once), ["agent_id", F.window("created_at", width, slide)])
+
+
+def session_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", key: str = "user_id", once: str | None = None) -> DataFrame:
     """Sessions closed by a gap, with their size."""
-    return events.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap)).agg(F.count("*").alias("n")).select(
+    return arriving(events, "ts", delay, once).groupBy(key, F.session_window("ts", gap)).agg(F.count("*").alias("n")).select(
         key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def session_expiry_stream(events: DataFrame, gap: str, delay: str, archive: Callable[[DataFrame, int], None], checkpoint: str, key: str = "user_id") -> None:
+def session_expiry_stream(events: DataFrame, gap: str, delay: str, archive: Callable[[DataFrame, int], None], checkpoint: str, key: str = "user_id", once: str | None = None) -> StreamingQuery:
     """Hand every closed session to ``archive`` once; append mode emits a session
     when the watermark has passed its end."""
-    drain(session_stream(events, gap, delay, key), archive, checkpoint)
+    return drain(session_stream(events, gap, delay, key, once), archive, checkpoint)
 
 
 # -- table-changing jobs ----------------------------------------------------
@@ -58,96 +102,85 @@ def session_expiry_stream(events: DataFrame, gap: str, delay: str, archive: Call
 class FeedbackStream:
     """Running confidence per belief, folded in event order.
 
-    Events wait until the watermark (newest event time minus the delay) passes
-    them; later ones are dropped and counted. State: the folded beliefs, the
-    waiting events and the watermark, each versioned by batch.
+    Every event waits as an entry of its own in Spark's keyed state until the watermark has
+    passed its slot; a repeated event meets its first there, so a hot belief fills no entry with
+    many events. What a batch releases is older than all that follows, so it is folded into one
+    clamped step per belief and appended. A belief stands at its stored confidence after its
+    steps in order of batch; waiting events don't count yet.
     """
 
-    def __init__(self, spark: SparkSession, mem: DataFrame, folder: str, delay_hours: float = 24.0):
-        self.spark, self.delay = spark, int(delay_hours * 3_600_000_000)
-        self.state = KeyedState(spark, f"{folder}/state")
-        self.waiting = VersionedTable(spark, f"{folder}/waiting")
-        self.mark = VersionedTable(spark, f"{folder}/mark")
-        if self.state.empty():
-            self.state.start(mem.select("id", F.col("confidence").cast("double").alias("confidence"), F.col("reinforcement_count").cast("long").alias("reinforcement_count")))
+    def __init__(self, spark: SparkSession, mem: DataFrame, folder: str, delay: str = "24 hours", slot: str = "1 minute"):
+        self.spark, self.mem, self.delay, self.slot = spark, mem, delay, slot
+        self.steps = f"{folder}/steps"
 
-    def _fold(self, base: DataFrame, due: DataFrame) -> DataFrame:
-        """The beliefs changed by the due events."""
-        return dy.apply_feedback(base, due).select(
-            F.col("memory_id").alias("id"), F.col("new_confidence").alias("confidence"), F.col("new_count").alias("reinforcement_count"))
+    def released(self, signals: DataFrame) -> DataFrame:
+        slot = F.window("created_at", self.slot)
+        return signals.withWatermark("created_at", self.delay).groupBy(slot, "id", "memory_id", "signal_type", F.unix_micros("created_at").alias("at")).agg(
+            F.count("*").alias("copies")).select("id", "memory_id", "signal_type", F.timestamp_micros("at").alias("created_at"))
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
-        rows = pin(rows.select("id", "memory_id", "created_at", "signal_type"))  # read several times below
-        old = self.mark.read(before=batch_id)
-        before, dropped = (old.first()[0], old.first()[1]) if old is not None else (-(2 ** 62), 0)
-        at = F.unix_micros("created_at")
-        newest = rows.agg(F.max(at)).first()[0]
-        now = max(before, newest - self.delay) if newest is not None else before
-        late = rows.where(at <= before).count()
-        kept = rows.where(at > before)
-        held = self.waiting.read(before=batch_id)
-        pool = kept if held is None else kept.unionByName(held)
-        self.state.write(self._fold(self.state.read(before=batch_id), pool.where(at <= now)), batch_id)
-        self.waiting.write(pool.where(at > now), batch_id)
-        self.mark.write(self.spark.createDataFrame([(now, dropped + late)], "mark long, dropped long"), batch_id)
-
-    def run(self, signals: DataFrame, checkpoint: str) -> None:
-        drain(signals, self.batch, checkpoint)
-
-    def result(self, flush: bool = True) -> DataFrame:
-        """Current beliefs; with flush the waiting events are folded as well."""
-        state, held = self.state.read(), self.waiting.read()
-        if not flush or held is None:
-            return state
-        last = self._fold(state, held)
-        return last.unionByName(state.join(last.select("id"), "id", "left_anti"))
-
-    def dropped(self) -> int:
-        m = self.mark.read()
-        return m.first()[1] if m is not None else 0
+        # pinned, as range partitioning reads its input twice
+        put(dy.fold_feedback(pin(rows)), self.steps, batch_id)
+
+    def run(self, signals: DataFrame, checkpoint: str) -> StreamingQuery:
+        return drain(self.released(signals), self.batch, checkpoint)
+
+    def result(self) -> DataFrame:
+        """(id, confidence, reinforcement_count) of all beliefs."""
+        c, n = F.col("confidence").cast("double"), F.col("reinforcement_count").cast("double")
+        steps = taken(self.spark, self.steps)
+        if steps is None:
+            return self.mem.select("id", c.alias("confidence"), n.cast("long").alias("reinforcement_count"))
+        folded = od.compose_slices(steps.withColumnRenamed("batch", "_slice"), "memory_id", list(dy.STEPS))
+        known = F.col("conf_fold").isNotNull()
+        return self.mem.join(folded, self.mem.id == folded.memory_id, "left").select(
+            "id", F.when(known, od.folded_confidence(c, F.col("conf_fold"))).otherwise(c).alias("confidence"),
+            F.when(known, od.apply_triple(n, F.col("count_fold"))).otherwise(n).cast("long").alias("reinforcement_count"))
 
 
 class AccessStream:
-    """Access boosts applied per micro-batch; nothing is dropped under load."""
+    """Access boosts. Spark's keyed state adds up the hits of a belief; a batch appends the new
+    totals of the beliefs it touched, and the greatest total of a belief is its latest."""
 
     def __init__(self, spark: SparkSession, mem: DataFrame, folder: str):
-        self.state = KeyedState(spark, f"{folder}/state")
-        if self.state.empty():
-            self.state.start(mem.select("id", F.col("confidence").cast("double").alias("confidence"), F.col("access_count").cast("long").alias("access_count")))
+        self.spark, self.mem, self.totals = spark, mem, f"{folder}/totals"
 
-    def batch(self, hits: DataFrame, batch_id: int) -> None:
-        base = self.state.read(before=batch_id)
-        self.state.write(dy.apply_access(base, hits).select(
-            "id", F.col("new_confidence").alias("confidence"), F.col("new_access_count").alias("access_count")), batch_id)
-
-    def run(self, hits: DataFrame, checkpoint: str) -> None:
-        drain(hits, self.batch, checkpoint)
+    def run(self, hits: DataFrame, checkpoint: str) -> StreamingQuery:
+        return drain(dy.access_totals(hits), lambda b, i: put(b, self.totals, i), checkpoint, "update")
 
     def result(self) -> DataFrame:
-        return self.state.read()
+        base = self.mem.select("id", F.col("confidence").cast("double").alias("confidence"), F.col("access_count").cast("long").alias("access_count"))
+        totals = taken(self.spark, self.totals)
+        if totals is None:
+            return base
+        latest = totals.groupBy("memory_id").agg(F.max("hits").alias("hits"), F.max("seen").alias("seen"))
+        raised = dy.boosted(base, latest).select(F.col("id").alias("_id"), "new_confidence", "new_access_count")
+        return base.join(raised, F.col("id") == F.col("_id"), "left").select(
+            "id", F.coalesce("new_confidence", "confidence").alias("confidence"), F.coalesce("new_access_count", "access_count").alias("access_count"))
 
 
 class SealStream:
-    """Sealed log and chain heads per batch. Rows sealed before are skipped by id, so
-    at-least-once delivery does not fork a chain."""
+    """Sealed log and chain heads per batch. A row delivered again within the delay is met by
+    its id in Spark's keyed state, so at-least-once delivery does not fork a chain."""
+
+    def __init__(self, spark: SparkSession, folder: str, delay: str = "30 days"):
+        self.spark, self.delay = spark, delay
+        self.sealed, self.ends = f"{folder}/log", f"{folder}/heads"
+
+    def heads(self, before: int | None = None) -> DataFrame | None:
+        rows = taken(self.spark, self.ends, before)
+        return None if rows is None else rows.groupBy("tenant_id").agg(F.max("last_seq").alias("last_seq"), F.max_by("last_hash", "last_seq").alias("last_hash"))
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.log = VersionedTable(spark, f"{folder}/log")
-        self.heads = VersionedTable(spark, f"{folder}/heads")
+    def log(self) -> DataFrame | None:
+        rows = taken(self.spark, self.sealed)
+        return None if rows is None else rows.drop("batch")
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
-        known, heads = self.log.read_all(before=batch_id), self.heads.read(before=batch_id)
-        fresh = rows.dropDuplicates(["id"])
-        if known is not None:
-            fresh = fresh.join(known.select("id"), "id", "left_anti")
-        self.log.write(au.seal_chain(pin(fresh), heads), batch_id)
-        new = au.chain_heads(self.log.read(before=batch_id + 1))
-        if heads is not None:
-            new = new.unionByName(heads.join(new.select("tenant_id"), "tenant_id", "left_anti"))
-        self.heads.write(new, batch_id)
+        put(au.seal_chain(pin(rows), self.heads(batch_id)), self.sealed, batch_id)
+        put(au.chain_heads(self.spark.read.parquet(f"{self.sealed}/batch={batch_id}")), self.ends, batch_id)
 
-    def run(self, rows: DataFrame, checkpoint: str) -> None:
-        drain(rows, self.batch, checkpoint)
+    def run(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
+        return drain(arriving(rows, "created_at", self.delay, "id"), self.batch, checkpoint)
 
 
 class AdmissionStream:
@@ -157,31 +190,30 @@ class AdmissionStream:
     STORED = ["id", "tenant_id", "agent_id", "anchor_id", "session_id", "type", "content", "binding", "emb", "created_at"]
 
     def __init__(self, spark: SparkSession, mem: DataFrame, settings: DataFrame, folder: str):
-        self.mem, self.settings = mem, settings
-        self.out = VersionedTable(spark, f"{folder}/decided")
-        self.entered = VersionedTable(spark, f"{folder}/entered")
+        self.spark, self.mem, self.settings = spark, mem, settings
+        self.out, self.entered = f"{folder}/decided", f"{folder}/entered"
 
     def stored(self, before: int) -> DataFrame:
         """The beliefs as the batches below ``before`` have left them."""
         rows = self.mem.select(*self.STORED, "is_archived")
-        decided, entered = self.out.read_all(before=before), self.entered.read_all(before=before)
+        decided, entered = taken(self.spark, self.out, before), taken(self.spark, self.entered, before)
         if decided is None or entered is None:
             return rows
         gone = decided.where(F.col("decision") == "temporal").select(F.col("existing_id").alias("id"), F.lit(True).alias("_gone")).distinct()
-        every = rows.unionByName(entered.withColumn("is_archived", F.lit(False)))
+        every = rows.unionByName(entered.drop("batch").withColumn("is_archived", F.lit(False)))
         return every.join(gone, "id", "left").withColumn("is_archived", F.col("is_archived") | F.coalesce("_gone", F.lit(False))).drop("_gone")
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
         cols = ["id", "agent_id", "tenant_id", "decision", "existing_id", "sim", "tension_score", "quarantine_reason", "created_at"]
         decided = ad.decide_in_order(pin(rows), self.stored(batch_id), self.settings, recent=self.mem)
-        self.entered.write(ad.admitted_rows(decided).select(*self.STORED), batch_id)
-        self.out.write(decided.select(*cols), batch_id)
+        put(ad.admitted_rows(decided).select(*self.STORED), self.entered, batch_id)
+        put(decided.select(*cols), self.out, batch_id)
 
-    def run(self, incoming: DataFrame, checkpoint: str, delay: str = "1 day") -> None:
-        drain(incoming.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"]), self.batch, checkpoint)
+    def run(self, incoming: DataFrame, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+        return drain(arriving(incoming, "created_at", delay, "id"), self.batch, checkpoint)
 
     def result(self) -> DataFrame:
-        return self.out.read_all()
+        return taken(self.spark, self.out).drop("batch")
 
 
 PASSES = ("tuner", "expirer", "decay", "consolidation", "stats")
@@ -206,7 +238,3 @@ def run_pass(name: str, now, tables: dict[str, DataFrame], episodes_per_agent: i
     if name == "stats":
         return ln.learning_stats(t["mutation_log"], t["since"], now)
     raise ValueError(f"unknown pass {name}; one of {PASSES}")
-
-
-__all__ = ["AccessStream", "AdmissionStream", "FeedbackStream", "SealStream", "drain", "learning_stream", "run_pass", "scratch",
-           "session_expiry_stream", "session_stream", "usage_stream", "write_latest"]

@@ -14,7 +14,7 @@ SAMPLE = """recall_similarity recall_rrf recall_composed rerank_weighted list_pa
 classify_type conversation_user_memories upsert_union apply_feedback feedback_log competition decay_pass seal_chain verify_tampered
 beliefs_as_of confidence_history calibration learning_stats tune_policies adjusted_confidence reflect belief_cube entity_link_edges
 resolve_entities activate_graph recall_hybrid derived_closure prune_graph admit_decisions admit_effects expire_log policy_excess
-purge_subject_kept consolidate_beliefs form_schemas_new merge_activations spread assemble_context usage_stream feedback_stream seal_stream
+purge_subject_kept consolidate_beliefs form_schemas_new merge_activations spread assemble_context usage_stream learning_stream learning_stream_tumbling session_stream session_expiry_stream feedback_stream access_stream seal_stream
 admit_in_order admit_stream build_graph build_graph_links activate_graph_links recall_hybrid_links
 sql_functions token_rows""".split()
 NAMES = sorted(registry.CHECKS) if os.environ.get("BELIEFMILL_ALL") else SAMPLE

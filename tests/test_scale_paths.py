@@ -291,30 +291,61 @@ def test_no_recall_shows_hidden_rows(spark, tables):
         assert df.join(q.select("query_id", F.col("tenant_id").alias("qt")), "query_id").where("tenant_id <> qt").count() == 0
 
 
-def test_late_events_are_dropped_and_counted(spark, tables):
-    from beliefmill.streaming.jobs import FeedbackStream
-    from beliefmill.streaming.state import scratch
+def feed(spark, folder, run, *parts):
+    """Write the parts one after another and call ``run`` on the stream after each."""
+    out = []
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/{i}")
+        out.append(run(spark.readStream.schema(part.schema).parquet(f"{folder}/in/*")))
+    return out
 
-    job = FeedbackStream(spark, beliefs(spark), scratch(spark, "late"), delay_hours=1.0)
+
+def test_late_events_are_dropped_and_counted(spark):
+    from beliefmill.streaming.jobs import FeedbackStream, dropped, scratch, taken
+
+    folder = scratch(spark, "late")
+    job = FeedbackStream(spark, beliefs(spark), folder, delay="1 hour")
+    assert {(r["confidence"], r["reinforcement_count"]) for r in job.result().collect()} == {(0.6, 2)}
     t = lambda h: dt.datetime(2024, 1, 1, h)
     cols = "id long, memory_id long, created_at timestamp, signal_type string"
-    job.batch(spark.createDataFrame([(1, 1, t(1), "helpful"), (2, 1, t(9), "helpful")], cols), 0)
-    job.batch(spark.createDataFrame([(3, 1, t(2), "outdated"), (4, 1, t(10), "used")], cols), 1)
-    job.batch(spark.createDataFrame([(3, 1, t(2), "outdated"), (4, 1, t(10), "used")], cols), 1)  # replayed batch
-    state, _ = replay([(1, 1, t(1), "helpful"), (2, 1, t(9), "helpful"), (4, 1, t(10), "used")], 0.6, 2)
+    first = [(1, 1, t(1), "helpful"), (2, 1, t(9), "helpful")]
+    second = [(3, 1, t(2), "outdated"), (2, 1, t(9), "helpful"), (4, 1, t(10), "used"), (5, 1, t(13), "used")]
+    runs = feed(spark, folder, lambda s: job.run(s, f"{folder}/ckpt"), spark.createDataFrame(first, cols), spark.createDataFrame(second, cols))
+    state, _ = replay([(1, 1, t(1), "helpful"), (2, 1, t(9), "helpful"), (4, 1, t(10), "used")], 0.6, 2)  # 5 waits
     r = job.result().where("id = 1").first()
-    assert job.dropped() == 1 and abs(r["confidence"] - state[1][0]) < 1e-9
+    assert [dropped(q) for q in runs] == [0, 1] and abs(r["confidence"] - state[1][0]) < 1e-9 and r["reinforcement_count"] == state[1][1]
+    # a batch that comes again after a failure overwrites its own rows
+    steps = taken(spark, job.steps)
+    last = steps.agg(F.max("batch")).first()[0]
+    rest = steps.where(F.col("batch") < last).count()
+    job.batch(spark.createDataFrame([], cols), last)
+    assert taken(spark, job.steps).count() == rest
+
+
+def test_access_totals_over_batches(spark):
+    from beliefmill.streaming.jobs import AccessStream, scratch
+
+    folder = scratch(spark, "hits")
+    mem = beliefs(spark).withColumn("access_count", F.lit(3))
+    job = AccessStream(spark, mem, folder)
+    hits = spark.range(90).select((F.col("id") % 4).alias("memory_id"), F.timestamp_seconds("id").alias("ts"))
+    feed(spark, folder, lambda s: job.run(s, f"{folder}/ckpt"), hits.where("memory_id < 2"), hits.where("memory_id > 0"))
+    got = {r["id"]: (round(r["confidence"], 9), r["access_count"]) for r in job.result().collect()}
+    n = {0: 23, 1: 46, 2: 22, 3: 22}
+    assert got == {i: (round(min(0.6 + 0.02 * n.get(i, 0), 0.99), 9), 3 + n.get(i, 0)) for i in range(8)}
 
 
 def test_replayed_rows_do_not_fork_a_chain(spark):
-    from beliefmill.streaming.jobs import SealStream
-    from beliefmill.streaming.state import scratch
-
-    job = SealStream(spark, scratch(spark, "seal"))
-    rows = log(spark)
-    job.batch(rows.where("id < 30"), 0)
-    job.batch(rows.where("id >= 20"), 1)
-    out = au.verify_chain(job.log.read_all(), job.heads.read()).collect()
+    from beliefmill.streaming.jobs import SealStream, scratch
+
+    folder = scratch(spark, "seal")
+    job, rows = SealStream(spark, folder), log(spark)
+    feed(spark, folder, lambda s: job.run(s, f"{folder}/ckpt"), rows.where("id < 30"), rows.where("id >= 20"))
+    out = au.verify_chain(job.log(), job.heads()).collect()
+    assert all(r["valid"] for r in out) and sum(r["checked"] for r in out) == 60
+    # a batch sealed again starts from the heads before it
+    job.batch(rows.where("id >= 30"), spark.read.parquet(job.sealed).where("id >= 30").agg(F.max("batch")).first()[0])
+    out = au.verify_chain(job.log(), job.heads()).collect()
     assert all(r["valid"] for r in out) and sum(r["checked"] for r in out) == 60
 
 
