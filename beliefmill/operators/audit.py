@@ -74,7 +74,7 @@ def seal_chain(rows: DataFrame, heads: DataFrame | None = None, segment_rows: in
     start = heads.select(F.col("tenant_id").cast("string").alias("_tenant"), F.col("last_seq").alias("_s"), F.col("last_hash").alias("_h"))
     links = pin(numbered.join(start, "_tenant", "left").select(
         "_tenant", "id", (F.col("_n") + F.coalesce("_s", F.lit(0))).alias("seq"), F.floor((F.col("_n") - 1) / segment_rows).cast("int").alias("_seg"),
-        "_digest", F.coalesce("_h", F.lit("")).alias("_h")))
+        "_digest", F.coalesce("_h", F.lit("")).alias("_h")), split_by="_seg")
     last = links.agg(F.max("_seg")).first()[0]
     schema = T.StructType([T.StructField("_tenant", T.StringType()), T.StructField("id", links.schema["id"].dataType),
                            T.StructField("seq", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
@@ -119,16 +119,16 @@ LINK, EDIT, SNAPSHOT = ("chain link broken (seq or prev_hash mismatch)", "row ha
 
 
 def verify_chain(mlog: DataFrame, heads: DataFrame) -> DataFrame:
-    """Per tenant: valid, checked, break_seq, reason. Every row is checked against
-    its predecessor by an equi-join on (tenant, seq), so long chains spread over
-    all tasks; the first break is a minimum."""
+    """Per tenant: valid, checked, break_seq, reason. Rows are hashed once and written as
+    digests; every row is checked against its predecessor by an equi-join on (tenant, seq), so
+    long chains spread over all tasks; the first break is a minimum."""
     tenant = F.coalesce(F.col("tenant_id").cast("string"), F.lit(NO_TENANT))
     snap = F.col("content_snapshot").isNotNull() & (F.coalesce("content_hash", F.lit("")) != "") & (F.sha2("content_snapshot", 256) != F.col("content_hash"))
     local = mlog.select(tenant.alias("t"), "seq", F.coalesce("prev_hash", F.lit("")).alias("prev"), F.coalesce("row_hash", F.lit("")).alias("hash"),
                         (row_hash(mlog) != F.coalesce("row_hash", F.lit(""))).alias("edited"), F.coalesce(snap, F.lit(False)).alias("snap"))
     # a duplicated seq counts as a broken link
-    rows = local.groupBy("t", "seq").agg(F.count("*").alias("n"), F.min("prev").alias("prev"), F.max("hash").alias("hash"),
-                                         F.max("edited").alias("edited"), F.max("snap").alias("snap"))
+    rows = pin(local.groupBy("t", "seq").agg(F.count("*").alias("n"), F.min("prev").alias("prev"), F.max("hash").alias("hash"),
+                                             F.max("edited").alias("edited"), F.max("snap").alias("snap")))
     before = rows.select("t", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("want"))
     joined = rows.join(before, ["t", "seq"], "left")
     linked = F.when(F.col("seq") == 1, F.col("prev") == "").otherwise(F.coalesce(F.col("want") == F.col("prev"), F.lit(False))) & (F.col("n") == 1)

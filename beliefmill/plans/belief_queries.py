@@ -395,8 +395,8 @@ def enumeration_memories(t):
     return cv.enumeration_memories(turns).select(F.col("conv_id").alias("id"), "provenance")
 
 
-FACTS = """facts AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS source, CASE WHEN turn % 4 = 3 THEN '  ' ELSE text END AS content,
-  CASE WHEN turn % 3 = 0 THEN 'decision' ELSE 'gossip' END AS type, CASE turn % 3 WHEN 1 THEN 'implicit_inference' ELSE 'nonsense' END AS evidence, CASE WHEN turn % 5 = 0 THEN 0.66 ELSE 0 END::FLOAT AS confidence FROM turns WHERE role <> 'user')"""
+FACTS = """facts AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS source, CASE WHEN turn % 4 = 3 OR conv_id % 5 = 0 THEN '  ' ELSE text END AS content,
+  CASE WHEN turn % 3 = 0 THEN 'decision' ELSE 'gossip' END AS type, CASE turn % 3 WHEN 1 THEN 'implicit_inference' ELSE 'nonsense' END AS evidence, CASE WHEN turn % 5 = 0 THEN 0.66 ELSE 0 END::FLOAT AS confidence FROM turns)"""
 
 
 @query("ingest_facts", "turns", f"""
@@ -407,9 +407,9 @@ def ingest_facts(t):
 
 
 def _facts(t):
-    return t.turns.where(F.col("role") != "user").select(
+    return t.turns.select(
         "conv_id", F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("source"),
-        F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.col("text")).alias("content"),
+        F.when((F.col("turn") % 4 == 3) | (F.col("conv_id") % 5 == 0), "  ").otherwise(F.col("text")).alias("content"),
         F.when(F.col("turn") % 3 == 0, "decision").otherwise("gossip").alias("type"),
         F.when(F.col("turn") % 3 == 1, "implicit_inference").otherwise("nonsense").alias("evidence"),
         F.when(F.col("turn") % 5 == 0, 0.66).otherwise(0.0).cast("float").alias("confidence"))

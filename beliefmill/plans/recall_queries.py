@@ -64,15 +64,24 @@ def relative_recency(t):
     return rc.relative_recency(rc.recall_scope(t.mem)).select("id", r6("rr", "rr"))
 
 
-@query("recall_exhaustive", "mem vecs queries", f"""
+EVERY = f"""
 WITH s AS (SELECT q.query_id, m.id, list_inner_product(v.emb, q.vec::DOUBLE[]) AS score {FROM} WHERE {OPEN}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.25)
-SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 500""")
+SELECT query_id, id, rank, round(score, 6) AS score FROM r"""
+
+
+@query("recall_exhaustive", "mem vecs queries", f"{EVERY} WHERE rank <= 500")
 def recall_exhaustive(t):
     return rc.recall_exhaustive(t.memv, t.queries, max_results=500).select(
         "query_id", "id", F.col("rank").cast("long").alias("rank"), r6("score", "score"))
 
 
+@query("recall_exhaustive_all", "mem vecs queries", EVERY.replace("id, rank, round", "id, round"))
+def recall_exhaustive_all(t):
+    """All rows above the least similarity."""
+    return rc.recall_exhaustive(t.memv, t.queries).select("query_id", "id", r6("score", "score"))
+
+
 STOP = "['a','an','and','are','as','at','be','by','for','in','is','it','not','of','on','or','that','the','to','with']"
 TOK = f"list_filter(regexp_split_to_array(lower(%s), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains({STOP}, w))"
 WORDS = stems_sql(TOK.replace("%s", "text"))
