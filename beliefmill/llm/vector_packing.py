@@ -18,6 +18,7 @@ no rows. Only the named columns are read.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from beliefmill.session import shuffle_width
 
 TOKENS, SEGMENTS = 2048, 512
 CHUNK_ROWS = 4096
-CACHE_WORDS = 1_000_000
+CACHE_BYTES = 64 << 20  # of words and their ids, a Python worker
 # Fixed value: how the vocabulary splits a normalised text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 1
@@ -57,6 +58,7 @@ class WordTokens:
         self.vocabulary = Vocabulary(path)
         self.split = regex.compile(SPLIT)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str] | None:
         """The words of a normalised text; None if it is one for the library."""
@@ -73,14 +75,16 @@ class WordTokens:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of whole texts."""
         with no_collector():
-            if len(self.known) > CACHE_WORDS:
-                self.known = {}
+            if self.held > CACHE_BYTES:
+                self.known, self.held = {}, 0
             words = [self.words(t) for t in texts]
             new: set[str] = set()
             for w in words:
                 new.update(w or ())
             if new := new - self.known.keys():
-                self.known |= self.vocabulary.ids_of(list(new))
+                found = self.vocabulary.ids_of(list(new))
+                self.known |= found
+                self.held += sum(map(sys.getsizeof, found)) + sum(map(sys.getsizeof, found.values())) + 100 * len(found)
             join, get = b"".join, self.known.__getitem__
             return [self.library(t) if w is None else join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 

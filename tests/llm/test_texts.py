@@ -342,7 +342,7 @@ def test_tokenizers_agree_on_odd_texts(monkeypatch):
     texts = [odd_text(rng) for _ in range(1500)]
     byte, word = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
     monkeypatch.setattr(bpe_pairs, "CACHE_WORDS", 50)
-    monkeypatch.setattr(vector_packing, "CACHE_WORDS", 50)
+    monkeypatch.setattr(vector_packing, "CACHE_BYTES", 5000)
     a, b = bpe_pairs.Vocabulary(BYTES), vector_packing.WordTokens(WORDS)
     for lo in range(0, len(texts), 100):
         own = texts[lo : lo + 100]
