@@ -18,8 +18,9 @@ from beliefmill.session import instant, pin
 
 NO_TENANT = "00000000-0000-0000-0000-000000000000"
 SEGMENT_ROWS = 2_000_000
+CANONICAL_SEGMENT_ROWS = 50_000
 
-# Order of the sealed fields; confidences count in millionths, times in microseconds.
+# Order of the sealed fields in both forms.
 BODY = ["memory_id", "agent_id", "tenant_id", "mutation_type", "source_type", "source_id", "old_confidence", "new_confidence",
         "old_reinforcement_count", "new_reinforcement_count", "reason", "metadata", "content_hash", "content_snapshot",
         "actor_type", "actor_id", "anchor_id", "binding", "created_at"]
@@ -38,7 +39,8 @@ def _text(df: DataFrame, name: str) -> Column:
 
 
 def body_digest(df: DataFrame) -> Column:
-    """sha256 over length-prefixed fields; null ('-') differs from the empty text ('0:')."""
+    """sha256 over length-prefixed fields; null ('-') differs from the empty text ('0:').
+    Confidences count in millionths, times in microseconds."""
     parts = []
     for n in BODY:
         x = _text(df, n)
@@ -46,6 +48,74 @@ def body_digest(df: DataFrame) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def _plain_number(name: str, exponents: bool) -> Column:
+    """A 4-byte real in its shortest form without trailing zeros: as a number of a JSON
+    document (0.00001), or as plain text, which turns to exponents below 0.0001 (1e-05)."""
+    x = F.col(name).cast("float").cast("string")
+    plain = F.col(name).cast("float").cast("string").cast("decimal(38,18)").cast("string")
+    plain = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
+    plain = F.when(F.col(name).cast("float") == 0, F.lit("0")).otherwise(plain)
+    if not exponents:
+        return plain
+    small = F.regexp_replace(F.regexp_replace(x, r"\.0E", "E"), "E-([0-9])$", "E-0$1")
+    size = F.abs(F.col(name).cast("float"))
+    return F.when((size > 0) & (size < F.lit(0.0001).cast("float")), F.lower(small)).otherwise(plain)
+
+
+def _epoch(name: str) -> Column:
+    """Seconds since 1970 with six decimals."""
+    return (F.unix_micros(name).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(26,6)").cast("string")
+
+
+def _json_text(x: Column) -> Column:
+    """A JSON string that escapes quotes, backslashes and control characters alone."""
+    x = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    # the rare controls are looked for only in texts that hold one
+    odd = x
+    for code in range(1, 32):
+        odd = F.replace(odd, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(x.rlike("[\\x01-\\x1f]"), odd).otherwise(x), F.lit('"'))
+
+
+def json_body(df: DataFrame) -> Column:
+    """The sealed fields as the elements of a JSON array, separated by comma and blank; null is
+    ``null``. ``metadata`` is taken as the text of a JSON document, as the log's database prints it."""
+    def one(n):
+        if n not in df.columns:
+            return F.lit("null")
+        if n in ("old_confidence", "new_confidence"):
+            x = _plain_number(n, False)
+        elif n == "created_at":
+            x = F.concat(F.lit('"'), _epoch(n), F.lit('"'))
+        elif n in ("old_reinforcement_count", "new_reinforcement_count", "metadata"):
+            x = F.col(n).cast("string")
+        else:
+            x = _json_text(F.col(n).cast("string"))
+        return F.coalesce(x, F.lit("null"))
+
+    return F.concat_ws(", ", *[one(n) for n in BODY])
+
+
+def pipe_text(df: DataFrame) -> Column:
+    """The first form: seq, prev_hash and twelve fields between bars; only the two types are left out when null."""
+    def one(n):
+        if n not in df.columns:
+            return F.lit(None).cast("string") if n in ("mutation_type", "source_type") else F.lit("")
+        x = _plain_number(n, True) if n in ("old_confidence", "new_confidence") else _epoch(n) if n == "created_at" else F.col(n).cast("string")
+        return x if n in ("mutation_type", "source_type") else F.coalesce(x, F.lit(""))
+
+    return F.concat_ws("|", F.col("seq").cast("string"), "prev_hash", *[one(n) for n in FIRST_VERSION])
+
+
+def canonical_hash(df: DataFrame) -> Column:
+    """Row hash of logs sealed by a database trigger: version 2 and later hash a JSON array,
+    version 1 a text between bars. Every row holds its prev_hash, so rows are hashed in parallel."""
+    prev = F.coalesce(_json_text(F.col("prev_hash")), F.lit("null"))
+    array = F.concat(F.lit("["), F.col("hash_version").cast("string"), F.lit(", "), F.col("seq").cast("string"), F.lit(", "), prev, F.lit(", "), json_body(df), F.lit("]"))
+    return F.when(F.col("hash_version") >= 2, F.sha2(array, 256)).otherwise(F.sha2(pipe_text(df), 256))
+
+
 def first_version_text(df: DataFrame, prev: Column) -> Column:
     return F.concat_ws("|", F.col("seq").cast("string"), prev, *[F.coalesce(_text(df, n), F.lit("")) for n in FIRST_VERSION])
 
@@ -56,7 +126,13 @@ def row_hash(df: DataFrame) -> Column:
     return F.when(F.col("hash_version") >= 2, second).otherwise(F.sha2(first_version_text(df, prev), 256))
 
 
-def seal_chain(rows: DataFrame, heads: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def seal_canonical(rows: DataFrame, heads: DataFrame | None = None, segment_rows: int = CANONICAL_SEGMENT_ROWS) -> DataFrame:
+    """``seal_chain`` in the form of ``canonical_hash``. There the previous hash stands before
+    the body, so whole bodies travel to the linking task: segments hold fewer rows."""
+    return seal_chain(rows, heads, segment_rows, canonical=True)
+
+
+def seal_chain(rows: DataFrame, heads: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS, canonical: bool = False) -> DataFrame:
     """Rows with seq, prev_hash, row_hash in (created_at, id) order per tenant.
 
     Linking is serial by nature, but only over (seq, digest): the bodies are
@@ -68,7 +144,7 @@ def seal_chain(rows: DataFrame, heads: DataFrame | None = None, segment_rows: in
     # only ids and times are numbered; the bodies are hashed where they are and
     # travel as digests
     numbered = number_rows(rows.select("_tenant", "id", "created_at"), ["_tenant"], [F.asc("created_at"), F.asc("id")], "_n")
-    numbered = numbered.select("_tenant", "id", "_n").join(rows.select("_tenant", "id", body_digest(rows).alias("_digest")), ["_tenant", "id"])
+    numbered = numbered.select("_tenant", "id", "_n").join(rows.select("_tenant", "id", (json_body(rows) if canonical else body_digest(rows)).alias("_digest")), ["_tenant", "id"])
     if heads is None:
         heads = rows.sparkSession.createDataFrame([], "tenant_id string, last_seq long, last_hash string")
     start = heads.select(F.col("tenant_id").cast("string").alias("_tenant"), F.col("last_seq").alias("_s"), F.col("last_hash").alias("_h"))
@@ -87,7 +163,8 @@ def seal_chain(rows: DataFrame, heads: DataFrame | None = None, segment_rows: in
         before, after = [], []
         for n, digest in zip(seg.column("seq").to_pylist(), seg.column("_digest").to_pylist()):
             before.append(prev)
-            prev = hashlib.sha256(f"2|{n}|{prev}|{digest}".encode()).hexdigest()
+            text = f'[2, {n}, "{prev}", {digest}]' if canonical else f"2|{n}|{prev}|{digest}"
+            prev = hashlib.sha256(text.encode()).hexdigest()
             after.append(prev)
         return pa.table({"_tenant": seg.column("_tenant"), "id": seg.column("id"), "seq": seg.column("seq"),
                          "prev_hash": pa.array(before), "row_hash": pa.array(after)})
@@ -118,14 +195,15 @@ LINK, EDIT, SNAPSHOT = ("chain link broken (seq or prev_hash mismatch)", "row ha
                         "content_snapshot does not match sealed content_hash")
 
 
-def verify_chain(mlog: DataFrame, heads: DataFrame) -> DataFrame:
-    """Per tenant: valid, checked, break_seq, reason. Rows are hashed once and written as
+def verify_chain(mlog: DataFrame, heads: DataFrame, canonical: bool = False) -> DataFrame:
+    """Per tenant: valid, checked, break_seq, reason; ``canonical`` for logs hashed by
+    ``canonical_hash``. Rows are hashed once and written as
     digests; every row is checked against its predecessor by an equi-join on (tenant, seq), so
     long chains spread over all tasks; the first break is a minimum."""
     tenant = F.coalesce(F.col("tenant_id").cast("string"), F.lit(NO_TENANT))
     snap = F.col("content_snapshot").isNotNull() & (F.coalesce("content_hash", F.lit("")) != "") & (F.sha2("content_snapshot", 256) != F.col("content_hash"))
     local = mlog.select(tenant.alias("t"), "seq", F.coalesce("prev_hash", F.lit("")).alias("prev"), F.coalesce("row_hash", F.lit("")).alias("hash"),
-                        (row_hash(mlog) != F.coalesce("row_hash", F.lit(""))).alias("edited"), F.coalesce(snap, F.lit(False)).alias("snap"))
+                        ((canonical_hash(mlog) if canonical else row_hash(mlog)) != F.coalesce("row_hash", F.lit(""))).alias("edited"), F.coalesce(snap, F.lit(False)).alias("snap"))
     # a duplicated seq counts as a broken link
     rows = pin(local.groupBy("t", "seq").agg(F.count("*").alias("n"), F.min("prev").alias("prev"), F.max("hash").alias("hash"),
                                              F.max("edited").alias("edited"), F.max("snap").alias("snap")))

@@ -65,6 +65,35 @@ def verify_tampered(t):
     return au.verify_chain(bad, heads)
 
 
+def _js(x):
+    return f"coalesce(to_json({x})::VARCHAR, 'null')"
+
+
+# every sealed field as an element of a JSON array; confidences are short decimals here
+JS = " || ', ' || ".join([_js("memory_id::VARCHAR"), _js("agent_id::VARCHAR"), _js("tenant_id::VARCHAR"), _js("mutation_type"), _js("source_type"), "'null'",
+                          "coalesce(regexp_replace(old_confidence::VARCHAR, '\\.0$', ''), 'null')", "coalesce(regexp_replace(new_confidence::VARCHAR, '\\.0$', ''), 'null')", "'null'", "'null'", _js("reason"), "'null'",
+                          _js("content_hash"), _js("content_snapshot"), "'null'", "'null'", "'null'", "'null'",
+                          "'\"' || (epoch_us(created_at)::DECIMAL(26, 0) / 1000000)::DECIMAL(26, 6)::VARCHAR || '\"'"])
+CANON = f"""cb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, id) AS seq, {JS} AS body FROM mlog),
+cc AS (SELECT tenant_id, seq, '' AS prev_hash, sha256('[2, ' || seq || ', "", ' || body || ']') AS row_hash FROM cb WHERE seq = 1
+  UNION ALL SELECT n.tenant_id, n.seq, c.row_hash, sha256('[2, ' || n.seq || ', "' || c.row_hash || '", ' || n.body || ']') FROM cc c JOIN cb n ON n.tenant_id = c.tenant_id AND n.seq = c.seq + 1)"""
+
+
+@query("seal_canonical", "mlog", f"WITH RECURSIVE {CANON} SELECT n.id, n.seq, c.prev_hash, c.row_hash FROM cc c JOIN cb n ON n.tenant_id = c.tenant_id AND n.seq = c.seq")
+def seal_canonical(t):
+    return au.seal_canonical(t.mlog).select("id", "seq", "prev_hash", "row_hash")
+
+
+@query("verify_canonical", "mlog", f"""
+SELECT tenant_id::VARCHAR AS tenant_id, tenant_id > 1 AS valid, CASE tenant_id WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE count(*) END::BIGINT AS checked, CASE tenant_id WHEN 0 THEN 5 WHEN 1 THEN 7 END::BIGINT AS break_seq,
+ CASE tenant_id WHEN 0 THEN '{au.EDIT}' WHEN 1 THEN '{au.LINK}' END AS reason FROM mlog GROUP BY mlog.tenant_id""")
+def verify_canonical(t):
+    """Tenant 0: an edited row; tenant 1: a seq that stands twice; the others are whole."""
+    s = au.seal_canonical(t.mlog)
+    bad = s.withColumn("reason", F.when((F.col("tenant_id") == 0) & (F.col("seq") == 5), "edited").otherwise(F.col("reason")))
+    return au.verify_chain(bad.unionByName(bad.where("tenant_id = 1 AND seq = 7")), au.chain_heads(s), canonical=True)
+
+
 @query("chain_tail", "mlog", f"WITH {NUMBERED} SELECT tenant_id, id, seq FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq DESC) AS rk FROM nb) x WHERE rk <= 100")
 def chain_tail(t):
     return au.chain_tail(au.seal_chain(t.mlog), 100).select("tenant_id", "id", "seq")

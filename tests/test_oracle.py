@@ -16,6 +16,7 @@ beliefs_as_of confidence_history calibration learning_stats tune_policies adjust
 resolve_entities activate_graph recall_hybrid derived_closure prune_graph admit_decisions admit_effects expire_log policy_excess
 purge_subject_kept consolidate_beliefs form_schemas_new merge_activations spread assemble_context usage_stream learning_stream learning_stream_tumbling session_stream session_expiry_stream feedback_stream access_stream seal_stream
 admit_in_order admit_stream build_graph build_graph_links activate_graph_links recall_hybrid_links
+match_schemas active_schemas seal_canonical verify_canonical
 sql_functions token_rows""".split()
 NAMES = sorted(registry.CHECKS) if os.environ.get("BELIEFMILL_ALL") else SAMPLE
 
