@@ -31,6 +31,7 @@ from beliefmill.session import prepare_checkpoints
 
 REVISIT_BYTES = 1000
 FILE_RECORDS = 2000  # keeps an archive to a size that one task reads
+PIECE = 1 << 14
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,13 +114,16 @@ def _record(data, at: int) -> tuple[dict[str, str], bytes, int] | str:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Content and end of the gzip member at ``at``."""
-    inflate = zlib.decompressobj(31)
+    """Content and end of the gzip member at ``at``, fed in pieces so that what lies behind a
+    small member is not copied."""
+    inflate, view, parts = zlib.decompressobj(31), memoryview(data), []
     try:
-        content = inflate.decompress(data[at:])
+        while at < len(data) and not inflate.eof:
+            parts.append(inflate.decompress(view[at : at + PIECE]))
+            at = min(at + PIECE, len(data))
     except zlib.error as e:
         return f"bad member: {e}"
-    return (content, len(data) - len(inflate.unused_data)) if inflate.eof else "member does not end"
+    return (b"".join(parts), at - len(inflate.unused_data)) if inflate.eof else "member does not end"
 
 
 def salvage(data: bytes, base: int = 0, packed: bool = True) -> Iterator[tuple]:
@@ -194,11 +198,12 @@ def read(spark, path: str, payloads: bool = False) -> DataFrame:
 
 def archive_report(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder, read them back, and resolve revisits:
-    page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    page_id, payload_bytes, payload_digest, record_type, refers_to. The records are written
+    plain, so that damage costs the records it touches and not a whole archive."""
     spark = pages.sparkSession
     prepare_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    write(pages, path, compression="gzip")
+    write(pages, path)
     number = lambda c: F.expr(rf"try_cast(regexp_extract({c}, r'^<urn:page:(-?\d+)>$', 1) as bigint)")
     rows = read(spark, path).where("kind = 'record'").select(number("record_id").alias("page_id"), "record_type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "stated_digest")
     full = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("full_bytes")).distinct()

@@ -127,6 +127,16 @@ def test_salvage():
     assert names(z[0][:-9] + z[2]) == ["gap", "c"] and names(z[0] + z[1][:-5]) == ["a", "gap"]
 
 
+def test_many_members_with_damage():
+    rng = np.random.default_rng(3)
+    bodies = [rng.bytes(int(n)) for n in rng.integers(0, 60_000, 300)]  # some above a piece
+    z = [bytearray(gzip.compress(record(b, str(i)))) for i, b in enumerate(bodies)]
+    for i in (0, 7, 8, 150, 299):
+        z[i][len(z[i]) // 2] ^= 0xFF
+    got = names(b"".join(map(bytes, z)))
+    assert [x for x in got if x != "gap"] == [str(i) for i in range(300) if i not in (0, 7, 8, 150, 299)] and got.count("gap") == 4
+
+
 PAGE = "page_id long, url string, html string, payload_bytes long, digest string, block string"
 
 
