@@ -6,7 +6,8 @@ line end closes a record, so archives can go to any store that Spark writes to.
 
 The reader checks every record (version line, headers, length, closing line ends, block
 digest if stated) and gzip members (checksum). After a failed check it searches for the next
-version line or member that passes, and logs the bytes between as a gap.
+version line or member that passes, and logs the bytes between as a gap. Records that a
+broken member holds whole before its fault are kept if their own digest holds.
 
 Defined results: a null html is an empty payload; a null url or page_id is written without the
 header or as ``null``; repeated rows of a page are separate records; an empty table makes
@@ -54,8 +55,8 @@ def records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, compression: str = "none") -> None:
-    """Write archives below ``path``; with ``gzip`` each archive is one member, smaller but lost
-    as a whole if damaged."""
+    """Write archives below ``path``; with ``gzip`` each archive is one member, smaller, but lost
+    from the first fault on if damaged."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     again = F.col("refers_to").isNotNull()
@@ -126,10 +127,37 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
     return (b"".join(parts), at - len(inflate.unused_data)) if inflate.eof else "member does not end"
 
 
-def salvage(data: bytes, base: int = 0, packed: bool = True) -> Iterator[tuple]:
+def _before_fault(data: bytes, at: int) -> bytes:
+    """What a broken gzip member holds before its fault, to the byte."""
+    inflate, view, parts = zlib.decompressobj(31), memoryview(data), []
+    while at < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            parts.append(inflate.decompress(view[at : at + PIECE]))
+        except zlib.error:
+            try:
+                for i in range(at, at + PIECE):
+                    parts.append(before.decompress(view[i : i + 1]))
+            except zlib.error:
+                break
+        at += PIECE
+    return b"".join(parts)
+
+
+def salvage(data: bytes, base: int = 0, packed: bool = True, partial: bool = False) -> Iterator[tuple]:
     """("record", offset, length, headers, block) and ("gap", offset, length, reason, None) in
-    order, together covering all bytes. Offsets of records in a member are the member's."""
+    order, together covering all bytes. Offsets of records in a member are the member's.
+    ``partial`` also gives, at the place of their gap, the whole records that a broken member
+    holds before its fault, if they state a digest of their block and it is theirs."""
     at, bad, reason = 0, -1, ""
+    saved: list[tuple] = []
+
+    def gap(end: int) -> Iterator[tuple]:
+        place = base + bad, end - bad
+        yield from (("record", *place, *x) for x in saved)
+        yield "gap", *place, reason + (f"; {len(saved)} records before the fault kept" if saved else ""), None
+        saved.clear()
+
     while at < len(data):
         member = packed and data[at : at + 3] == b"\x1f\x8b\x08"
         found = _member(data, at) if member else _record(data, at)
@@ -138,11 +166,13 @@ def salvage(data: bytes, base: int = 0, packed: bool = True) -> Iterator[tuple]:
         if isinstance(found, str):
             if bad < 0:
                 bad, reason = at, found
+            if member and partial and VERSION_LINE.match(content := _before_fault(data, at)):
+                saved += [x[3:] for x in salvage(content, packed=False) if x[0] == "record" and "warc-block-digest" in x[3]]
             hit = NEXT.search(data, at + 1)
             at = hit.start() if hit else len(data)
             continue
         if bad >= 0:
-            yield "gap", base + bad, at - bad, reason, None
+            yield from gap(at)
             bad = -1
         if member:
             content, end = found
@@ -153,7 +183,7 @@ def salvage(data: bytes, base: int = 0, packed: bool = True) -> Iterator[tuple]:
             yield "record", base + at, end - at, headers, block
         at = end
     if bad >= 0:
-        yield "gap", base + bad, len(data) - bad, reason, None
+        yield from gap(len(data))
 
 
 TEXTS, NUMBERS = T.StringType(), T.LongType()
@@ -176,7 +206,7 @@ def read(spark, path: str, payloads: bool = False) -> DataFrame:
                 def full(out=out) -> pa.RecordBatch:
                     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema.names)
 
-                for kind, at, n, head, block in salvage(batch.column("content")[i].as_py()):
+                for kind, at, n, head, block in salvage(batch.column("content")[i].as_py(), partial=True):
                     if kind == "gap":
                         out.append((name, kind, at, n, head, *[None] * (7 + payloads)))
                         continue
@@ -198,12 +228,12 @@ def read(spark, path: str, payloads: bool = False) -> DataFrame:
 
 def archive_report(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder, read them back, and resolve revisits:
-    page_id, payload_bytes, payload_digest, record_type, refers_to. The records are written
-    plain, so that damage costs the records it touches and not a whole archive."""
+    page_id, payload_bytes, payload_digest, record_type, refers_to. Of a damaged
+    archive the reader keeps the records before the fault."""
     spark = pages.sparkSession
     prepare_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    write(pages, path)
+    write(pages, path, compression="gzip")
     number = lambda c: F.expr(rf"try_cast(regexp_extract({c}, r'^<urn:page:(-?\d+)>$', 1) as bigint)")
     rows = read(spark, path).where("kind = 'record'").select(number("record_id").alias("page_id"), "record_type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "stated_digest")
     full = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), F.col("payload_bytes").alias("full_bytes")).distinct()

@@ -137,6 +137,31 @@ def test_many_members_with_damage():
     assert [x for x in got if x != "gap"] == [str(i) for i in range(300) if i not in (0, 7, 8, 150, 299)] and got.count("gap") == 4
 
 
+def test_broken_member_keeps_records_before_the_fault(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    warc.write(pages.coalesce(1), str(tmp_path / "w"), compression="gzip")
+    (path,) = (tmp_path / "w").glob("part-*")
+    whole, n = path.read_bytes(), pages.count()
+
+    def kept(data):
+        (tmp_path / "d").mkdir(exist_ok=True)
+        (tmp_path / "d" / "x.gz").write_bytes(data)
+        out = warc.read(spark, str(tmp_path / "d"), payloads=True).collect()
+        assert sum(r.kind == "gap" for r in out) == (data != whole)
+        return {(r.record_id, r.payload) for r in out if r.kind == "record"}
+
+    every = kept(whole)
+    assert len(every) == n
+    cut = kept(whole[:-9])
+    assert cut <= every and len(cut) >= n - 1
+    flipped = bytearray(whole)
+    flipped[2 * len(whole) // 3] ^= 0x10
+    some = kept(bytes(flipped))
+    assert some <= every and len(some) >= n // 2
+    undigested = gzip.compress(record(b"x" * 50, "a", digest=False))[:-5]
+    assert [k for k, *_ in warc.salvage(undigested, partial=True)] == ["gap"]
+
+
 PAGE = "page_id long, url string, html string, payload_bytes long, digest string, block string"
 
 
