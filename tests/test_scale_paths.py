@@ -40,6 +40,32 @@ def test_blocked_threshold_join_is_exact(spark, theta):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_scattered_rows_are_not_sent_to_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+
+    def routed(*_):
+        raise AssertionError("a row would go to nearly all cells")
+
+    monkeypatch.setattr(sm, "_route", routed)
+    got = sm.match_blocks(frame(spark, v, "lid", "lvec"), frame(spark, v, "rid", "rvec"), ["k"], 0.5, k=3, block_rows=64, n_pivots=16)
+    have = {}
+    for r in got.collect():
+        have.setdefault(r["lid"], []).append((r["rank"], r["rid"]))
+    s = np.round(v @ v.T, 12)
+    assert {i: [j for _, j in sorted(x)] for i, x in have.items()} == {i: sorted((j for j in range(900) if s[i, j] >= 0.5), key=lambda j: (-s[i, j], j))[:3] for i in range(900)}
+
+
+def test_clustered_rows_are_routed_and_matched_exactly(spark):
+    rng = np.random.default_rng(6)
+    v = np.repeat(np.eye(12), 75, axis=0) + rng.normal(scale=0.01, size=(900, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = sm.match_blocks(frame(spark, v, "lid", "lvec"), frame(spark, v, "rid", "rvec"), ["k"], 0.9, block_rows=64, n_pivots=16)
+    s = np.round(v @ v.T, 12)
+    assert sorted((r["lid"], r["rid"]) for r in got.collect()) == [(i, j) for i in range(900) for j in range(900) if s[i, j] >= 0.9]
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_blocked_top_k_with_copies_is_exact(spark, block):
     v = vectors(120, copies=40)
