@@ -92,14 +92,18 @@ def symmetrise(t):
     return edges3(gr.symmetrise(t.edges))
 
 
-@query("build_graph", "mem vecs edges", f"""
-WITH {LIVEV}, {CAND},
+@query("build_graph", "mem vecs mentions edges", f"""
+WITH {MW}, {LIVEV}, {CAND},
 th AS (SELECT a.id AS source_id, b.id AS target_id, list_cosine_similarity(a.emb, b.emb) AS strength FROM lv a JOIN lv b ON a.agent_id = b.agent_id AND a.tenant_id = b.tenant_id AND a.id <> b.id WHERE list_cosine_similarity(a.emb, b.emb) >= 0.8),
 al AS (SELECT source_id, target_id, 'thematic' AS relation_type, strength FROM th
  UNION ALL SELECT e.source_id, e.target_id, e.relation_type, e.strength::DOUBLE FROM edges e WHERE EXISTS (SELECT 1 FROM cd WHERE lid = e.source_id AND rid = e.target_id))
-SELECT source_id, target_id, relation_type, round(strength, 6) AS strength FROM {SYMM % ('al', 'al')} s""")
+SELECT source_id, target_id, relation_type, round(strength, 6) AS strength, NULL::BIGINT AS entity_id FROM {SYMM % ('al', 'al')} s
+UNION ALL SELECT memory_id, NULL, 'entity_link', round(sqrt(w), 6), entity_id FROM mw""")
 def build_graph(t):
-    return edges3(gr.build_graph(t.memv, t.mentions, t.edges)[0])
+    # all shared-entity links come as factors: a belief without target, its half of the strength, and its entity
+    edges, factors = gr.build_graph(t.memv, t.mentions, t.edges)
+    links = factors.select(F.col("memory_id").alias("source_id"), F.lit(None).cast("long").alias("target_id"), F.lit("entity_link").alias("relation_type"), r6("half", "strength"), "entity_id")
+    return edges3(edges).withColumn("entity_id", F.lit(None).cast("long")).unionByName(links)
 
 
 @query("build_graph_links", "mentions", f"WITH {MW} SELECT memory_id, entity_id, round(sqrt(w), 6) AS half FROM mw")

@@ -391,3 +391,28 @@ def test_large_query_set_keeps_negative_scores(spark):
     asked = spark.createDataFrame([(1, 0, 0, [1.0, 0.0]), (2, 0, 0, [1.0, 0.0])], "query_id long, tenant_id long, agent_id long, vec array<double>")
     for most in (1, 10):
         assert sorted(r["score"] for r in score_queries(rows, asked, k=1, cosine=False, max_shipped=most).collect()) == [-3.0, -3.0]
+
+
+def test_build_graph_gives_every_shared_entity_link(spark, tables):
+    from beliefmill.plans import registry
+
+    registry.load_all()
+    got = registry.QUERIES["build_graph"](spark, tables.dir).where("entity_id IS NOT NULL")
+    assert {(r.source_id, r.entity_id) for r in got.collect()} == {(r.memory_id, r.entity_id) for r in tables.mentions.collect()}
+
+
+def test_schema_evidence_moves_no_pairs(spark, tables):
+    from beliefmill.plans import registry
+
+    registry.load_all()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.QUERIES["schema_evidence"](spark, tables.dir)
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # from the top down, the contents are the only side that is dealt out above the pairs
+    lines = [line.strip(" :+-*") for line in plan.splitlines()]
+    top = next(i for i, line in enumerate(lines) if "ShuffledHashJoin" in line and "type" in line)
+    pairs = next(i for i, line in enumerate(lines) if "BroadcastHashJoin" in line and "label" in line)
+    assert not any("Exchange hashpartitioning" in line for line in lines[top:pairs])
