@@ -201,9 +201,17 @@ def marker_score(text: Column, markers: list[str]) -> Column:
 
 def tension(sim: Column, incoming: Column) -> Column:
     """Struct (kind, score, ambiguous) for one existing/incoming pair."""
+    return tension_of(sim, *markers(incoming))
+
+
+def markers(incoming: Column) -> tuple[Column, Column]:
+    """Temporal and negation score of a text, all that a tension depends on but the similarity."""
     text = F.lower(F.trim(incoming))
-    temporal = marker_score(text, lx.TEMPORAL_MARKERS)
-    negation = marker_score(text, lx.NEGATION_MARKERS)
+    return marker_score(text, lx.TEMPORAL_MARKERS), marker_score(text, lx.NEGATION_MARKERS)
+
+
+def tension_of(sim: Column, temporal: Column, negation: Column) -> Column:
+    """``tension`` from the scores of ``markers``."""
     in_zone = sim.isNotNull() & (sim >= 0.5) & (sim < 0.85)
     kind = (
         F.when(~in_zone, "none")

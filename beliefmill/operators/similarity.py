@@ -203,7 +203,7 @@ def _blocks(n, least: int, most: int):
 
 def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: float, *, k: int | None = None,
                  order: str = "sim", cosine: bool = True, bonus: str | None = None, drop_self: bool = False,
-                 one_way: bool = False, band: bool = False, before: bool = False,
+                 one_way: bool = False, band: bool = False, before: bool = False, carry: tuple[str, ...] = (),
                  count_on: tuple[DataFrame, DataFrame] | None = None, block_rows: int = BLOCK_ROWS,
                  n_pivots: int = PIVOTS) -> DataFrame:
     """Pairs (lid, rid, sim) with similarity >= theta and equal keys.
@@ -213,16 +213,19 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
     keeps pairs with lid < rid; ``band`` limits each left row to its own
     similarity range [lfloor, lcap). ``before`` keeps pairs with ``rat`` < ``lat``,
     of equal similarity those of smallest rat first, and adds rat. ``count_on`` names cheaper tables, with at
-    least as many rows per key, to take the group sizes from.
+    least as many rows per key, to take the group sizes from. ``carry`` names columns of the
+    left rows that pairs bring along, so that no join has to bring them to all pairs.
     """
     if not keys:
         left, right, keys = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0)), ["_all"]
     by_ord = order == "rord"
     if before and (by_ord or bonus or drop_self):
         raise ValueError("before goes with plain similarity only")
+    if carry and k is not None:
+        raise ValueError("carry goes with all pairs only")
     right_cols = ["rid", "rvec", *keys] + (["rord"] if by_ord else []) + ([bonus] if bonus else []) + (["rat"] if before else [])
     limits = (["lfloor", "lcap"] if band else []) + (["lat"] if before else [])
-    left = left.select(*[F.col(c).alias(c) for c in ["lid", "lvec", *keys, *limits]])
+    left = left.select(*[F.col(c).alias(c) for c in ["lid", "lvec", *keys, *limits, *carry]])
     right = right.select(*[F.col(c).alias(c) for c in right_cols])
 
     # counted before the vectors are touched, so only the keys are read
@@ -284,6 +287,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         fields.append(T.StructField("rord", right.schema["rord"].dataType))
     if before:
         fields.append(T.StructField("rat", T.LongType()))
+    fields += [rows.schema[c] for c in carry]
     schema = T.StructType(fields)
 
     def match(lt: pa.Table, rt: pa.Table) -> pa.Table:
@@ -293,6 +297,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
             kinds.append(rt.schema.field("rord").type)
         if before:
             kinds.append(pa.int64())
+        kinds += [lt.schema.field(c).type for c in carry]
         if lt.num_rows == 0 or rt.num_rows == 0:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
         lm, rm = matrix(lt.column("lvec")), matrix(rt.column("rvec"))
@@ -322,7 +327,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         def worth(s, ri):
             return -rord[ri].astype(np.float64) if by_ord else s if extra is None else s + extra[ri]
 
-        outs = []
+        outs, brought = [], []
         for a in range(0, len(lid), TILE_LEFT):
             lpart = np.arange(a, min(a + TILE_LEFT, len(lid)))
             # what a pair must reach; rises to the worst of the k best found so far
@@ -345,6 +350,8 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
                     ok = fits(sim, lpart[li], rpart[ri])
                     li, ri, sim = li[ok], ri[ok], sim[ok]
                 if want is None:
+                    if carry:
+                        brought.append(lpart[li])
                     outs.append((lid[lpart[li]], rid[rpart[ri]], sim, rord[rpart[ri]] if by_ord else rat[rpart[ri]] if before else None))
                     continue
                 li, ri, sim, w = (np.concatenate(x) for x in zip(kept, (li, rpart[ri], sim, worth(sim, rpart[ri])), strict=True))
@@ -365,7 +372,10 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
                 np.concatenate([o[2] for o in outs])]
         if by_ord or before:
             cols.append(np.concatenate([o[3] for o in outs]))
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
+        if carry:
+            at = pa.array(np.concatenate(brought))
+            cols += [lt.column(c).combine_chunks().take(at) for c in carry]
+        return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, t) for n, c, t in zip(names, cols, kinds)})
 
     pairs = rows.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(match, schema)
     if stands_in:

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from beliefmill.functions import lexicon as lx
-from beliefmill.functions import scalar as sc
 from beliefmill.operators import admission as ad
 from beliefmill.operators import beliefs as bl
 from beliefmill.plans.belief_queries import score_sql
@@ -42,11 +41,8 @@ dec AS (SELECT w.id, w.agent_id, w.tenant_id, w.created_at, w.provenance, CASE W
 @query("pair_tension", "mem vecs incoming", f"WITH {SIMP}, {JUDGE} SELECT incoming_id, existing_id, kind, round(ts, 6) AS score, kind <> 'none' AND ts < 0.65 AS ambiguous FROM tj")
 def pair_tension(t):
     inc, mem = _incoming(t), t.memv
-    pairs = ad.admission_candidates(inc, mem)
-    j = pairs.join(inc.select(F.col("id").alias("incoming_id"), "content", F.col("emb").alias("ie")), "incoming_id").join(mem.select(F.col("id").alias("existing_id"), F.col("emb").alias("me")), "existing_id")
-    from beliefmill.functions.vectors import cosine
-    x = sc.tension(cosine(F.col("ie"), F.col("me")), F.col("content"))
-    return j.select("incoming_id", "existing_id", x["kind"].alias("kind"), r6(x["score"], "score"), x["ambiguous"].alias("ambiguous"))
+    x = F.col("t")
+    return ad.candidate_tensions(inc, mem).select("incoming_id", "existing_id", x["kind"].alias("kind"), r6(x["score"], "score"), x["ambiguous"].alias("ambiguous"))
 
 
 def _decided(t):
