@@ -21,7 +21,13 @@ Lists of over LIST_MOST sets are dealt over tasks as pairs of blocks.
 Answers. A candidate set is intersected with the other group's leader only, unless parities of
 both tell that it is too far from all the group. The sizes of its
 intersections with all members follow from that one and from the shingles in which they
-differ, by lists over those; members are dealt in bounded blocks.
+differ, by lists over those; members are dealt in bounded blocks. Leaders ask first. The members
+of a group ask only where the links found until then leave it apart from the other group, as
+a link inside a component changes no answer.
+
+List rows. What an index entry is compared by is cut to fields of FIELD bits, hashes to their
+lowest TOKEN_BITS, and packed into longs. That loses no pair: a full field counts as without
+bound, and lists of shingles alike in those bits are one list, also as the list of the shingle before.
 
 Shingles are 64-bit hashes; two different ones of a pair of texts are taken for one with
 a probability of about 1e-13 for texts of 1,000 words.
@@ -50,6 +56,7 @@ NUM, DEN = 4, 5
 MINIMA = 8
 HOT = 16
 BLOCK, LIST_MOST, MEMBERS_MOST = 256, 8192, 4096
+TOKEN_BITS, FIELD, PART_BITS = 40, 24, 19
 CHUNK = 1 << 20
 SUM = NUM + DEN  # linked: SUM * common >= NUM * (n + m)
 
@@ -298,9 +305,26 @@ def _long_list(cols: list[np.ndarray], block: np.ndarray | None) -> Iterator[tup
             yield cols[0][at + p], cols[0][cut[j] + q]
 
 
+def _packed(high: Column, low: Column) -> Column:
+    """The lowest TOKEN_BITS of ``high`` above ``low``, cut to a field; none of it is negative."""
+    most = (1 << FIELD) - 1
+    return F.shiftleft(high, FIELD).bitwiseOR(F.least(F.greatest(low, F.lit(0)), F.lit(most)).cast("long"))
+
+
+def _unpacked(entry: np.ndarray, limits: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """gid goes beside: least, most, room, before, token, part_a, part_b, and which of the two parts."""
+    most, parts = (1 << FIELD) - 1, (1 << PART_BITS) - 1
+    free = np.int64(1 << 56)  # a full field
+    token, room = entry.view(U64) >> U64(FIELD), entry & most
+    before, least = limits.view(U64) >> U64(FIELD), limits & most
+    size = place & most
+    a, b = place >> FIELD & parts, place >> (FIELD + PART_BITS) & parts
+    side = place >> (FIELD + 2 * PART_BITS) & 1
+    return [least, np.where(size == most, free, size), np.where(room == most, free, room), before.view(np.int64), token.view(np.int64), a, b, np.where(side == 1, b, a)]
+
+
 def _join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of groups from rows in order of their lists."""
-    names = ["gid", "least", "most", "room", "before", "token", "part_a", "part_b", "part"]
     held: list[np.ndarray] | None = None
 
     def joined(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +350,8 @@ def _join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["g", "h"])
 
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "entry", "limits", "place")]
+        cols = [cols[0], *_unpacked(*cols[1:])]
         if not len(cols[0]):
             continue
         if held is not None:
@@ -348,9 +373,12 @@ def candidates(index: DataFrame) -> DataFrame:
     met = F.transform(F.sequence(F.lit(0), parts - 1), lambda other: F.struct(F.least("part", other).alias("part_a"), F.greatest("part", other).alias("part_b")))
     small = dealt.where(F.col("sets") <= LIST_MOST).select("*", F.lit(0).cast("long").alias("part_a"), F.lit(0).cast("long").alias("part_b"))
     large = dealt.where(F.col("sets") > LIST_MOST).select("*", F.explode(met).alias("m")).select(*dealt.columns, "m.part_a", "m.part_b")
-    keyed = small.unionByName(large).select("gid", "least", "most", "room", "before", "token", "part_a", "part_b", "part")
-    lists = keyed.repartition("token", "part_a", "part_b").sortWithinPartitions("token", "part_a", "part_b")
-    return lists.mapInArrow(_join_lists, "g long, h long").distinct()
+    both = small.unionByName(large)
+    place = F.least("most", F.lit((1 << FIELD) - 1)).bitwiseOR(F.shiftleft("part_a", FIELD)).bitwiseOR(F.shiftleft("part_b", FIELD + PART_BITS))
+    place = place.bitwiseOR(F.when((F.col("part") == F.col("part_b")) & (F.col("part_a") != F.col("part_b")), F.lit(1 << (FIELD + 2 * PART_BITS))).otherwise(F.lit(0)))
+    packed = both.select(_packed(F.col("token"), F.col("room")).alias("entry"), _packed(F.col("before"), F.col("least")).alias("limits"), "gid", place.cast("long").alias("place"))
+    key = [F.shiftrightunsigned("entry", FIELD), F.shiftright("place", FIELD).bitwiseAND((1 << (2 * PART_BITS)) - 1)]
+    return packed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_lists, "g long, h long").distinct()
 
 
 # -- answers ----------------------------------------------------------------
@@ -398,9 +426,9 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
-def asking(pairs: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): the sets of the smaller group of each candidate pair beside the other's leader,
-    where parities leave room for a link to it or to one of its members."""
+def facing(pairs: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, b, off, most): the smaller group of each candidate pair beside the other, where parities leave
+    room for a link; how far the other's members are from its leader, and its largest size."""
     members = pin(groups.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("most"), F.max(F.size("gain") + F.size("lost")).alias("off")))
     sized = with_apart(pairs, sets, "g", "h")
     for side, size in (("g", "n"), ("h", "m")):
@@ -408,11 +436,25 @@ def asking(pairs: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
         sized = sized.withColumn(f"most_{side}", F.greatest(size, f"most_{side}"))
     sized = sized.where(SUM * (F.col("apart") - F.col("off_g") - F.col("off_h")) <= F.col("most_g") + F.col("most_h"))
     small = F.col("of_g") <= F.col("of_h")
-    sides = pin(sized.select(*[F.when(small, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("g", "h", "g"), ("h", "g", "b"), ("off_h", "off_g", "off"), ("most_h", "most_g", "most"))]))
-    rows = sides.select(F.col("g").alias("a"), "b", "off", "most").union(sides.join(groups.select(F.col("b").alias("g"), "a"), "g").select("a", "b", "off", "most"))
+    return sized.select(*[F.when(small, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("g", "h", "g"), ("h", "g", "b"), ("off_h", "off_g", "off"), ("most_h", "most_g", "most"))])
+
+
+def asking(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the rows (a, b, off, most): (a, b) of sets beside a leader, where parities leave room for a
+    link to it or to one of its members."""
     return with_apart(rows, sets, "a", "b").where(SUM * (F.col("apart") - F.col("off")) <= F.col("n") + F.col("most")).select("a", "b")
 
 
+def members_asking(sides: DataFrame, groups: DataFrame, root: DataFrame) -> DataFrame:
+    """(a, b, off, most): the members of the smaller group of the pairs that ``root`` (id, root) leaves apart."""
+    own = groups.select(F.col("b").alias("g"), "a")
+    apart = sides.join(own.select("g").distinct(), "g", "left_semi")
+    for side in ("g", "b"):
+        apart = apart.join(root.toDF(side, f"root_{side}"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    apart = apart.where("root_g <> root_b").select("g", "b", "off", "most")
+    return apart.join(own, "g").select("a", "b", "off", "most")
+
+
 def answers(asked: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame:
     """Links (a, b) of the asking sets to the leaders, or to a member of each block of theirs."""
     members = pin(groups.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max(SUM * F.size("gain") - NUM * F.col("n")).alias("best")))
@@ -448,10 +490,19 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     first = pin(differences(led, tokens).where(linked(F.col("common"), F.col("n"), F.col("m"))))
     groups = pin(first.join(first.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b", "n", "m", "common", "gain", "lost"))
     pairs = candidates(entries(sets, tokens.join(full.select("id"), "id", "left_semi"), groups, own, hot))
-    asked = pin(asking(pin(pairs), groups, sets))
-    ids = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    tokens = tokens.union(whole_sets(docs, ids.join(tokens.select("id"), "id", "left_anti").join(sets.select("id", "tid"), "id")))
-    return first.select("a", "b").union(answers(asked, groups, tokens))
+    sides = pin(facing(pin(pairs), groups, sets))
+
+    def answered(rows: DataFrame) -> DataFrame:
+        nonlocal tokens
+        asked = pin(asking(rows, sets))
+        ids = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        tokens = tokens.union(whole_sets(docs, ids.join(tokens.select("id"), "id", "left_anti").join(sets.select("id", "tid"), "id")))
+        return answers(asked, groups, tokens)
+
+    found = pin(first.select("a", "b").union(answered(sides.withColumnRenamed("g", "a"))))
+    root = components(found).select(F.col("tid").alias("id"), "root")
+    more = pin(members_asking(sides, groups, root))
+    return found if more.isEmpty() else found.union(answered(more))
 
 
 def components_of_links(docs: DataFrame) -> DataFrame:
