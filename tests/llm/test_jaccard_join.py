@@ -107,3 +107,27 @@ def test_members_answers_follow_from_the_leader(spark):
         sets = jaccard_join.all_sets(docs)
         sizes.append(jaccard_join.links(docs, sets).count() / n)
     assert sizes[1] < 2 * sizes[0] + 2
+
+
+def test_members_of_one_component_do_not_ask(spark):
+    """Pairs of groups that the links between leaders have joined bring no member rows."""
+    n = 40
+    ids = "id long, root long"
+    groups = spark.createDataFrame([(100 * g + i, 100 * g) for g in range(1, n) for i in range(1, 6)], "a long, b long")
+    sides = spark.createDataFrame([(100 * g, 100 * h, 3, 90) for h in range(1, n) for g in range(h + 1, n)], "g long, b long, off long, most long")
+    joined = spark.createDataFrame([(100 * g, 100) for g in range(1, n - 1)], ids)
+    got = jaccard_join.members_asking(sides, groups, joined).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((100 * (n - 1) + i, 100 * h) for h in range(1, n - 1) for i in range(1, 6))
+
+
+def test_list_rows_keep_what_a_pair_is_judged_by(spark):
+    """Fields survive the packing, full ones count as unbounded, hashes keep their lowest bits."""
+    big, low = (1 << jaccard_join.FIELD) + 5, (1 << jaccard_join.TOKEN_BITS) - 1
+    rows = [(-7, 3, 12), (12345678901234, big, 0), (low, (1 << jaccard_join.FIELD) - 2, 1)]
+    got = spark.createDataFrame(rows, "token long, room long, least long").select(jaccard_join._packed(jaccard_join.F.col("token"), jaccard_join.F.col("room")).alias("e"), jaccard_join._packed(jaccard_join.F.col("token"), jaccard_join.F.col("least")).alias("l")).toArrow()
+    e, lim = (got.column(c).to_numpy() for c in ("e", "l"))
+    place = np.array([9 | 2 << 24 | 5 << 43 | 1 << 62, (1 << 24) - 1, 4 | 3 << 24 | 3 << 43], np.int64)
+    least, most, room, before, token, a, b, part = jaccard_join._unpacked(e, lim, place)
+    assert token.tolist() == before.tolist() == [t & low for t, _, _ in rows]
+    assert room[0] == 3 and room[1] >= 1 << 56 and room[2] == (1 << 24) - 2 and least.tolist() == [12, 0, 1]
+    assert most[0] == 9 and most[1] >= 1 << 56 and (a.tolist(), b.tolist(), part.tolist()) == ([2, 0, 3], [5, 0, 3], [5, 0, 3])
