@@ -38,7 +38,8 @@ from beliefmill.session import pin
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 24, 3
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes sketched together: some arrays of longs of that length are held at once
+CACHE = 1 << 22  # shingles that a task keeps of texts it compares
 BASE = 0x9E3779B97F4A7C15
 CODES = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
 FACTORS = [U64((0xD6E8FEB86659FD93 * (2 * i + 1) + 2 * i) % (1 << 64) | 1) for i in range(SKETCHES)]
@@ -163,7 +164,7 @@ def _verify(similarity: float):
             for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 for tid, text in ((a, ta), (b, tb)):
                     if tid not in known:
-                        if size > 4 * CHUNK:
+                        if size > CACHE:
                             known, size = {k: known[k] for k in (a, b) if k in known}, 0
                         known[tid] = shingles([text])[0]
                         size += len(known[tid])

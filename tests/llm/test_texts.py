@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from beliefmill.llm import bpe_pairs, language_id, license_scan, license_texts, order_minhash, run_index, token_edits, vector_packing
 from beliefmill.llm.queries import tokenizer
 
@@ -397,3 +399,22 @@ def test_packing_conversations(spark):
     for r in out:
         by[r["sequence_id"]] += [r["length"], r["loss_tokens"]]
     assert all(a <= 2048 for a, _ in by.values()) and len({(r["conv_id"], r["turn"]) for r in out}) == turns.select("conv_id", "turn").distinct().count()
+
+
+# the pipeline
+
+
+@pytest.mark.parametrize("given, most", [("10000", corpus_pipeline.ARROW_ROWS), ("-1", corpus_pipeline.ARROW_ROWS), ("70", 70)])
+def test_stages_hand_texts_over_in_small_batches(spark, docs, given, most):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    was = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            spark.conf.set(corpus_pipeline.BATCH, given)
+            stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "")
+            assert spark.range(0, 3000, 1, 1).mapInArrow(rows, "n long").agg({"n": "max"}).first()[0] == most
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, was)
