@@ -9,7 +9,8 @@ sets share a shingle of their prefixes, the first ``reach(n)`` of n in that orde
 only prefixes are indexed, and what many texts have in common gets there last.
 
 Relations. A set is a member of a highly similar set, its leader, if they link and the leader
-is no member itself; leaders come from MINIMA smallest hashes. Members keep only what they
+is no member itself; leaders come from MINIMA smallest hashes, and of sets alike in these that
+with the fewest shingles outside of HOT ones leads. Members keep only what they
 have more and less than their leader. In the index a group is one entry per shingle: its
 sizes and the best room its members leave after the shingle's position.
 
@@ -57,6 +58,7 @@ MINIMA = 8
 HOT = 16
 BLOCK, LIST_MOST, MEMBERS_MOST = 256, 8192, 4096
 TOKEN_BITS, FIELD, PART_BITS = 40, 24, 19
+ALONE = -1  # component of a set without a known link
 CHUNK = 1 << 20
 SUM = NUM + DEN  # linked: SUM * common >= NUM * (n + m)
 
@@ -184,17 +186,24 @@ def with_apart(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return both.withColumn("apart", F.when(F.greatest(F.size("odd_a"), F.size("odd_b")) <= 2 * F.least(F.size("odd_a"), F.size("odd_b")), apart).otherwise(F.abs(F.col("n") - F.col("m")))).drop("odd_a", "odd_b")
 
 
-def leaders(sets: DataFrame) -> DataFrame:
-    """(a, b): sets beside the set that leads most of their keys, where parities leave room for a link."""
+def leaders(sets: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): sets beside the set that leads most of their keys, where parities leave room for a link,
+    with a set that leads over HOT others also for one with a member of its group.
+    ``own`` (id, hot): the hot ones of their probes. Of sets with the same keys that with the fewest
+    others leads: it has the least of its own, so what the others have changed lies around it."""
     keys = sets.select("id", F.posexplode("keys").alias("f", "key")).select("id", F.xxhash64("f", "key").alias("key"))
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = pin(keys.join(counts, "key"))
-    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-    top = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("top"))
+    few = own.join(sets.select("id", F.size("probe").alias("known")), "id").select("id", (F.size("hot") - F.col("known")).alias("few"))
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree")).join(few, "id", "left")
+    top = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "few", "id")).alias("top"))
     votes = shared.join(top, "key").groupBy("id", "top").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", "top")).alias("best"))
     pairs = best.select(F.col("id").alias("a"), F.col("best.top.id").alias("b")).where("a <> b")
-    return with_apart(pairs, sets, "a", "b").where(SUM * F.col("apart") <= F.col("n") + F.col("m")).select("a", "b")
+    voters = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("voters"))
+    # what links with a member lies up to about twice as far from the leader
+    far = F.when(F.col("voters") > HOT, 2).otherwise(1)
+    return with_apart(pairs.join(voters, "b"), sets, "a", "b").where(SUM * F.col("apart") <= far * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +250,7 @@ def _prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         sets = _arrays(batch.column("tokens"))
-        for i, gid, n, s, hot in zip(*(batch.column(c).to_pylist() for c in ("id", "gid", "n")), sets, batch.column("hot").to_pylist(), strict=True):
+        for gid, root, n, s, hot in zip(*(batch.column(c).to_pylist() for c in ("gid", "root", "n")), sets, batch.column("hot").to_pylist(), strict=True):
             size = reach(n)
             lists = np.zeros(min(size, len(s)), np.int64)
             if hot:
@@ -253,36 +262,41 @@ def _prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lists = np.concatenate([np.zeros(len(cold), np.int64), counts])[:size]
             s = s[:size]
             before = np.concatenate([[s[0]], s[:-1]])  # the first one has none: itself
-            out.append((s, np.full(len(s), gid), np.full(len(s), n), SUM * (n - np.arange(len(s))) - NUM * n, before, lists))
+            out.append((s, np.full(len(s), gid), np.full(len(s), root), np.full(len(s), n), SUM * (n - np.arange(len(s))) - NUM * n, before, lists))
         if out:
-            t, g, n, room, before, lists = (np.concatenate(c) for c in zip(*out, strict=True))
-            cols = [t.view(np.int64), g, n, room, before.view(np.int64), lists]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "gid", "n", "room", "before", "sets"])
+            t, g, root, n, room, before, lists = (np.concatenate(c) for c in zip(*out, strict=True))
+            cols = [t.view(np.int64), g, root, n, room, before.view(np.int64), lists]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "gid", "root", "n", "room", "before", "sets"])
 
 
-def entries(sets: DataFrame, tokens: DataFrame, groups: DataFrame, own: DataFrame, hot: DataFrame) -> DataFrame:
-    """Index entries (token, gid, least, most, room, before, sets), one per group and shingle.
-    ``own``: hot shingles of sets; ``tokens``: whole sets of the crowded ones (id)."""
+def entries(sets: DataFrame, tokens: DataFrame, groups: DataFrame, root: DataFrame, own: DataFrame, hot: DataFrame) -> DataFrame:
+    """Index entries (token, gid, root, least, most, room, before, sets), one per group and shingle.
+    ``own``: hot shingles of sets; ``tokens``: whole sets of the crowded ones (id); ``root``
+    (id, root): components known so far, ALONE for sets of none."""
     leads = groups.groupBy("b").agg(F.first("b").alias("gid")).select(F.col("b").alias("id"), "gid")
     place = groups.select(F.col("a").alias("id"), F.col("b").alias("gid")).union(leads)
+    place = place.join(root, "id", "full")
     long = tokens.join(place, "id", "left").join(hot_of(tokens, "tokens", hot), "id", "left").join(sets.select("id", "n"), "id")
     side = pin(own.join(place, "id", "full").join(tokens.select("id", F.lit(True).alias("long")), "id", "full"))
     short = sets.select("id", "n", F.col("probe").alias("tokens")).join(side, "id", "left").where("long IS NULL")
-    cols = ["id", "n", "tokens", "hot", "gid"]
-    ready = short.select(*cols).union(long.select(*cols))
-    kind = "token long, gid long, n long, room long, before long, sets long"
+    cols = ["id", "n", "tokens", "hot", "gid", "root"]
+    ready = short.select(*cols).union(long.select(*cols)).na.fill(ALONE, ["root"])
+    kind = "token long, gid long, root long, n long, room long, before long, sets long"
     one = ready.where("gid IS NULL").withColumn("gid", F.col("id")).mapInArrow(_prefix, kind)
-    one = one.select("token", "gid", F.col("n").alias("least"), F.col("n").alias("most"), "room", "before", "sets")
+    one = one.select("token", "gid", "root", F.col("n").alias("least"), F.col("n").alias("most"), "room", "before", "sets")
     many = ready.where("gid IS NOT NULL").mapInArrow(_prefix, kind).groupBy("token", "gid").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"),
+        F.first("root").alias("root"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"),
         F.when(F.min("before") == F.max("before"), F.min("before")).otherwise(F.col("token")).alias("before"), F.max("sets").alias("sets"))
     return one.union(many.select(*one.columns))
 
 
 def _allowed(x: tuple, y: tuple) -> np.ndarray:
-    """Whether entries may link: room and sizes allow it, groups differ, no earlier list has them."""
-    (gx, lx, mx, rx, bx, tx), (gy, ly, my, ry, by, ty) = x, y
+    """Whether entries may link: room and sizes allow it, groups and, where they are given, components
+    differ, no earlier list has them."""
+    (gx, lx, mx, rx, bx, tx), (gy, ly, my, ry, by, ty) = x[:6], y[:6]
     known = (bx == by) & (bx != tx) & (by != ty)
+    for cx, cy in zip(x[6:], y[6:], strict=True):
+        known = known | (cx == cy) & (cx != ALONE)
     return (gx != gy) & (rx >= NUM * ly) & (ry >= NUM * lx) & (DEN * my >= NUM * lx) & (DEN * mx >= NUM * ly) & ~known
 
 
@@ -312,7 +326,7 @@ def _packed(high: Column, low: Column) -> Column:
 
 
 def _unpacked(entry: np.ndarray, limits: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """gid goes beside: least, most, room, before, token, part_a, part_b, and which of the two parts."""
+    """gid and root go beside: least, most, room, before, token, part_a, part_b, and which of the two parts."""
     most, parts = (1 << FIELD) - 1, (1 << PART_BITS) - 1
     free = np.int64(1 << 56)  # a full field
     token, room = entry.view(U64) >> U64(FIELD), entry & most
@@ -328,20 +342,20 @@ def _join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] | None = None
 
     def joined(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, (cols[5][1:] != cols[5][:-1]) | (cols[6][1:] != cols[6][:-1]) | (cols[7][1:] != cols[7][:-1])]
+        new = np.r_[True, (cols[5][1:] != cols[5][:-1]) | (cols[7][1:] != cols[7][:-1]) | (cols[8][1:] != cols[8][:-1])]
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(new)])
         for k in np.unique(size[size > 1]).tolist():
             at = first[size == k]
-            if k <= 16 and not (cols[6][at] != cols[7][at]).any():
+            if k <= 16 and not (cols[7][at] != cols[8][at]).any():
                 for i in range(k):
                     for j in range(i + 1, k):
-                        fits = _allowed(tuple(c[at + i] for c in cols[:6]), tuple(c[at + j] for c in cols[:6]))
+                        fits = _allowed(tuple(c[at + i] for c in cols[:7]), tuple(c[at + j] for c in cols[:7]))
                         yield from given(cols[0][at + i][fits], cols[0][at + j][fits])
             else:
                 for lo in at.tolist():
-                    split = cols[6][lo] != cols[7][lo]
-                    for p, q in _long_list([c[lo : lo + k] for c in cols[:6]], cols[8][lo : lo + k] if split else None):
+                    split = cols[7][lo] != cols[8][lo]
+                    for p, q in _long_list([c[lo : lo + k] for c in cols[:7]], cols[9][lo : lo + k] if split else None):
                         yield from given(p, q)
 
     def given(p: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -350,14 +364,15 @@ def _join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["g", "h"])
 
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "entry", "limits", "place")]
-        cols = [cols[0], *_unpacked(*cols[1:])]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "root", "entry", "limits", "place")]
+        unpacked = _unpacked(*cols[2:])
+        cols = [cols[0], *unpacked[:5], cols[1], *unpacked[5:]]
         if not len(cols[0]):
             continue
         if held is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
         # the last list may go on in the next batch
-        last = (cols[5] == cols[5][-1]) & (cols[6] == cols[6][-1]) & (cols[7] == cols[7][-1])
+        last = (cols[5] == cols[5][-1]) & (cols[7] == cols[7][-1]) & (cols[8] == cols[8][-1])
         cut = len(last) - int(last.sum())
         if cut:
             yield from joined([c[:cut] for c in cols])
@@ -367,7 +382,7 @@ def _join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(index: DataFrame) -> DataFrame:
-    """Pairs (g, h), g < h, of groups that may hold linked sets."""
+    """Pairs (g, h), g < h, of groups that may hold linked sets and are of no known common component."""
     parts = F.greatest(F.ceil(F.col("sets") / LIST_MOST), F.lit(1)).cast("long")
     dealt = index.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
     met = F.transform(F.sequence(F.lit(0), parts - 1), lambda other: F.struct(F.least("part", other).alias("part_a"), F.greatest("part", other).alias("part_b")))
@@ -376,7 +391,7 @@ def candidates(index: DataFrame) -> DataFrame:
     both = small.unionByName(large)
     place = F.least("most", F.lit((1 << FIELD) - 1)).bitwiseOR(F.shiftleft("part_a", FIELD)).bitwiseOR(F.shiftleft("part_b", FIELD + PART_BITS))
     place = place.bitwiseOR(F.when((F.col("part") == F.col("part_b")) & (F.col("part_a") != F.col("part_b")), F.lit(1 << (FIELD + 2 * PART_BITS))).otherwise(F.lit(0)))
-    packed = both.select(_packed(F.col("token"), F.col("room")).alias("entry"), _packed(F.col("before"), F.col("least")).alias("limits"), "gid", place.cast("long").alias("place"))
+    packed = both.select(_packed(F.col("token"), F.col("room")).alias("entry"), _packed(F.col("before"), F.col("least")).alias("limits"), "gid", "root", place.cast("long").alias("place"))
     key = [F.shiftrightunsigned("entry", FIELD), F.shiftright("place", FIELD).bitwiseAND((1 << (2 * PART_BITS)) - 1)]
     return packed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_lists, "g long, h long").distinct()
 
@@ -455,15 +470,16 @@ def members_asking(sides: DataFrame, groups: DataFrame, root: DataFrame) -> Data
     return apart.join(own, "g").select("a", "b", "off", "most")
 
 
-def answers(asked: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links (a, b) of the asking sets to the leaders, or to a member of each block of theirs."""
+def answers(compared: DataFrame, groups: DataFrame, one_block: bool = False) -> DataFrame:
+    """Links (a, b) of the asking sets, compared with the leaders, to these, or to a member of each
+    block of theirs; with ``one_block`` of one of the blocks only."""
     members = pin(groups.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.max(SUM * F.size("gain") - NUM * F.col("n")).alias("best")))
-    compared = pin(differences(asked, tokens))
     is_link = linked(F.col("common"), F.col("n"), F.col("m"))
     blocks = F.ceil(F.col("members") / MEMBERS_MOST).cast("long")
     # a member adds at most what it has more than its leader
     left = compared.where(~is_link).join(members, "b").where(SUM * F.col("common") - NUM * F.col("n") + F.col("best") >= 0)
-    asks = left.select("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "a", "n", "common", "gain", "lost")
+    asked = F.pmod(F.xxhash64("a"), blocks).cast("long") if one_block else F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    asks = left.select("b", asked.alias("block"), F.lit(True).alias("asks"), "a", "n", "common", "gain", "lost")
     met = groups.join(left.select("b").distinct(), "b", "left_semi").join(members, "b")
     own = met.select("b", F.pmod(F.xxhash64("a"), blocks).cast("long").alias("block"), F.lit(False).alias("asks"), "a", "n", "common", "gain", "lost")
     rows = own.union(asks).repartition("b", "block").sortWithinPartitions("b", "block", "asks")
@@ -472,9 +488,9 @@ def answers(asked: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between different texts, enough to connect each that has any."""
-    led = pin(leaders(sets))
     hot = pin(hot_tokens(sets.select(F.explode("probe").alias("token"))))
     own = pin(hot_of(sets, "probe", hot))
+    led = pin(leaders(sets, own))
     full = pin(crowded(sets, own))
     named = led.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "tid"), "id")
     tokens = whole_sets(docs, full.union(named))
@@ -487,9 +503,13 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         new = crowded(sets, own).join(full, "id", "left_anti")
         tokens = tokens.union(whole_sets(docs, new.join(tokens.select("id"), "id", "left_anti")))
         full = full.union(new)
-    first = pin(differences(led, tokens).where(linked(F.col("common"), F.col("n"), F.col("m"))))
+    compared = pin(differences(led, tokens))
+    first = compared.where(linked(F.col("common"), F.col("n"), F.col("m")))
     groups = pin(first.join(first.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b", "n", "m", "common", "gain", "lost"))
-    pairs = candidates(entries(sets, tokens.join(full.select("id"), "id", "left_semi"), groups, own, hot))
+    # sets that their leader doesn't link with may link with one of its members
+    near = pin(answers(compared, groups, one_block=True))
+    root = components(near).select(F.col("tid").alias("id"), "root")
+    pairs = candidates(entries(sets, tokens.join(full.select("id"), "id", "left_semi"), groups, root, own, hot))
     sides = pin(facing(pin(pairs), groups, sets))
 
     def answered(rows: DataFrame) -> DataFrame:
@@ -497,9 +517,9 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         asked = pin(asking(rows, sets))
         ids = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         tokens = tokens.union(whole_sets(docs, ids.join(tokens.select("id"), "id", "left_anti").join(sets.select("id", "tid"), "id")))
-        return answers(asked, groups, tokens)
+        return answers(pin(differences(asked, tokens)), groups)
 
-    found = pin(first.select("a", "b").union(answered(sides.withColumnRenamed("g", "a"))))
+    found = pin(near.union(answered(sides.withColumnRenamed("g", "a"))))
     root = components(found).select(F.col("tid").alias("id"), "root")
     more = pin(members_asking(sides, groups, root))
     return found if more.isEmpty() else found.union(answered(more))

@@ -120,6 +120,25 @@ def test_members_of_one_component_do_not_ask(spark):
     assert sorted(map(tuple, got)) == sorted((100 * (n - 1) + i, 100 * h) for h in range(1, n - 1) for i in range(1, 6))
 
 
+@pytest.mark.parametrize("crowd_of", [60, 180])
+def test_pairs_of_a_crowd_grow_with_its_texts(spark, monkeypatch, crowd_of):
+    """Near copies about the threshold from one another, which links join into one component, bring no pair each."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(140)]
+    texts = [edited(rng, base, 3 + i % 4) for i in range(crowd_of)] + [" ".join(base)]
+    rows, found = list(enumerate(texts)), []
+    listed = jaccard_join.candidates
+
+    def counted(index):
+        pairs = listed(index)
+        found.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "candidates", counted)
+    check(spark, rows)
+    assert found[0] <= crowd_of
+
+
 def test_list_rows_keep_what_a_pair_is_judged_by(spark):
     """Fields survive the packing, full ones count as unbounded, hashes keep their lowest bits."""
     big, low = (1 << jaccard_join.FIELD) + 5, (1 << jaccard_join.TOKEN_BITS) - 1
