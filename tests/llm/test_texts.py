@@ -178,6 +178,20 @@ def test_repeats_random_small_alphabet(spark):
     check_repeats(spark.createDataFrame([(i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))) for i in range(60)], "doc_id long, text string"))
 
 
+def test_dropped_repeats_take_one_worker(spark):
+    """What is kept comes as text from the cutting worker: no second Python step in its task."""
+    shared = "é" * 201 + "shared words " * 40
+    rows = [(1, "aé" + shared + "é x"), (2, "b" + shared + "y"), (3, "alone"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = run_index.drop_repeats(docs)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+    kept = {r["tid"]: bytes(r["kept"]).decode("utf-8", "ignore") for r in run_index.remove_repeats(docs).collect()}
+    tid = {r["doc_id"]: r["tid"] for r in docs.select("doc_id", run_index.text_id("text").alias("tid")).collect()}
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert got == {i: None if t is None else kept[tid[i]] for i, t in rows} and got[1] != rows[0][1] and got[3] == "alone"
+
+
 def test_run_index_statistics():
     """Matching statistics that reach the window agree with a scan of all pairs."""
     rng = random.Random(2)
