@@ -196,6 +196,16 @@ def _group_sizes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return side.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
 
 
+def _places(right: pa.Table) -> np.ndarray:
+    """Place of every right row by (rord, rid). Where many rows have one rord, all that tie
+    at the edge of the k best would otherwise leave the task."""
+    at = pc.sort_indices(right.select(["rord", "rid"]), sort_keys=[("rord", "ascending"), ("rid", "ascending")], null_placement="at_start").to_numpy()
+    rord, rid = (right.column(c).to_numpy(zero_copy_only=False)[at] for c in ("rord", "rid"))
+    out = np.zeros(len(at))
+    out[at[1:]] = np.cumsum((rord[1:] != rord[:-1]) | (rid[1:] != rid[:-1]))
+    return out
+
+
 def _blocks(n, least: int, most: int):
     """Number of blocks for n rows: one up to ``least`` rows, then ``SPLIT`` until a block has ``most``."""
     return F.ceil(n / F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(n / SPLIT)))).cast("int")
@@ -306,6 +316,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
         lid = lt.column("lid").to_numpy(zero_copy_only=False)
         rid = rt.column("rid").to_numpy(zero_copy_only=False)
         rord = rt.column("rord").to_numpy(zero_copy_only=False) if by_ord else None
+        place = _places(rt) if by_ord else None
         extra = rt.column(bonus).to_numpy(zero_copy_only=False) if bonus else None
         rat = rt.column("rat").to_numpy(zero_copy_only=False) if before else None
         lat = lt.column("lat").to_numpy(zero_copy_only=False) if before else None
@@ -325,7 +336,7 @@ def match_blocks(left: DataFrame, right: DataFrame, keys: list[str], theta: floa
             return ok
 
         def worth(s, ri):
-            return -rord[ri].astype(np.float64) if by_ord else s if extra is None else s + extra[ri]
+            return -place[ri] if by_ord else s if extra is None else s + extra[ri]
 
         outs, brought = [], []
         for a in range(0, len(lid), TILE_LEFT):

@@ -79,6 +79,29 @@ def test_blocked_top_k_with_copies_is_exact(spark, block):
         assert [j for _, j in sorted(have.get(i, []))] == order
 
 
+@pytest.mark.parametrize("block", [60, 4096])
+def test_equal_places_in_order_leave_no_task_in_full(spark, monkeypatch, block):
+    v = vectors(200)
+    right = frame(spark, v, "rid", "rvec").withColumn("rord", F.when(F.col("rid") % 4 == 0, F.lit(5)).otherwise(F.lit(-1)).cast("long"))
+    top, met = sm.top_by, []
+
+    def counted(df, keys, order, k, out="rank"):
+        if keys == ["lid"]:
+            met.append(df.count())
+        return top(df, keys, order, k, out)
+
+    monkeypatch.setattr(sm, "top_by", counted)
+    got = sm.match_blocks(frame(spark, v, "lid", "lvec"), right, ["k"], 0.2, k=3, order="rord", drop_self=True, block_rows=block, n_pivots=5)
+    have = {}
+    for r in got.collect():
+        have.setdefault(r["lid"], []).append((r["rank"], r["rid"]))
+    s = np.round(v @ v.T, 12)
+    for i in range(200):
+        assert [j for _, j in sorted(have.get(i, []))] == sorted((j for j in range(200) if j != i and s[i, j] >= 0.2), key=lambda j: (j % 4 == 0, j))[:3]
+    # at most k and the row itself from each of the two cells or blocks a row meets
+    assert met and met[0] <= 2 * 4 * 200
+
+
 def test_blocked_first_by_order_is_exact(spark):
     v = vectors(90, copies=30)
     right = frame(spark, v, "rid", "rvec").withColumn("rord", (F.col("rid") * 37 % 90).cast("long"))
