@@ -4,10 +4,13 @@ import datetime as dt
 import hashlib
 import math
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from beliefmill.operators import audit as au
 from beliefmill.operators import consolidate as co
@@ -40,6 +43,22 @@ def test_blocked_threshold_join_is_exact(spark, theta):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_all_pairs_leave_a_task_in_pieces(spark, monkeypatch):
+    """A group of copies has as many pairs as the square of its rows; the task holds a tile of them."""
+    taken, v = [], vectors(2)
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, func, schema: taken.append(func))
+    sm.match_blocks(frame(spark, v, "lid", "lvec"), frame(spark, v, "rid", "rvec"), ["k"], 0.5)
+    n, row, none = 4000, [[0.6, 0.8]], [None]
+    sides = [{"lid": range(n), "lvec": row * n, "k": [0] * n, "rid": none * n, "rvec": none * n}, {"lid": none * n, "lvec": none * n, "k": [0] * n, "rid": range(n), "rvec": row * n}]
+    kinds = pa.schema([("lid", pa.int64()), ("lvec", pa.list_(pa.float64())), ("k", pa.int32()), ("rid", pa.int64()), ("rvec", pa.list_(pa.float64()))])
+    group = [pa.RecordBatch.from_pydict({c: list(x) for c, x in side.items()}, schema=kinds) for side in sides]
+    tracemalloc.start()
+    sizes = [b.num_rows for b in taken[0](iter(group))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == n * n and max(sizes) <= sm.PAIR_ROWS and peak < 24 * n * n / 2
+
+
 def test_scattered_rows_are_not_sent_to_every_cell(spark, monkeypatch):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(900, 12))
