@@ -458,3 +458,25 @@ def test_schema_evidence_moves_no_pairs(spark, tables):
     top = next(i for i, line in enumerate(lines) if "ShuffledHashJoin" in line and "type" in line)
     pairs = next(i for i, line in enumerate(lines) if "BroadcastHashJoin" in line and "label" in line)
     assert not any("Exchange hashpartitioning" in line for line in lines[top:pairs])
+
+
+def test_schema_evidence_of_factors_takes_little_space(spark, monkeypatch, tmp_path):
+    """Pairs made from factors are those of the pair form, and lie so that they compress."""
+    from beliefmill.operators import working as wk
+
+    monkeypatch.setattr(wk, "HOLDER_BLOCK", 64)
+    monkeypatch.setattr(wk, "ROW_BLOCK", 100)
+    by = ["label", "agent_id"]
+    sch = spark.range(2001).select(F.when(F.col("id") == 2000, 3).otherwise(F.col("id")).alias("id"), F.concat(F.lit("Supplier "), F.md5(F.col("id").cast("string"))).alias("name"),
+                                   F.when(F.col("id") == 9, F.lit(None)).otherwise(F.lit(1)).alias("label"), (F.col("id") % 40 == 1).cast("int").alias("agent_id"))
+    holders = sch.select(F.col("id").alias("schema_id"), *by)
+    kinds = F.when(F.col("id") % 7 == 0, "procedural").when(F.col("id") % 2 == 0, "semantic").otherwise("episodic")
+    rows = spark.range(460).select(kinds.alias("type"), "id", F.when(F.col("id") == 8, F.lit(None)).otherwise(F.lit(1)).alias("label"), (F.col("id") % 5 == 0).cast("int").alias("agent_id"))
+    rows = rows.unionByName(rows.where("id = 10"))
+    contents = rows.where("id % 11 <> 0").select("type", "id", F.lit("text").alias("content"), F.lit(0.5).alias("confidence")).distinct()
+    cols = ["schema_id", "type", "id", "level", "cue", "content"]
+    made = wk.schema_evidence(sch, rows, contents, by=by, holders=holders).select(*cols)
+    pairs = wk.schema_evidence(sch, rows.join(holders, by).select("schema_id", "type", "id"), contents).select(*cols)
+    made.select(*cols[:5]).write.parquet(f"{tmp_path}/made")
+    assert pairs.count() > 500_000 and made.exceptAll(pairs).isEmpty() and pairs.exceptAll(made).isEmpty()
+    assert sum(p.stat().st_size for p in (tmp_path / "made").glob("*.parquet")) < pairs.count()
