@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from beliefmill.functions import lexicon as lx
 from beliefmill.functions import scalar as sc
-from beliefmill.operators.beliefs import active
+from beliefmill.functions.vectors import cosine
+from beliefmill.operators.beliefs import active, live
 from beliefmill.operators.recall import find_similar, recall_similarity
-from beliefmill.operators.similarity import match_blocks, top_by
+from beliefmill.operators.similarity import SIM_DIGITS, match_blocks, top_by
 from beliefmill.session import instant, pin, small_side
 
 EDGE = ["source_id", "target_id", "relation_type"]
 MIN_ACTIVATION, SEED_SCORE = 0.1, 0.5
 MAX_EDGES = 50
+THEMATIC_SIM = 0.8
 TRAVERSAL_GAIN = 0.03
 
 
@@ -51,12 +53,31 @@ def entity_link_edges(mentions: DataFrame, per_source: int = MAX_EDGES, new: Dat
         "source_id", "target_id", F.lit("entity_link").alias("relation_type"), "strength")
 
 
-def thematic_edges(mem: DataFrame, theta: float = 0.8, per_source: int | None = None) -> DataFrame:
-    rows = mem.where(active() & (F.col("binding") != "quarantine"))
-    pairs = find_similar(rows, rows, theta, k=per_source, drop_self=True)
+def thematic_edges(mem: DataFrame, theta: float = THEMATIC_SIM, per_source: int | None = None, one_way: bool = False) -> DataFrame:
+    """Similar live rows; ``one_way`` gives each pair once, from the smaller id."""
+    rows = mem.where(live())
+    pairs = find_similar(rows, rows, theta, k=per_source, drop_self=True, one_way=one_way)
+    return _thematic(pairs)
+
+
+def _thematic(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("lid").alias("source_id"), F.col("rid").alias("target_id"), F.lit("thematic").alias("relation_type"), F.col("sim").alias("strength"))
 
 
+def thematic_both_ways(mem: DataFrame, theta: float = THEMATIC_SIM) -> DataFrame:
+    """``symmetrise(thematic_edges(mem))`` without moving its pairs: each is found once and
+    given from either end. Only pairs of an id that stands for several rows are grouped."""
+    rows = mem.where(live())
+    twice = pin(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    several = small_side(twice)
+    once = thematic_edges(rows.join(several, "id", "left_anti"), theta, one_way=True)
+    ends = F.array(*[F.struct(F.col(x).alias("source_id"), F.col(y).alias("target_id")) for x, y in (("source_id", "target_id"), ("target_id", "source_id"))])
+    out = once.select(F.explode(ends).alias("e"), "relation_type", "strength").select("e.*", "relation_type", "strength")
+    if twice.isEmpty():
+        return out
+    return out.unionByName(symmetrise(_thematic(find_similar(rows.join(several, "id", "left_semi"), rows, theta, drop_self=True))))
+
+
 def relationship_candidates(mem: DataFrame, theta: float = 0.5, n: int = 5) -> DataFrame:
     """Five nearest live rows per belief (the belief itself may be one of them)."""
     return find_similar(mem.where(active()), mem, theta, k=n)
@@ -97,13 +118,31 @@ def new_entities(resolved: DataFrame) -> DataFrame:
         F.min("name").alias("name"), F.min_by("tenant_id", "memory_id").alias("tenant_id"))
 
 
-def build_graph(mem: DataFrame, mentions: DataFrame, detected: DataFrame) -> tuple[DataFrame, DataFrame]:
+def graph_edges(mem: DataFrame, detected: DataFrame, theta: float = THEMATIC_SIM) -> DataFrame:
+    """Thematic and detected edges, symmetric ones from either end, the strongest of equal
+    ones. The detected edges are few beside the thematic ones, so those that are thematic
+    as well are settled on their own and the others are never grouped."""
+    named = pin(symmetrise(relationship_edges(relationship_candidates(mem), detected).select(*EDGE, F.col("strength").cast("double").alias("strength"))))
+    alike = named.where(F.col("relation_type") == "thematic")
+    keys = ["tenant_id", "agent_id"]
+    rows = mem.where(live() & F.col("emb").isNotNull()).select("id", "emb", *keys)
+    rows = pin(rows.join(small_side(alike.select(F.col("source_id").alias("id")).distinct()), "id", "left_semi"))
+    source, target = (rows.select(F.col("id").alias(f"{x}_id"), *[F.col(c).alias(f"_{x}_{c}") for c in ("emb", *keys)]) for x in ("source", "target"))
+    met = alike.drop("strength").join(source, "source_id").join(target, "target_id").where(F.col("source_id") != F.col("target_id"))
+    for c in keys:
+        met = met.where(F.col(f"_source_{c}").eqNullSafe(F.col(f"_target_{c}")))
+    sim = F.round(cosine(F.col("_source_emb"), F.col("_target_emb")), SIM_DIGITS)
+    both = symmetrise(alike.unionByName(met.select(*EDGE, sim.alias("strength")).where(F.col("strength") >= theta)))
+    rest = thematic_both_ways(mem, theta).join(small_side(alike.select("source_id", "target_id")), ["source_id", "target_id"], "left_anti")
+    return rest.unionByName(both).unionByName(named.where(F.col("relation_type") != "thematic"))
+
+
+def build_graph(mem: DataFrame, mentions: DataFrame, detected: DataFrame, links_only: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """(edges, factors): thematic and detected edges with symmetric ones reversed, ready for
     a greatest-upsert, and the shared-entity links as factors, to be joined at traversal.
-    Nothing is capped here; ``prune_graph`` and ``cap_edges`` do that."""
-    edges = thematic_edges(mem).unionByName(
-        relationship_edges(relationship_candidates(mem), detected).select(*EDGE, F.col("strength").cast("double").alias("strength")))
-    return symmetrise(edges), entity_link_factors(mentions)
+    Nothing is capped here; ``prune_graph`` and ``cap_edges`` do that. With ``links_only``
+    the edges, which take a search of their own, are left out."""
+    return None if links_only else graph_edges(mem, detected), entity_link_factors(mentions)
 
 
 # -- traversal --------------------------------------------------------------

@@ -108,7 +108,7 @@ def build_graph(t):
 
 @query("build_graph_links", "mentions", f"WITH {MW} SELECT memory_id, entity_id, round(sqrt(w), 6) AS half FROM mw")
 def build_graph_links(t):
-    return gr.build_graph(t.memv, t.mentions, t.edges)[1].select("memory_id", "entity_id", r6("half", "half"))
+    return gr.build_graph(t.memv, t.mentions, t.edges, links_only=True)[1].select("memory_id", "entity_id", r6("half", "half"))
 
 
 MULT = "CASE relation_type WHEN 'entity_link' THEN 0.7 WHEN 'causal' THEN 0.9 WHEN 'temporal' THEN 0.6 WHEN 'thematic' THEN 0.7 WHEN 'supports' THEN 0.85 WHEN 'contradicts' THEN 0.95 WHEN 'derived_from' THEN 0.8 ELSE 0.9 END::DOUBLE"

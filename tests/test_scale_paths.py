@@ -460,6 +460,24 @@ def test_schema_evidence_moves_no_pairs(spark, tables):
     assert not any("Exchange hashpartitioning" in line for line in lines[top:pairs])
 
 
+def test_graph_edges_are_those_of_the_whole_union_and_move_no_pairs(spark):
+    """Ids that stand for several rows and pairs that are detected as well included."""
+    v, theta = vectors(80, copies=12), 0.8
+    rows = [(i % 70, 1, i % 2, i % 17 == 0, "quarantine" if i % 13 == 0 else "private", [float(x) for x in r]) for i, r in enumerate(v)]
+    mem = spark.createDataFrame(rows, "id long, tenant_id long, agent_id long, is_archived boolean, binding string, emb array<double>")
+    kinds = ["thematic", "causal", "supports", "no such"]
+    detected = spark.createDataFrame([(i, j, kinds[(i + j // 2) % 4], ((i * 7 + j) % 11) / 10) for i in range(70) for j in range(70) if (i + j) % 2 == 0], "source_id long, target_id long, relation_type string, strength double")
+    named = gr.relationship_edges(gr.relationship_candidates(mem), detected).select(*gr.EDGE, "strength")
+    want = sorted((*r[:3], round(r[3], 9)) for r in gr.symmetrise(gr.thematic_edges(mem).unionByName(named)).collect())
+    made = gr.graph_edges(mem, detected)
+    assert sorted((*r[:3], round(r[3], 9)) for r in made.collect()) == want
+    assert {r[2] for r in want} == {"thematic", "causal", "supports"} and any(r[2] == "thematic" and r[3] < theta for r in want)
+    # ids of one row: nothing is grouped after the pairs are found
+    lines = gr.thematic_both_ways(mem.where("id > 9"), theta)._jdf.queryExecution().executedPlan().toString().splitlines()
+    found = next(i for i, line in enumerate(lines) if "InArrow" in line)
+    assert not any("Exchange" in line for line in lines[:found])
+
+
 def test_schema_evidence_of_factors_takes_little_space(spark, monkeypatch, tmp_path):
     """Pairs made from factors are those of the pair form, and lie so that they compress."""
     from beliefmill.operators import working as wk
