@@ -59,6 +59,20 @@ def test_all_pairs_leave_a_task_in_pieces(spark, monkeypatch):
     assert sum(sizes) == n * n and max(sizes) <= sm.PAIR_ROWS and peak < 24 * n * n / 2
 
 
+def test_carried_columns_leave_in_the_same_pieces(spark, monkeypatch):
+    """What the left rows bring along to their pairs is copied for one piece at a time."""
+    taken, v = [], vectors(2)
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, func, schema: taken.append(func))
+    sm.match_blocks(frame(spark, v, "lid", "lvec").withColumn("mark", F.lit("x")), frame(spark, v, "rid", "rvec"), ["k"], 0.25, carry=("mark",))
+    n, row, none = 600, [[0.6, 0.8]], [None]
+    sides = [{"lid": range(n), "lvec": row * n, "mark": [f"m{i}" for i in range(n)], "rid": none * n, "rvec": none * n}, {"lid": none * n, "lvec": none * n, "mark": none * n, "rid": range(n), "rvec": row * n}]
+    kinds = pa.schema([("lid", pa.int64()), ("lvec", pa.list_(pa.float64())), ("mark", pa.string()), ("rid", pa.int64()), ("rvec", pa.list_(pa.float64()))])
+    out = list(taken[0](pa.RecordBatch.from_pydict({c: list(x) for c, x in side.items()}, schema=kinds) for side in sides))
+    assert max(b.num_rows for b in out) <= sm.PAIR_ROWS
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len({(r["lid"], r["rid"]) for r in rows}) == len(rows) == n * n and all(r["mark"] == f"m{r['lid']}" for r in rows)
+
+
 def test_scattered_rows_are_not_sent_to_every_cell(spark, monkeypatch):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(900, 12))
